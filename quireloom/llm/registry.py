@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("splitting", "consensus", "truncation", "lookalikes", "encoding", "mixing")
+_MODULES = ("splitting", "consensus", "truncation", "pairs", "lookalikes", "alignment", "encoding", "mixing")
 
 
 def _modules():
