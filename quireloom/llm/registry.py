@@ -4,7 +4,17 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("splitting", "consensus", "truncation", "pairs", "lookalikes", "alignment", "encoding", "mixing")
+_MODULES = (
+    "splitting",
+    "consensus",
+    "truncation",
+    "pairs",
+    "lookalikes",
+    "alignment",
+    "encoding",
+    "mixing",
+    "residue",
+)
 
 
 def _modules():
