@@ -32,6 +32,8 @@ CHANCE = 0.1
 NUMBER_MATCHES, NUMBER_DIFFERS = 3.0, -2.0
 #: Least score of a pair on the monotone path, and of one out of order.
 PAIRED, MOVED = 0.35, 0.6
+#: Least score of a left-over part of a pair, and what a pair may score below the best of its sentences.
+PART, NEARLY = 0.15, 0.1
 #: Sentences that may be joined or divided.
 MOST_JOINED = 3
 
@@ -143,7 +145,10 @@ def align_scores(score: np.ndarray) -> list[tuple[int, int]]:
     of the other, or leaves it out at no cost.
     """
     n, m = score.shape
-    # Longest runs first would need no table of every bead; the sums of a row or column make each bead O(1).
+    given = score.tolist()
+    # A pair must be the best or nearly so for one of its sides; else a moved sentence joins whatever its place holds.
+    best_of = np.minimum(score.max(1, keepdims=True), score.max(0, keepdims=True))
+    score = np.where(score >= best_of - NEARLY, score, -1.0)
     rows = np.concatenate((np.zeros((n, 1)), np.cumsum(score, 1)), 1).tolist()
     cols = np.concatenate((np.zeros((1, m)), np.cumsum(score, 0)), 0).tolist()
     cell = score.tolist()
@@ -186,6 +191,16 @@ def align_scores(score: np.ndarray) -> list[tuple[int, int]]:
             found.append((i, j))
             taken_i.add(i)
             taken_j.add(j)
+    # What is left over beside a paired sentence and says a little of the same is a part of that pair.
+    pairs = set(found)
+    for j in set(range(m)) - taken_j:
+        i = max(range(n), key=lambda x: given[x][j])
+        if given[i][j] > PART - PAIRED and ((i, j - 1) in pairs or (i, j + 1) in pairs):
+            found.append((i, j))
+    for i in set(range(n)) - taken_i:
+        j = max(range(m), key=lambda x: given[i][x])
+        if given[i][j] > PART - PAIRED and ((i - 1, j) in pairs or (i + 1, j) in pairs):
+            found.append((i, j))
     return sorted(found)
 
 
