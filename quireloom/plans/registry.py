@@ -11,7 +11,12 @@ from quireloom.plans.staging import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-_MODULES: tuple[str, ...] = ()
+_MODULES: tuple[str, ...] = (
+    "quireloom.plans.texts",
+    "quireloom.plans.segments",
+    "quireloom.plans.reviews",
+    "quireloom.plans.assemblies",
+)
 
 #: The query that entry() runs.
 FLAGSHIP = "agg1_run_summary"
