@@ -11,6 +11,7 @@ from quireloom.functions.text import (
     excerpt_fingerprint,
     filled_lines,
     is_meaningful,
+    let,
     lines,
     paragraphs,
     plain_unit,
@@ -60,28 +61,35 @@ def structural_units(text: Column | str, title: Column | None = None) -> Column:
     A first unit that equals the title is left out.
     """
 
+    def of_prose(flat: Column) -> Column:
+        return let(
+            F.filter(sentences(flat), is_meaningful), lambda meant: F.when(F.size(meant) >= 3, meant).otherwise(F.array(flat))
+        )
+
     def of_paragraph(p: Column) -> Column:
-        flat = squeeze(p)
-        meant = F.filter(sentences(flat), is_meaningful)
-        listed = F.filter(filled_lines(p), is_meaningful)
-        return F.when(P.is_line_block(p), listed).when(F.size(meant) >= 3, meant).otherwise(F.array(flat))
+        return F.when(P.is_line_block(p), F.filter(filled_lines(p), is_meaningful)).otherwise(let(squeeze(p), of_prose))
+
+    def without_title(units: Column) -> Column:
+        first = F.coalesce(plain_unit(F.get(units, F.lit(0))) == plain_unit(title), F.lit(False))
+        named = F.coalesce(plain_unit(title), F.lit("")) != ""
+        return F.when(named & first, F.slice(units, 2, F.greatest(F.size(units), F.lit(1)))).otherwise(units)
 
     units = F.flatten(F.transform(paragraphs(text), of_paragraph))
-    if title is None:
-        return units
-    named = F.coalesce(plain_unit(title), F.lit("")) != ""
-    first = F.coalesce(plain_unit(F.get(units, F.lit(0))) == plain_unit(title), F.lit(False))
-    return F.when(named & first, F.slice(units, 2, F.greatest(F.size(units), F.lit(1)))).otherwise(units)
+    return units if title is None else let(units, without_title)
 
 
 def body_units(units: Column) -> Column:
     """Units without references and part headings at the end."""
-    last = F.array_max(
-        F.transform(
-            units, lambda u, i: F.when(P.is_reference(u) | P.is_boundary_heading(u), F.lit(0)).otherwise(i + 1)
+
+    def kept(units: Column) -> Column:
+        last = F.array_max(
+            F.transform(
+                units, lambda u, i: F.when(P.is_reference(u) | P.is_boundary_heading(u), F.lit(0)).otherwise(i + 1)
+            )
         )
-    )
-    return F.slice(units, 1, F.coalesce(last, F.lit(0)))
+        return F.slice(units, 1, F.coalesce(last, F.lit(0)))
+
+    return let(units, kept)
 
 
 def question_marks(text: Column | str) -> Column:
@@ -94,30 +102,35 @@ def answer_marks(text: Column | str) -> Column:
 
 def inline_items(paragraph: Column | str) -> Column:
     """Items (number, body) of a list in running text that counts 1, 2, 3; fewer than three give none."""
-    flat = squeeze(paragraph)
-    numbers = _all(flat, INLINE_NUMBER)
-    parts = F.split(flat, INLINE, -1)
-    items = F.filter(
-        F.transform(
-            F.arrays_zip(numbers.alias("number"), F.slice(parts, 2, F.size(parts)).alias("part")),
-            lambda x: F.struct(x["number"].alias("number"), strip(x["part"]).alias("body")),
-        ),
-        lambda x: x["body"] != "",
-    )
-    counts = F.slice(_ints(numbers), 1, 3) == F.array(F.lit(1), F.lit(2), F.lit(3))
-    return F.when(counts & (F.size(items) >= 3), items).otherwise(F.slice(items, 1, 0))
+
+    def of(flat: Column) -> Column:
+        parts = F.split(flat, INLINE, -1)
+        zipped = F.arrays_zip(_all(flat, INLINE_NUMBER).alias("number"), F.slice(parts, 2, F.size(parts)).alias("part"))
+        return F.filter(
+            F.transform(zipped, lambda x: F.struct(x["number"].alias("number"), strip(x["part"]).alias("body"))),
+            lambda x: x["body"] != "",
+        )
+
+    def checked(flat: Column) -> Column:
+        counts = F.slice(_ints(_all(flat, INLINE_NUMBER)), 1, 3) == F.array(F.lit(1), F.lit(2), F.lit(3))
+        return let(of(flat), lambda items: F.when(counts & (F.size(items) >= 3), items).otherwise(F.slice(items, 1, 0)))
+
+    return let(squeeze(paragraph), checked)
 
 
 def numbered_items(paragraph: Column | str) -> Column:
     """Items (number, body) of a paragraph all of whose lines are single items; else of its running text."""
-    parts = filled_lines(paragraph)
     pattern = rf"^{S}*([0-9]{{1,3}})[.)]{S}*([^\n]+?){S}*$"
-    single = F.forall(parts, lambda x: F.regexp_like(x, F.lit(pattern)) & (F.size(_all(x, INLINE_NUMBER)) <= 1))
-    items = F.transform(
-        parts,
-        lambda x: F.struct(F.regexp_extract(x, pattern, 1).alias("number"), strip(F.regexp_extract(x, pattern, 2)).alias("body")),
-    )
-    return F.when((F.size(parts) > 0) & single, items).otherwise(inline_items(paragraph))
+
+    def of(parts: Column) -> Column:
+        single = F.forall(parts, lambda x: F.regexp_like(x, F.lit(pattern)) & (F.size(_all(x, INLINE_NUMBER)) <= 1))
+        items = F.transform(
+            parts,
+            lambda x: F.struct(F.regexp_extract(x, pattern, 1).alias("number"), strip(F.regexp_extract(x, pattern, 2)).alias("body")),
+        )
+        return F.when((F.size(parts) > 0) & single, items).otherwise(inline_items(paragraph))
+
+    return let(filled_lines(paragraph), of)
 
 
 def split_overflow(item: Column | str) -> Column:
@@ -125,39 +138,42 @@ def split_overflow(item: Column | str) -> Column:
 
     The tail begins at the first of two numbers that count up, where a closing sign stands before it.
     """
-    flat = squeeze(item)
-    numbers = _ints(_all(flat, TAIL))
-    parts = F.split(flat, TAIL, -1)
-    index = F.sequence(F.lit(0), F.greatest(F.size(numbers) - 2, F.lit(0)))
-
-    def before(i: Column) -> Column:
-        """Text up to marker i; gaps do not matter to its last sign."""
-        return F.rtrim(F.get(parts, i))
-
-    starts = F.filter(
-        index,
-        lambda i: (F.get(numbers, i + 1) == F.get(numbers, i) + 1)
-        & F.regexp_like(F.when(before(i) != "", before(i)).otherwise(F.lit("")), F.lit(r"[.!?)\]}\"'。！？）]$")),
-    )
-    start = F.get(starts, F.lit(0))
-    marks = _all(flat, rf"((?<![0-9])[0-9]{{2,4}}{S}+)(?={NS})")
-    pieces = F.transform(
-        F.sequence(F.lit(0), F.size(numbers) - 1), lambda i: F.concat(F.get(marks, i), F.get(parts, i + 1))
-    )
-    head = F.concat(
-        F.get(parts, F.lit(0)),
-        F.when(start > 0, F.array_join(F.slice(pieces, 1, F.greatest(start, F.lit(0))), "")).otherwise(F.lit("")),
-    )
-    tail = F.transform(
-        F.filter(F.transform(F.slice(pieces, start + 1, F.size(pieces)), strip), lambda x: x != ""),
-        lambda x: F.struct(
-            F.when(P.is_reference(x), F.lit("reference_entry")).otherwise(F.lit("paragraph")).alias("kind"), x.alias("text")
-        ),
+
+    def whole(flat: Column) -> Column:
+        return F.array(F.struct(F.lit("ordered_item").alias("kind"), flat.alias("text")))
+
+    def split(flat: Column) -> Column:
+        numbers = _ints(_all(flat, TAIL))
+        parts, marks = F.split(flat, TAIL, -1), _all(flat, rf"((?<![0-9])[0-9]{{2,4}}{S}+)(?={NS})")
+        packed = F.struct(numbers.alias("numbers"), parts.alias("parts"), marks.alias("marks"), flat.alias("flat"))
+        return let(packed, cut)
+
+    def cut(x: Column) -> Column:
+        numbers, parts = x["numbers"], x["parts"]
+        starts = F.filter(
+            F.sequence(F.lit(0), F.greatest(F.size(numbers) - 2, F.lit(0))),
+            lambda i: (F.get(numbers, i + 1) == F.get(numbers, i) + 1)
+            & F.regexp_like(F.get(parts, i), F.lit(rf"[.!?)\]}}\"'。！？）]{S}*\z")),
+        )
+        return let(F.struct(F.get(starts, F.lit(0)).alias("start"), x.alias("x")), pieces)
+
+    def pieces(y: Column) -> Column:
+        start, x = y["start"], y["x"]
+        every = F.transform(
+            F.sequence(F.lit(0), F.size(x["numbers"]) - 1), lambda i: F.concat(F.get(x["marks"], i), F.get(x["parts"], i + 1))
+        )
+        head = F.rtrim(F.concat(F.get(x["parts"], F.lit(0)), F.array_join(F.slice(every, 1, F.coalesce(start, F.lit(0))), "")))
+        tail = F.transform(
+            F.filter(F.transform(F.slice(every, F.coalesce(start, F.lit(0)) + 1, F.size(every)), strip), lambda t: t != ""),
+            lambda t: F.struct(
+                F.when(P.is_reference(t), F.lit("reference_entry")).otherwise(F.lit("paragraph")).alias("kind"), t.alias("text")
+            ),
+        )
+        return F.when(start.isNotNull() & (head != ""), F.concat(whole(head), tail)).otherwise(whole(x["flat"]))
+
+    return let(
+        squeeze(item), lambda flat: F.when(F.size(_all(flat, TAIL)) >= 2, split(flat)).otherwise(whole(flat))
     )
-    own = F.array(F.struct(F.lit("ordered_item").alias("kind"), flat.alias("text")))
-    cut = F.array(F.struct(F.lit("ordered_item").alias("kind"), F.rtrim(head).alias("text")))
-    split_at = (F.size(numbers) >= 2) & start.isNotNull() & (F.rtrim(head) != "")
-    return F.when(split_at, F.concat(cut, tail)).otherwise(own)
 
 
 def numbered_lines(text: Column | str) -> Column:
@@ -173,12 +189,15 @@ def raw_blocks(text: Column | str) -> Column:
 
 def print_line(line: Column | str, keep_number: bool = False) -> Column:
     """A line without marks; empty for prefaces, repeated instructions, rules and, unless kept, lone numbers."""
-    bare = strip(F.regexp_replace(line, F.lit(rf"^#{{1,6}}{S}*"), F.lit("")))
-    plain = F.regexp_replace(F.replace(F.replace(bare, F.lit("**")), F.lit("__")), F.lit(r"^\*([^\n]+)\*$"), F.lit("$1"))
-    gone = P.is_preface(bare) | P.is_prompt_echo(bare) | P.is_rule(bare)
-    if not keep_number:
-        gone = gone | F.regexp_like(plain, F.lit(r"\A[0-9]+\z"))
-    return F.when(gone, F.lit("")).otherwise(plain)
+
+    def of(bare: Column) -> Column:
+        plain = F.regexp_replace(F.replace(F.replace(bare, F.lit("**")), F.lit("__")), F.lit(r"^\*([^\n]+)\*$"), F.lit("$1"))
+        gone = P.is_preface(bare) | P.is_prompt_echo(bare) | P.is_rule(bare)
+        if not keep_number:
+            gone = gone | F.regexp_like(bare, F.lit(r"\A(?:\*\*|__)*[0-9]+(?:\*\*|__)*\z"))
+        return F.when(gone, F.lit("")).otherwise(plain)
+
+    return let(strip(F.regexp_replace(line, F.lit(rf"^#{{1,6}}{S}*"), F.lit(""))), of)
 
 
 def _is_number(x: Column) -> Column:
@@ -198,9 +217,12 @@ def _kept_lines(parts: Column) -> Column:
 
 def trailing_citations(parts: Column) -> Column:
     """Struct of content lines and the numbers that stand alone behind them."""
-    kept = _kept_lines(parts)
-    last = F.coalesce(F.array_max(F.transform(kept, lambda x, i: F.when(_is_number(x), F.lit(0)).otherwise(i + 1))), F.lit(0))
-    return F.struct(F.slice(kept, 1, last).alias("content"), F.slice(kept, last + 1, F.size(kept)).alias("citations"))
+
+    def of(kept: Column) -> Column:
+        last = F.coalesce(F.array_max(F.transform(kept, lambda x, i: F.when(_is_number(x), F.lit(0)).otherwise(i + 1))), F.lit(0))
+        return F.struct(F.slice(kept, 1, last).alias("content"), F.slice(kept, last + 1, F.size(kept)).alias("citations"))
+
+    return let(_kept_lines(parts), of)
 
 
 def semantic_blocks(parts: Column) -> Column:
@@ -208,7 +230,10 @@ def semantic_blocks(parts: Column) -> Column:
 
     A block that begins with a number stays whole.
     """
-    kept = _kept_lines(parts)
+    return let(_kept_lines(parts), _cut_senses)
+
+
+def _cut_senses(kept: Column) -> Column:
     whole = F.array(kept)
     each = F.transform(kept, lambda x: F.array(x))
     empty = F.slice(kept, 1, 0)
@@ -237,7 +262,10 @@ def semantic_blocks(parts: Column) -> Column:
 
 def reference_entries(parts: Column) -> Column:
     """'number text' for each number line and the lines behind it; none unless the first is a number and two come out."""
-    kept = _kept_lines(parts)
+    return let(_kept_lines(parts), _entries_of)
+
+
+def _entries_of(kept: Column) -> Column:
     start = F.struct(F.lit("").alias("number"), F.lit("").alias("body"), F.slice(kept, 1, 0).alias("done"))
 
     def close(acc: Column) -> Column:
@@ -250,9 +278,10 @@ def reference_entries(parts: Column) -> Column:
             _is_number(x), F.struct(x.alias("number"), F.lit("").alias("body"), close(acc).alias("done"))
         ).otherwise(F.struct(acc["number"].alias("number"), body.alias("body"), acc["done"].alias("done")))
 
-    entries = F.aggregate(kept, start, step, close)
-    fits = (F.size(kept) > 0) & F.coalesce(_is_number(F.get(kept, F.lit(0))), F.lit(False)) & (F.size(entries) >= 2)
-    return F.when(fits, entries).otherwise(F.slice(kept, 1, 0))
+    none = F.slice(kept, 1, 0)
+    entries = let(F.aggregate(kept, start, step, close), lambda found: F.when(F.size(found) >= 2, found).otherwise(none))
+    numbered = (F.size(kept) > 0) & F.coalesce(_is_number(F.get(kept, F.lit(0))), F.lit(False))
+    return F.when(numbered, entries).otherwise(none)
 
 
 def chapter_title(parts: Column) -> Column:
@@ -284,13 +313,14 @@ def pair_anchor(text: Column | str, source: Column | str) -> Column:
     """First question and answer of a text's paragraphs, or empty."""
     marked_source = P.has_question_mark(source) & P.has_answer_mark(source)
 
-    def of_paragraph(p: Column) -> Column:
-        parts = filled_lines(p)
+    def of_lines(parts: Column, p: Column) -> Column:
         one, two = F.get(parts, F.lit(0)), F.get(parts, F.lit(1))
-        lined = (P.is_question(one) & P.is_answer(two)) | P.is_question_line(one) | (marked_source & P.is_unmarked_pair(one, two))
+        lined = P.is_question_line(one) | (marked_source & P.is_unmarked_pair(one, two))
         return F.when((F.size(parts) >= 2) & lined, F.concat(one, F.lit("\n"), two)).otherwise(compact_pair(p))
 
-    found = F.filter(F.transform(F.split(text, BLANK_LINES, -1), lambda p: of_paragraph(strip(p))), lambda x: x != "")
+    found = F.filter(
+        F.transform(F.split(text, BLANK_LINES, -1), lambda p: let(filled_lines(p), lambda parts: of_lines(parts, p))), lambda x: x != ""
+    )
     return F.coalesce(F.get(found, F.lit(0)), F.lit(""))
 
 

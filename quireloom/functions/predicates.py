@@ -12,6 +12,7 @@ from quireloom.functions.text import (
     contains_cjk,
     filled_lines,
     flow_lines,
+    let,
     squeeze,
     strip,
     tighten_mixed,
@@ -50,8 +51,7 @@ def counts_up(values: Column, shortest: int, from_one: bool = False) -> Column:
 
 def is_reference(text: Column | str) -> Column:
     """A number of 2 to 4 digits, then text with an address, a quotation mark or a word for a source."""
-    flat = squeeze(text)
-    return _like(flat, f"^[0-9]{{2,4}}{S}+{NS}") & _like(flat, REFERENCE_SIGNS)
+    return _like(text, f"^{S}*[0-9]{{2,4}}{S}+{NS}") & _like(text, REFERENCE_SIGNS)
 
 
 def is_boundary_heading(text: Column | str) -> Column:
@@ -65,8 +65,10 @@ def is_structured_line(line: Column | str) -> Column:
 
 def is_line_block(text: Column | str) -> Column:
     """Three or more lines that are all list or marker lines, or all references."""
-    parts = filled_lines(text)
-    return (F.size(parts) >= 3) & (F.forall(parts, is_structured_line) | F.forall(parts, is_reference))
+    return let(
+        filled_lines(text),
+        lambda parts: (F.size(parts) >= 3) & (F.forall(parts, is_structured_line) | F.forall(parts, is_reference)),
+    )
 
 
 def crosses_languages(source: Column | str, target: Column | str) -> Column:
@@ -89,8 +91,7 @@ def is_answer(text: Column | str) -> Column:
 
 
 def is_question_line(text: Column | str) -> Column:
-    flat = squeeze(text)
-    return is_question(flat) | _like(flat, r"[?？]$")
+    return is_question(text) | _like(text, rf"[?？]{S}*\z")
 
 
 def has_question_mark(text: Column | str) -> Column:
@@ -103,16 +104,16 @@ def has_answer_mark(text: Column | str) -> Column:
 
 def is_unmarked_pair(question: Column | str, answer: Column | str) -> Column:
     """Two lines that can be a question and its answer without marks."""
-    q, a = squeeze(question), squeeze(answer)
     return (
-        ~is_answer(q) & ~is_question(a) & ~_like(q, "[.!?。！？:;：；]$")
-        & _like(q, "[A-Za-z0-9一-鿿]") & _like(a, "[.!?。！？]$")
+        ~is_answer(question) & ~is_question(answer) & ~_like(question, rf"[.!?。！？:;：；]{S}*\z")
+        & _like(question, "[A-Za-z0-9一-鿿]") & _like(answer, rf"[.!?。！？]{S}*\z")
     )
 
 
 def is_emphasised(line: Column | str) -> Column:
-    flat = squeeze(line)
-    return (F.length(flat) <= 120) & _like(flat, "[.!?。！？]$") & _like(flat, EMPHASIS)
+    return let(
+        squeeze(line), lambda flat: (F.length(flat) <= 120) & _like(flat, "[.!?。！？]$") & _like(flat, EMPHASIS)
+    )
 
 
 def is_chapter_heading(text: Column | str) -> Column:

@@ -5,6 +5,8 @@ Every function gives null for a null text unless it says otherwise.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,6 +20,11 @@ def _re(text: Column | str, pattern: str, new: str) -> Column:
     return F.regexp_replace(text, F.lit(pattern), F.lit(new))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, also inside a lambda, where Spark shares no subexpressions."""
+    return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
+
+
 def strip(text: Column | str) -> Column:
     """Without white space of any kind at both ends."""
     return _re(text, rf"\A{S}+|{S}+\z", "")
@@ -30,8 +37,10 @@ def squeeze(text: Column | str) -> Column:
 
 def lines(text: Column | str) -> Column:
     """Lines; a line end at the end opens no further line."""
-    parts = F.split(text, LINE_END, -1)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    return let(
+        F.split(text, LINE_END, -1),
+        lambda parts: F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts),
+    )
 
 
 def filled_lines(text: Column | str) -> Column:
@@ -103,8 +112,10 @@ def is_meaningful(text: Column | str) -> Column:
 
 def excerpt(text: Column | str, longest: int = 180) -> Column:
     """Squeezed text, cut one below ``longest`` with three dots added where it is longer."""
-    flat = squeeze(text)
-    return F.when(F.length(flat) <= longest, flat).otherwise(F.concat(F.substring(flat, 1, longest - 1), F.lit("...")))
+    return let(
+        squeeze(text),
+        lambda flat: F.when(F.length(flat) <= longest, flat).otherwise(F.concat(F.substring(flat, 1, longest - 1), F.lit("..."))),
+    )
 
 
 def signature_token(text: Column | str, most: int = 6) -> Column:

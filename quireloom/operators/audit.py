@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quireloom.functions import extract as E
 from quireloom.functions import predicates as P
-from quireloom.functions.text import excerpt, plain_unit, sentence_count, shared_numeric_anchors, signature_token, strip
+from quireloom.functions.text import excerpt, let, plain_unit, sentence_count, shared_numeric_anchors, signature_token, strip
 
 # Severity, whether fixable, confidence and reason by finding type.
 FINDINGS = {
@@ -50,9 +50,13 @@ def omission_signature(units: Column) -> Column:
 
 def mostly_present(units: Column, target: Column) -> Column:
     """Whether of the units of 6 or more plain characters at least four fifths are in the target."""
+
+    def of(x: Column) -> Column:
+        found = F.filter(x["checked"], lambda u: F.contains(x["plain"], u))
+        return (F.size(x["checked"]) > 0) & (F.size(found) * 10 >= F.size(x["checked"]) * 8)
+
     checked = F.filter(F.transform(units, plain_unit), lambda u: F.length(u) >= 6)
-    found = F.filter(checked, lambda u: F.contains(plain_unit(target), u))
-    return (F.size(checked) > 0) & (F.size(found) * 10 >= F.size(checked) * 8)
+    return let(F.struct(checked.alias("checked"), plain_unit(target).alias("plain")), of)
 
 
 def relaxes_omission(crossed: Column, n_source: Column, n_target: Column, s_source: Column, s_target: Column, anchors: Column) -> Column:
@@ -88,8 +92,6 @@ def audit_pairs(pairs: DataFrame, keys: list[str]) -> DataFrame:
         {
             "__sn": E.block_numbers(source),
             "__tn": E.block_numbers(target),
-            "__su": E.body_units(E.structural_units(source, F.col("__title"))),
-            "__tu": E.body_units(E.structural_units(target)),
             "__ss": sentence_count(source),
             "__ts": sentence_count(target),
             "__quotes": F.regexp_extract_all(source, F.lit("[\"“”]([^\\n]{12,140}?)[\"“”]"), F.lit(1)),
@@ -98,21 +100,22 @@ def audit_pairs(pairs: DataFrame, keys: list[str]) -> DataFrame:
         }
     )
     listed = P.counts_up(F.col("__sn"), 3)
-    steps = steps.withColumn("__collapsed", listed & ~P.counts_up(F.col("__tn"), 3) & E.has_inline_run(target, 3))
+    steps = steps.withColumns({"__listed": listed, "__kept": P.counts_up(F.col("__tn"), 3)})
+    steps = steps.withColumn("__collapsed", F.col("__listed") & ~F.col("__kept") & E.has_inline_run(target, 3))
+    # Units are only worked out where the sentence counts leave an omission possible.
+    open_ = ~F.col("__collapsed") & ~((F.col("__ss") >= 3) & (F.col("__ts") >= F.col("__ss")))
+    steps = steps.withColumn("__su", F.when(open_, E.structural_units(source, F.col("__title"))))
+    steps = steps.withColumn("__su", E.body_units(F.col("__su")))
+    steps = steps.withColumn("__tu", E.body_units(F.when(F.size("__su") >= 3, E.structural_units(target))))
     n_source, n_target = F.size("__su"), F.size("__tu")
-    missing = F.slice("__su", F.greatest(n_target + 1, F.lit(1)), F.greatest(n_source - n_target, F.lit(0)))
+    fewer = F.coalesce((n_source >= 3) & (n_target < n_source), F.lit(False))
+    missing = F.when(fewer, F.slice("__su", n_target + 1, n_source - n_target))
     steps = steps.withColumn("__missing", missing)
-    omitted = (
-        ~F.col("__collapsed")
-        & ~((F.col("__ss") >= 3) & (F.col("__ts") >= F.col("__ss")))
-        & (n_source >= 3)
-        & (n_target < n_source)
-        & ~relaxes_omission(
-            P.crosses_languages(source, target), n_source, n_target, F.col("__ss"), F.col("__ts"),
-            shared_numeric_anchors(source, target),
-        )
-        & ~mostly_present(F.col("__missing"), target)
-    )
+    excused = relaxes_omission(
+        P.crosses_languages(source, target), n_source, n_target, F.col("__ss"), F.col("__ts"), shared_numeric_anchors(source, target)
+    ) | mostly_present(F.col("__missing"), target)
+    steps = steps.withColumn("__omitted", F.when(F.col("__missing").isNotNull(), ~excused).otherwise(F.lit(False)))
+    omitted, listed = F.col("__omitted"), F.col("__listed")
     quote = strip(F.get("__quotes", F.lit(0)))
     called = (F.size("__quotes") > 0) & F.regexp_like(source, F.lit(CUES)) & ~F.regexp_like(target, F.lit("[\"“”「」『』]"))
     asked = (F.col("__q") > 0) & (F.col("__a") > 0) & ~(
