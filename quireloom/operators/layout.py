@@ -24,6 +24,7 @@ from quireloom.functions.text import (
     tighten_mixed,
 )
 from quireloom.operators.assembly import joined
+from quireloom.plans.staging import stage
 
 
 def quote_score(quote: Column, target: Column, context: Column) -> Column:
@@ -124,10 +125,13 @@ def printable_blocks(texts: DataFrame) -> DataFrame:
             F.regexp_like(F.get("parts.content", F.lit(0)), F.lit(r"\A[0-9]+\z")), E.clean_lines(F.col("parts.content"), True)
         ).otherwise(E.clean_lines(F.col("parts.content"))),
     ).where("size(references) > 0 OR size(content) > 0")
-    in_book = Window.partitionBy("book_id").orderBy("chapter_index", "chapter_id", "at")
     titled = (F.size("references") == 0) & P.is_book_title(F.get("content", F.lit(0)))
-    cut = cut.withColumn("titled", F.coalesce(titled, F.lit(False)))
-    cut = cut.withColumn("book_title", F.when(F.col("titled") & (F.sum(F.col("titled").cast("int")).over(in_book) == 1), F.get("content", F.lit(0))))
+    # The first title of a book by an aggregate and a join: a window would sort all blocks of a large book in one task.
+    cut = stage(cut.withColumn("titled", F.coalesce(titled, F.lit(False))), "blocks")
+    place = F.struct("chapter_index", "chapter_id", "at")
+    firsts = cut.where("titled").groupBy("book_id").agg(F.min(place).alias("first"))
+    cut = cut.join(firsts, "book_id", "left")
+    cut = cut.withColumn("book_title", F.when(F.col("titled") & (place == F.col("first")), F.get("content", F.lit(0))))
     cut = cut.withColumn(
         "content", F.when(F.col("book_title").isNotNull(), F.slice("content", 2, F.size("content"))).otherwise(F.col("content"))
     )

@@ -266,5 +266,5 @@ def detect_chapters(
     everything = ranked[0]
     for way in ranked[1:]:
         everything = everything.unionByName(way)
-    first = F.min("__way").over(Window.partitionBy("book_id"))
-    return everything.withColumn("__first", first).where("__way = __first").drop("__way", "__first")
+    first = everything.groupBy("book_id").agg(F.min("__way").alias("__way"))
+    return everything.join(first, ["book_id", "__way"], "left_semi").drop("__way")
