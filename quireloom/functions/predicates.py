@@ -7,11 +7,13 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quireloom.functions.patterns import CJK, NS, S
+from quireloom.functions.patterns import NS, S
 from quireloom.functions.text import (
+    cjk_characters,
     contains_cjk,
     filled_lines,
     flow_lines,
+    latin_letters,
     let,
     squeeze,
     strip,
@@ -74,11 +76,8 @@ def is_line_block(text: Column | str) -> Column:
 def crosses_languages(source: Column | str, target: Column | str) -> Column:
     """Whether a mostly Latin source has a mostly Chinese target."""
 
-    def count(text, pattern):
-        return F.regexp_count(text, F.lit(pattern))
-
-    return (count(source, "[A-Za-z]") >= F.greatest(F.lit(12), count(source, CJK) * 2)) & (
-        count(target, CJK) >= F.greatest(F.lit(8), count(target, "[A-Za-z]") * 2)
+    return (latin_letters(source) >= F.greatest(F.lit(12), cjk_characters(source) * 2)) & (
+        cjk_characters(target) >= F.greatest(F.lit(8), latin_letters(target) * 2)
     )
 
 
@@ -146,7 +145,7 @@ def is_title_candidate(text: Column | str) -> Column:
     """Whether a line can be a translated title: short, open-ended and mostly ideographs."""
     flat = strip(text)
     seen = F.length(F.regexp_replace(flat, F.lit(f"{S}+"), F.lit("")))
-    ideographs = F.regexp_count(flat, F.lit(CJK))
+    ideographs = cjk_characters(flat)
     return (
         contains_cjk(flat) & (F.length(flat) <= 34) & ~_like(flat, "[。！？；!?]$")
         & (ideographs >= 3) & (ideographs / F.greatest(seen, F.lit(1)) >= 0.45)

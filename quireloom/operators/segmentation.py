@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quireloom.functions.patterns import LINE_END, S
-from quireloom.functions.text import estimate_tokens, slug, strip, word_count
+from quireloom.functions.text import estimate_tokens, let, slug, strip, word_count
 
 HEADING = rf"(?i)^(?:chapter|part|section){S}+[^\n]+$"
 
@@ -20,17 +20,25 @@ def _hard_split(sentence: Column, most: int) -> Column:
     )
 
 
+def _counted(texts: Column) -> Column:
+    """Texts with their words counted, so that a fold does not count again at every step."""
+    return F.transform(texts, lambda t: F.struct(t.alias("text"), word_count(t).alias("n")))
+
+
+def _nothing() -> Column:
+    return F.array().cast("array<string>")
+
+
 def pack_sentences(paragraph: Column, most: int) -> Column:
     """Sentences of a paragraph packed greedily into units of up to ``most`` words; longer ones cut by words."""
     found = F.filter(F.transform(F.split(paragraph, rf"(?<=[.!?]){S}+", -1), strip), lambda s: s != "")
-    none = F.slice(found, 1, 0)
-    start = F.struct(F.lit("").alias("held"), F.lit(0).alias("n"), none.alias("done"))
+    start = F.struct(F.lit("").alias("held"), F.lit(0).alias("n"), _nothing().alias("done"))
 
     def flush(acc: Column) -> Column:
         return F.when(acc["held"] != "", F.concat(acc["done"], F.array(acc["held"]))).otherwise(acc["done"])
 
-    def step(acc: Column, s: Column) -> Column:
-        n = word_count(s)
+    def step(acc: Column, x: Column) -> Column:
+        s, n = x["text"], x["n"]
         return (
             F.when(
                 n > most,
@@ -46,22 +54,22 @@ def pack_sentences(paragraph: Column, most: int) -> Column:
             )
         )
 
-    return F.aggregate(found, start, step, flush)
+    return F.aggregate(_counted(found), start, step, flush)
 
 
 def paragraph_units(text: Column, most: int) -> Column:
     """Paragraphs of up to ``most`` words, longer ones packed from sentences; the stripped text if there is none."""
     parts = F.filter(F.transform(F.split(text, rf"\n{S}*\n", -1), strip), lambda p: p != "")
     units = F.flatten(F.transform(parts, lambda p: F.when(word_count(p) <= most, F.array(p)).otherwise(pack_sentences(p, most))))
-    return F.when(F.size(units) == 0, F.array(strip(text))).otherwise(units)
+    return let(units, lambda found: F.when(F.size(found) == 0, F.array(strip(text))).otherwise(found))
 
 
 def pack_units(units: Column, most: int) -> Column:
     """Units joined by blank lines into chunks of up to ``most`` words; one unit above it is a chunk of its own."""
-    start = F.struct(F.lit("").alias("held"), F.lit(0).alias("n"), F.slice(units, 1, 0).alias("done"))
+    start = F.struct(F.lit("").alias("held"), F.lit(0).alias("n"), _nothing().alias("done"))
 
-    def step(acc: Column, unit: Column) -> Column:
-        n = word_count(unit)
+    def step(acc: Column, x: Column) -> Column:
+        unit, n = x["text"], x["n"]
         return F.when(
             (acc["held"] != "") & (acc["n"] + n > most),
             F.struct(unit.alias("held"), n.alias("n"), F.concat(acc["done"], F.array(acc["held"])).alias("done")),
@@ -73,9 +81,10 @@ def pack_units(units: Column, most: int) -> Column:
             )
         )
 
-    return F.aggregate(
-        units, start, step, lambda acc: F.when(acc["held"] != "", F.concat(acc["done"], F.array(acc["held"]))).otherwise(acc["done"])
-    )
+    def close(acc: Column) -> Column:
+        return F.when(acc["held"] != "", F.concat(acc["done"], F.array(acc["held"]))).otherwise(acc["done"])
+
+    return F.aggregate(_counted(units), start, step, close)
 
 
 def chunk_chapters(chapters: DataFrame, most: int = 3000) -> DataFrame:
