@@ -1,7 +1,8 @@
 """Problem 2: agreed labels of passages, agreement, and the reliability of the agents.
 
 Labels of one agent on one passage are reduced to its latest judgement, and the judgements of a passage are packed into
-one row, at most one entry for an agent. Expectation-maximisation then alternates between the posterior of each passage
+one row, at most one entry for an agent. What an agent says is its label and how sure it is: beside its confusion matrix
+each agent has a distribution of confidence for right and for wrong labels. Expectation-maximisation then alternates between the posterior of each passage
 (narrow, over the packed rows) and the confusion matrix of each agent (sums that are combined on the map side before a
 shuffle of agents x labels x labels rows). While the matrices are small they are sent to the workers whole; above a
 documented bound they are joined instead. Agreement is corrected for chance and reported apart from the model.
@@ -20,8 +21,11 @@ from pyspark.sql import functions as F
 from quireloom.plans.staging import stage
 from quireloom.sources import read_table
 
-#: Pseudo-counts of the confusion matrices: on the diagonal and elsewhere.
-RIGHT, WRONG = 2.0, 0.5
+#: Pseudo-counts of the confusion matrices, on the diagonal and elsewhere, and of the levels of confidence.
+RIGHT, WRONG, LEVEL = 2.0, 0.5, 1.0
+#: Bounds between levels of confidence; a missing confidence is a level of its own.
+BOUNDS = (0.45, 0.55, 0.6, 0.65, 0.7, 0.75, 0.85)
+LEVELS = len(BOUNDS) + 2
 MAX_ROUNDS, TOLERANCE = 30, 1e-4
 #: Distinct labels a scale may have; a label set is a coding scheme, not data.
 MAX_LABELS = 200
@@ -35,26 +39,41 @@ def plain_label(label: Column) -> Column:
     return F.nullif(F.regexp_replace(joined, r"^_+|_+$", ""), F.lit(""))
 
 
-def latest_judgements(rows: DataFrame, item: str, agent: str, label: str, at: str, order: str) -> DataFrame:
-    """``item``, ``agent`` and ``label`` of the last judgement of each agent on each item that has a label.
+def confidence_level(confidence: Column) -> Column:
+    """Level of a confidence from 0 to 1 or, above 1, in percent; the last level if it is missing."""
+    value = F.nanvl(confidence.cast("double"), F.lit(None).cast("double"))
+    share = F.when(value > 1, value / 100).otherwise(value)
+    level = sum(((share >= b).cast("int") for b in BOUNDS), F.lit(0))
+    return F.coalesce(level, F.lit(LEVELS - 1))
+
+
+def latest_judgements(
+    rows: DataFrame, item: str, agent: str, label: str, at: str, order: str, confidence: str | None = None
+) -> DataFrame:
+    """``item``, ``agent``, ``label`` and ``level`` of the last judgement of each agent on each item that has a label.
 
     Last by ``at`` (nulls first), then ``order``, then label, so that ties and repeated rows give one defined row. Rows
-    without item or agent are left out.
+    without item or agent are left out. Without a confidence column all have the level of a missing one.
     """
+    sure = confidence_level(F.col(confidence)) if confidence else F.lit(LEVELS - 1)
     known = rows.select(
         F.col(item).alias("item"), F.col(agent).alias("agent"), plain_label(F.col(label)).alias("label"),
-        F.col(at).alias("at"), F.col(order).alias("order"),
+        F.col(at).alias("at"), F.col(order).alias("order"), sure.alias("level"),
     ).where("item IS NOT NULL AND agent IS NOT NULL AND label IS NOT NULL")
-    best = F.max(F.struct("at", "order", "label"))["label"]
-    return known.groupBy("item", "agent").agg(best.alias("label"))
+    best = F.max(F.struct("at", "order", "label", "level"))
+    return known.groupBy("item", "agent").agg(best.alias("best")).select("item", "agent", "best.label", "best.level")
 
 
 def _pack(judgements: DataFrame, labels: list[str]) -> DataFrame:
-    """A row for each item with its votes as two parallel arrays, in the order of agents."""
+    """A row for each item with its votes as two parallel arrays, in the order of agents.
+
+    A code is the label's number plus the number of labels times the level of confidence.
+    """
     codes = F.create_map(*[F.lit(x) for i, name in enumerate(labels) for x in (name, i)])
+    code = codes[F.col("label")] + F.lit(len(labels)) * F.col("level")
     return (
         judgements.groupBy("item")
-        .agg(F.sort_array(F.collect_list(F.struct("agent", codes[F.col("label")].alias("code")))).alias("votes"))
+        .agg(F.sort_array(F.collect_list(F.struct("agent", code.alias("code")))).alias("votes"))
         .select("item", F.col("votes.agent").alias("agents"), F.col("votes.code").alias("codes"))
     )
 
@@ -71,7 +90,7 @@ def _posteriors(batch: pa.RecordBatch, agents: dict[str, int] | None, model, k:
     code = codes.flatten().to_numpy(zero_copy_only=False)
     if model is None:
         score = np.zeros((len(lengths), k))
-        np.add.at(score, (item, code), 1.0)
+        np.add.at(score, (item, code % k), 1.0)
         post = (score + 0.1) / (score + 0.1).sum(1, keepdims=True)
     else:
         matrices, priors = model
@@ -84,9 +103,22 @@ def _posteriors(batch: pa.RecordBatch, agents: dict[str, int] | None, model, k:
 
 
 def _normalise(counts: np.ndarray, priors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    k = counts.shape[1]
-    smooth = counts + WRONG + (RIGHT - WRONG) * np.eye(k)
-    return np.log(smooth / smooth.sum(2, keepdims=True)), np.log((priors + 1.0) / (priors + 1.0).sum())
+    """Log rates of codes by agent and true label, and log priors.
+
+    counts: agents x true labels x codes. A code's rate is that of its label times that of its level, given that the label
+    is right or wrong; so an agent needs few judgements to be known.
+    """
+    n, k = counts.shape[:2]
+    cells = counts.reshape(n, k, LEVELS, k)
+    labels = cells.sum(2) + WRONG + (RIGHT - WRONG) * np.eye(k)
+    labels /= labels.sum(2, keepdims=True)
+    same = np.eye(k, dtype=bool)
+    right = cells.transpose(0, 2, 1, 3)[:, :, same].sum(2) + LEVEL
+    wrong = cells.transpose(0, 2, 1, 3)[:, :, ~same].sum(2) + LEVEL
+    right, wrong = right / right.sum(1, keepdims=True), wrong / wrong.sum(1, keepdims=True)
+    levels = np.where(same[None, None], right[:, :, None, None], wrong[:, :, None, None])
+    rates = labels[:, None] * levels
+    return np.log(rates.transpose(0, 2, 1, 3).reshape(n, k, LEVELS * k)), np.log((priors + 1.0) / (priors + 1.0).sum())
 
 
 def _sums(packed: DataFrame, k: int, shared) -> DataFrame:
@@ -99,10 +131,11 @@ def _sums(packed: DataFrame, k: int, shared) -> DataFrame:
         for batch in batches:
             item, _, words, local, code, post = _posteriors(batch, agents, model, k)
             prior += post.sum(0)
-            cells = np.zeros((len(words), k, k))
+            wide = k * LEVELS
+            cells = np.zeros((len(words), k, wide))
             for true in range(k):
-                flat = np.bincount(local * k + code, post[item, true], len(words) * k)
-                cells[:, true] = flat.reshape(len(words), k)
+                flat = np.bincount(local * wide + code, post[item, true], len(words) * wide)
+                cells[:, true] = flat.reshape(len(words), wide)
             for word, cell in zip(words, cells, strict=True):
                 total[word] = total[word] + cell if word in total else cell
         for word, cell in [(None, np.diag(prior)), *total.items()]:
@@ -140,7 +173,7 @@ def _fit_small(packed: DataFrame, names: list[str], k: int) -> tuple[DataFrame,
     shared, old, sums = None, None, None
     for _ in range(MAX_ROUNDS):
         sums = _sums(packed, k, shared).toPandas()
-        counts, priors = np.zeros((len(names), k, k)), np.zeros(k)
+        counts, priors = np.zeros((len(names), k, k * LEVELS)), np.zeros(k)
         own = sums[sums.agent.notna()]
         counts[own.agent.map(place), own.truth, own.given] = own.mass
         rest = sums[sums.agent.isna()]
@@ -151,6 +184,7 @@ def _fit_small(packed: DataFrame, names: list[str], k: int) -> tuple[DataFrame,
         if old is not None and np.abs(new - old).max() < TOLERANCE:
             break
         old = new
+    counts, new = (x.reshape(len(names), k, LEVELS, k).sum(2) for x in (counts, new))
     matrices = [
         (a, t, g, float(counts[i, t, g]), float(new[i, t, g]))
         for a, i in place.items() for t in range(k) for g in range(k)
@@ -168,15 +202,29 @@ def _fit_joined(packed: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
         ),
         "votes",
     )
-    cells = F.sequence(F.lit(0), F.lit(k - 1))
+    def numbers(n: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
     sums = stage(_sums(packed, k, None), "matrices")
     for step in range(MAX_ROUNDS):
         own = sums.where("agent IS NOT NULL")
-        smooth = F.coalesce("mass", F.lit(0.0)) + F.when(F.col("truth") == F.col("given"), RIGHT).otherwise(WRONG)
-        full = own.select("agent").distinct().select("agent", F.explode(cells).alias("truth"))
-        full = full.select("*", F.explode(cells).alias("given")).join(own, ["agent", "truth", "given"], "left")
-        rate = smooth / F.sum(smooth).over(Window.partitionBy("agent", "truth"))
-        table = full.select("agent", "truth", "given", F.coalesce("mass", F.lit(0.0)).alias("mass"), rate.alias("rate"))
+        full = own.select("agent").distinct().select("agent", numbers(k).alias("truth"))
+        full = full.select("*", numbers(k * LEVELS).alias("given")).join(own, ["agent", "truth", "given"], "left")
+        full = full.withColumns(
+            {
+                "mass": F.coalesce("mass", F.lit(0.0)), "label": F.col("given") % k,
+                "level": F.floor(F.col("given") / k), "same": F.col("truth") == F.col("given") % k,
+            }
+        )
+
+        def total(*keys: str) -> Column:
+            return F.sum("mass").over(Window.partitionBy("agent", *keys))
+
+        of_label = (total("truth", "label") + F.when(F.col("same"), RIGHT).otherwise(WRONG)) / (
+            total("truth") + (RIGHT + (k - 1) * WRONG)
+        )
+        of_level = (total("same", "level") + LEVEL) / (total("same") + LEVELS * LEVEL)
+        table = full.select("agent", "truth", "given", "mass", (of_label * of_level).alias("rate"))
         prior = sums.where("agent IS NULL").select("truth", F.log(F.col("mass") + 1.0).alias("prior"))
         score = (
             votes.join(table, ["agent", "given"])
@@ -201,13 +249,14 @@ def _fit_joined(packed: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
         if change is not None and change < TOLERANCE:
             break
     array = post.groupBy("item").agg(F.sort_array(F.collect_list(F.struct("truth", "p")))["p"].alias("posterior"))
-    return packed.join(array, "item"), table
+    by_label = table.groupBy("agent", "truth", (F.col("given") % k).cast("int").alias("given"))
+    return packed.join(array, "item"), by_label.agg(F.sum("mass").alias("mass"), F.sum("rate").alias("rate"))
 
 
 def fit_consensus(judgements: DataFrame, max_cells: int = MAX_CELLS) -> tuple[DataFrame, DataFrame, list[str]]:
     """Items with votes and posteriors, the agents' matrices, and the labels in the order of the posteriors.
 
-    judgements: ``item``, ``agent``, ``label``, one row for each item and agent, nothing null. An empty table gives two
+    judgements: ``item``, ``agent``, ``label``, ``level``, one row for each item and agent, nothing null. An empty table gives two
     empty tables and no labels. Item posteriors tie towards the label that sorts first.
     """
     labels = [r[0] for r in judgements.select("label").distinct().orderBy("label").limit(MAX_LABELS + 1).collect()]
@@ -224,8 +273,8 @@ def fit_consensus(judgements: DataFrame, max_cells: int = MAX_CELLS) -> tuple[Da
             labels,
         )
     packed = stage(_pack(judgements, labels), "votes")
-    names = [r[0] for r in judgements.select("agent").distinct().limit(max(1, max_cells // (k * k)) + 1).collect()]
-    if len(names) * k * k <= max_cells:
+    names = [r[0] for r in judgements.select("agent").distinct().limit(max(1, max_cells // (k * k * LEVELS)) + 1).collect()]
+    if len(names) * k * k * LEVELS <= max_cells:
         return *_fit_small(packed, sorted(names), k), labels
     return *_fit_joined(packed, k), labels
 
@@ -234,7 +283,7 @@ def _pick(posterior: Column, labels: list[str]) -> Column:
     return F.element_at(F.array(*[F.lit(x) for x in labels]), F.array_position(posterior, F.array_max(posterior)).cast("int"))
 
 
-def consensus_of(rows: DataFrame, label: str, item: str, agent: str, at: str, order: str):
+def consensus_of(rows: DataFrame, label: str, item: str, agent: str, at: str, order: str, confidence: str | None = None):
     """Consensus label, agreement and reliability: a table of items, one of agents and one row for the scale.
 
     Items: ``item``, ``label``, ``posterior`` of it, ``n_agents``, ``observed_agreement`` (share of agreeing pairs of
@@ -243,14 +292,14 @@ def consensus_of(rows: DataFrame, label: str, item: str, agent: str, at: str, or
     ``chance_corrected`` (0 for guessing, 1 for always right). Scale: ``n_items``, ``n_judgements`` and
     ``alpha`` (Krippendorff's, nominal). Blank labels are no judgements. Empty tables give empty tables.
     """
-    judgements = stage(latest_judgements(rows, item, agent, label, at, order), "judgements")
+    judgements = stage(latest_judgements(rows, item, agent, label, at, order, confidence), "judgements")
     fitted, matrices, labels = fit_consensus(judgements)
     k = max(1, len(labels))
     shares = {r["label"]: r["n"] for r in judgements.groupBy("label").agg(F.count("*").alias("n")).collect()}
     n = sum(shares.values())
     expected = sum(v * (v - 1) for v in shares.values()) / (n * (n - 1)) if n > 1 else 1.0
     size = F.size("codes")
-    counts = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda c: F.size(F.filter("codes", lambda x: x == c)))
+    counts = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda c: F.size(F.filter("codes", lambda x: x % k == c)))
     pairs = F.aggregate(counts, F.lit(0).cast("bigint"), lambda a, c: a + c * (c - 1))
     observed = F.when(size > 1, pairs / (size * (size - 1)))
     items = fitted.select(
@@ -295,7 +344,7 @@ def consensus_of(rows: DataFrame, label: str, item: str, agent: str, at: str, or
 
 
 def _found(spark: SparkSession, data_dir: str, label: str):
-    return consensus_of(read_table(spark, data_dir, "findings"), label, "passage_no", "agent_id", "recorded_at", "finding_id")
+    return consensus_of(read_table(spark, data_dir, "findings"), label, "passage_no", "agent_id", "recorded_at", "finding_id", "confidence")
 
 
 def p2_found(spark: SparkSession, data_dir: str) -> DataFrame:

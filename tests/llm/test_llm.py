@@ -125,7 +125,8 @@ def test_consensus_beats_the_majority(spark):
 
 def test_joined_fit_agrees_with_the_small_one(spark):
     rows, _ = judgements(random.Random(2), 80)
-    table = spark.createDataFrame(rows, "item long, agent string, label string")
+    rng = random.Random(3)
+    table = spark.createDataFrame([(*r, rng.randrange(consensus.LEVELS)) for r in rows], "item long, agent string, label string, level int")
     small, _, _ = consensus.fit_consensus(table)
     joined, _, _ = consensus.fit_consensus(table, max_cells=1)
     a = {r["item"]: r["posterior"] for r in small.collect()}
@@ -134,6 +135,24 @@ def test_joined_fit_agrees_with_the_small_one(spark):
     assert np.mean([np.argmax(a[i]) == np.argmax(b[i]) for i in a]) > 0.97
 
 
+def test_confidence_counts_where_it_means_something(spark):
+    """Agents right in half of the cases who know when they are right, against ones as good who do not."""
+    rng = random.Random(12)
+    truth = {i: rng.choice("abc") for i in range(600)}
+    rows = []
+    for i, t in truth.items():
+        for agent in range(4):
+            right = rng.random() < 0.5
+            sure = rng.uniform(0.75, 1) if right else rng.uniform(0.2, 0.5)
+            label = t if right else rng.choice([x for x in "abc" if x != t])
+            rows.append((i, f"a{agent}", label, sure * rng.choice([1, 100]), len(rows)))
+    table = spark.createDataFrame(rows, "item long, who string, label string, sure double, id long")
+    with_it = {r["item"]: r["label"] for r in consensus.consensus_of(table, "label", "item", "who", "id", "id", "sure")[0].collect()}
+    without = {r["item"]: r["label"] for r in consensus.consensus_of(table, "label", "item", "who", "id", "id")[0].collect()}
+    share = [sum(x[i] == t for i, t in truth.items()) / len(truth) for x in (with_it, without)]
+    assert share[0] > 0.9 and share[0] > share[1] + 0.1
+
+
 def test_later_judgements_win(spark):
     rows = [(1, "x", "Possible omission"), (1, "x", "no-issue"), (1, "y", "NO_ISSUE "), (1, "z", " "), (1, "z", None), (None, "x", "a"), (2, None, "a")]
     items, _, _ = raw(spark, rows)
