@@ -30,10 +30,9 @@ FITTING = 0.8
 #: Share of a word's probability that is left to chance, and the bounds of what one word can say.
 CHANCE = 0.1
 NUMBER_MATCHES, NUMBER_DIFFERS = 3.0, -2.0
-#: Least score of a pair on the monotone path, and of one out of order.
-PAIRED, MOVED = 0.35, 0.6
-#: Least score of a left-over part of a pair, and what a pair may score below the best of its sentences.
-PART, NEARLY = 0.15, 0.1
+#: Least score of a pair, and its least share of the score that is usual for the document's sentences; what a pair out of
+#: order needs more; the share that a left-over part of a pair needs; what a pair may score below its sentences' best.
+LEAST, SHARE, MOVED, PART, NEARLY = 0.35, 0.4, 0.2, 0.25, 0.1
 #: Sentences that may be joined or divided.
 MOST_JOINED = 3
 
@@ -141,11 +140,14 @@ def align_lengths(source: np.ndarray, target: np.ndarray, ratio: float) -> list[
 def align_scores(score: np.ndarray) -> list[tuple[int, int]]:
     """Pairs of the best monotone path through a matrix of scores, and clear pairs out of order.
 
-    score: above 0 where two sentences belong together. A path takes a sentence of either side with up to MOST_JOINED
-    of the other, or leaves it out at no cost.
+    The score at which two sentences belong together follows what is usual in the document, the median of the best scores
+    of its source sentences; it depends on how well the words are known. A path takes a sentence of either side with up to
+    MOST_JOINED of the other, or leaves it out at no cost.
     """
     n, m = score.shape
     given = score.tolist()
+    usual = float(np.median(score.max(1)))
+    score = score - max(LEAST, SHARE * usual)
     # A pair must be the best or nearly so for one of its sides; else a moved sentence joins whatever its place holds.
     best_of = np.minimum(score.max(1, keepdims=True), score.max(0, keepdims=True))
     score = np.where(score >= best_of - NEARLY, score, -1.0)
@@ -183,7 +185,7 @@ def align_scores(score: np.ndarray) -> list[tuple[int, int]]:
         i, j = i - di, j - dj
     taken_i, taken_j = {i for i, _ in found}, {j for _, j in found}
     rest = sorted(
-        ((cell[i][j], i, j) for i in range(n) for j in range(m) if i not in taken_i and j not in taken_j and cell[i][j] > MOVED - PAIRED),
+        ((cell[i][j], i, j) for i in range(n) for j in range(m) if i not in taken_i and j not in taken_j and cell[i][j] > MOVED),
         key=lambda x: (-x[0], x[1], x[2]),
     )
     for _, i, j in rest:
@@ -192,14 +194,14 @@ def align_scores(score: np.ndarray) -> list[tuple[int, int]]:
             taken_i.add(i)
             taken_j.add(j)
     # What is left over beside a paired sentence and says a little of the same is a part of that pair.
-    pairs = set(found)
+    pairs, part = set(found), max(LEAST, PART * usual)
     for j in set(range(m)) - taken_j:
         i = max(range(n), key=lambda x: given[x][j])
-        if given[i][j] > PART - PAIRED and ((i, j - 1) in pairs or (i, j + 1) in pairs):
+        if given[i][j] > part and ((i, j - 1) in pairs or (i, j + 1) in pairs):
             found.append((i, j))
     for i in set(range(n)) - taken_i:
         j = max(range(m), key=lambda x: given[i][x])
-        if given[i][j] > PART - PAIRED and ((i - 1, j) in pairs or (i + 1, j) in pairs):
+        if given[i][j] > part and ((i - 1, j) in pairs or (i + 1, j) in pairs):
             found.append((i, j))
     return sorted(found)
 
@@ -341,7 +343,7 @@ def align_sentences(documents: DataFrame, key: str, source: str, target: str) ->
                 theirs = [words.of(_plain(x)) for x in target_sentences(t)]
                 if ours and theirs:
                     scores = score_matrix(ours, theirs, shared.value)
-                    rows += [(k, i, j, float(scores[i, j])) for i, j in align_scores(scores - PAIRED)]
+                    rows += [(k, i, j, float(scores[i, j])) for i, j in align_scores(scores)]
             columns = list(zip(*rows, strict=True)) or [[]] * 4
             types = [pa.int64(), pa.int32(), pa.int32(), pa.float64()]
             yield pa.RecordBatch.from_arrays(
