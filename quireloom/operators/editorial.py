@@ -10,6 +10,7 @@ from quireloom.functions import predicates as P
 from quireloom.functions.text import (
     canonical_caption,
     caption_key,
+    let,
     paragraphs,
     proofread,
     restore_numbered_lines,
@@ -112,10 +113,14 @@ def text_to_blocks(texts: DataFrame) -> DataFrame:
     """
 
     def of_paragraph(p: Column) -> Column:
-        items = E.numbered_items(p)
         plain = F.array(F.struct(F.lit("paragraph").alias("kind"), p.alias("text")))
-        split = F.flatten(F.transform(items, lambda x: E.split_overflow(x["body"])))
-        return F.when(F.size(items) > 0, split).otherwise(plain)
+
+        def of_items(items: Column) -> Column:
+            split = F.flatten(F.transform(items, lambda x: E.split_overflow(x["body"])))
+            return F.when(F.size(items) > 0, split).otherwise(plain)
+
+        # Most paragraphs hold no marker at all.
+        return F.when(F.regexp_like(p, F.lit("[0-9][.)]")), let(E.numbered_items(p), of_items)).otherwise(plain)
 
     pieces = F.flatten(F.transform(paragraphs("text"), of_paragraph))
     placed = texts.select(
