@@ -168,7 +168,7 @@ def broken_pairs(
     the closing words of all responses, pairs or not. Other columns are not read; empty tables give no row.
     """
     flagged = stage(_apply_rules(responses, key, prompt_id, response), "flagged")
-    cut = detect_cut(responses, key, response, copies=False).where("cut").select(key, "cut")
+    cut = detect_cut(responses, key, response).where("cut").select(key, "cut")
     known = prompts.where(F.col(prompt_id).isNotNull()).select(F.col(prompt_id).cast("string").alias(prompt_id)).distinct()
     paired = flagged.join(known, prompt_id, "left_semi")
     asked = paired.where("foreign AND NOT refusal").select(key, prompt_id, "body")

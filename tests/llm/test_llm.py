@@ -234,6 +234,20 @@ def test_defects(spark):
     assert pairs.broken_pairs(prompts, responses_.where("false"), "chunk_id", "source_text", "seq", "translated_text").count() == 0
 
 
+def test_cuts_that_only_a_copy_shows_are_truncated(spark):
+    # Cut where the corpus usually ends a sentence: only the longer delivery tells.
+    bodies = corpus()
+    whole = bodies[0] + "信号灯亮着。雨停了，盐湖镇一片漆黑，没有人回来。"
+    cut = bodies[0] + "信号灯亮着"
+    bodies = [whole, cut, *(t + "信号灯亮着。" for t in bodies[1:])]
+    rows = spark.createDataFrame([(n, "c", t) for n, t in enumerate(bodies)], "seq long, chunk_id string, translated_text string")
+    prompts = spark.createDataFrame([("c", "The rain stopped.")], "chunk_id string, source_text string")
+    verdict = {r["seq"]: r["evidence"] for r in truncation.detect_cut(rows, "seq", "translated_text").where("cut").collect()}
+    assert verdict == {1: "copy"}
+    got = {r["seq"]: r["defects"] for r in pairs.broken_pairs(prompts, rows, "chunk_id", "source_text", "seq", "translated_text").collect()}
+    assert got == {1: ["truncated"]}
+
+
 def test_wrappers_come_off():
     assert responses.unwrap("以下是《遥远的岛》的简体中文翻译：\n\n正文。") == "正文。"
     assert responses.unwrap("```\n正文。\n```") == "正文。"
