@@ -15,26 +15,45 @@ def progress_fraction(done: Column, total: Column) -> Column:
 def fold_events(events: DataFrame) -> DataFrame:
     """State of each run (run_id) after its events (seq, type, book_name, total_books, error), by seq.
 
-    A later run_started of the same run begins anew. Works on tables and, in update or complete mode, on streams: every
-    part is an aggregate that can be kept as state.
+    A later run_started of the same run begins anew; a run_completed completes all books, and the progress is 1.0 until
+    another event of a book or a start. total_books is the last one named. Works on tables and, in update or complete mode,
+    on streams: every part is an aggregate that can be kept as state, of which ``marks`` holds one small struct an event.
     """
     started = F.max(F.when(F.col("type") == "run_started", F.col("seq"))).alias("started_at")
+    finished = F.max(F.when(F.col("type") == "run_completed", F.col("seq"))).alias("finished_at")
+    moved = F.max_by("type", F.when(F.col("type") != "run_failed", F.col("seq")))
     latest = F.max_by(F.struct("type", "book_name", "error"), "seq")
     ended = F.max_by("type", F.when(F.col("type").isin("run_completed", "run_failed", "run_started"), F.col("seq")))
     rows = events.where(F.col("type").isin(*EVENT_TYPES)).groupBy("run_id").agg(
         started,
-        F.max("total_books").alias("total_books"),
-        F.count_if(F.col("type") == "book_completed").alias("completed_books"),
-        F.count_if(F.col("type") == "book_failed").alias("failed_books"),
+        finished,
+        F.max_by("total_books", F.when(F.col("total_books").isNotNull(), F.col("seq"))).alias("total_books"),
+        F.collect_list(F.struct("seq", "type", "total_books")).alias("marks"),
+        moved.alias("moved"),
         latest.alias("last"),
         ended.alias("ended"),
         F.max("seq").alias("last_seq"),
     )
     status = F.when(F.col("ended") == "run_completed", "completed").when(F.col("ended") == "run_failed", "failed").otherwise("running")
-    return rows.select(
-        "run_id", status.alias("status"), F.coalesce("total_books", F.lit(0)).alias("total_books"), "completed_books", "failed_books",
+    start = F.coalesce("started_at", F.lit(-(1 << 63)))
+    completed = F.coalesce(F.col("finished_at") > start, F.lit(False))
+    since = F.when(completed, F.col("finished_at")).otherwise(start)
+    named = F.array_max(F.filter("marks", lambda e: e["total_books"].isNotNull() & (e["seq"] <= F.col("finished_at"))))
+
+    def after(kind: str, seq: Column) -> Column:
+        return F.size(F.filter("marks", lambda e: (e["type"] == kind) & (e["seq"] > seq))).cast("bigint")
+
+    counted = rows.select(
+        "*",
+        (F.when(completed, F.coalesce(named["total_books"], F.lit(0))).otherwise(F.lit(0)) + after("book_completed", since)).alias("completed_books"),
+        after("book_failed", start).alias("failed_books"),
+    )
+    total = F.coalesce("total_books", F.lit(0))
+    fraction = progress_fraction(F.col("completed_books") + F.col("failed_books"), total)
+    return counted.select(
+        "run_id", status.alias("status"), total.alias("total_books"), "completed_books", "failed_books",
         F.col("last.type").alias("last_type"), F.col("last.book_name").alias("current_book"), F.col("last.error").alias("last_error"), "last_seq",
-        progress_fraction(F.col("completed_books") + F.col("failed_books"), F.coalesce("total_books", F.lit(0))).alias("progress"),
+        F.when(F.col("moved") == "run_completed", F.lit(1.0)).otherwise(fraction).alias("progress"),
     )
 
 

@@ -287,6 +287,28 @@ def test_progress(spark, tmp_path):
     assert spark.table("states").first().asDict() == got.asDict()
 
 
+def test_progress_of_runs_started_twice(spark, tmp_path):
+    schema = "run_id string, seq long, type string, book_name string, total_books int, error string"
+    runs = {
+        "again": ["run_started 5", "book_completed", "book_failed", "book_completed", "run_failed", "run_started 3", "book_completed"],
+        "whole": ["run_started 4", "book_completed", "run_completed"], "started": ["run_started 2", "book_completed", "run_completed", "run_started"],
+        "more": ["book_completed", "run_started 4", "book_failed", "run_completed", "book_completed"], "none": ["run_completed"],
+        "later": ["run_started 4", "run_completed", "run_failed"], "grown": ["run_started 2", "run_completed", "book_started 8"],
+    }
+    events = [(run, n, *(t.split() + [None])[:2]) for run, types in runs.items() for n, t in enumerate(types)]
+    table = spark.createDataFrame([(run, n, t, None, int(total) if total else None, None) for run, n, t, total in events], schema)
+    got = {r["run_id"]: tuple(r)[1:] for r in progress.fold_events(table).select("run_id", "status", "total_books", "completed_books", "failed_books", "progress").collect()}
+    assert got == {
+        "again": ("running", 3, 1, 0, 1 / 3), "whole": ("completed", 4, 4, 0, 1.0), "started": ("running", 2, 0, 0, 0.0), "more": ("completed", 4, 5, 1, 1.0),
+        "none": ("completed", 0, 0, 0, 1.0), "later": ("failed", 4, 4, 0, 1.0), "grown": ("completed", 8, 2, 0, 0.25),
+    }
+    table.repartition(3).write.json(str(tmp_path / "in"))
+    stream = progress.fold_events(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in")))
+    query = stream.writeStream.format("memory").queryName("restarts").outputMode("complete").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert sorted(spark.table("restarts").collect()) == sorted(progress.fold_events(table).collect())
+
+
 def test_asset_counts(spark):
     assets = spark.createDataFrame([("c", "extracted"), ("c", "caption-only"), ("c", "extracted")], "chapter_id string, status string")
     assert tuple(editorial.asset_manifest(assets).first()) == ("c", 2, 1, 0)
