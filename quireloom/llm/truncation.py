@@ -268,10 +268,14 @@ def find_suspects(texts: DataFrame, key: str, text: str) -> DataFrame:
     return chosen.mapInArrow(run, schema)
 
 
-def _short_hash(held: _Corpus, begin: int, end: int) -> bytes:
+def _hash_of(held: _Corpus, begin: int, end: int) -> bytes:
     import hashlib
 
-    return hashlib.blake2b(held.points[max(begin, end - 24) : end].tobytes(), digest_size=8).digest()
+    return hashlib.blake2b(held.points[begin:end].tobytes(), digest_size=8).digest()
+
+
+def _short_hash(held: _Corpus, begin: int, end: int) -> bytes:
+    return _hash_of(held, max(begin, end - 24), end)
 
 
 def _filter_of(suspects: DataFrame, copies: bool, bits: int) -> np.ndarray:
@@ -291,8 +295,8 @@ def _filter_of(suspects: DataFrame, copies: bool, bits: int) -> np.ndarray:
 def _gather(texts: DataFrame, key: str, text: str, table: np.ndarray, copies: bool, bits: int) -> DataFrame:
     """What the suspects need of the corpus: closings with counts, and bands with the texts that have them.
 
-    Rows: ``h``, ``total``, ``closed``, ``dotted`` for a closing (``id`` null), or ``h``, ``id``, ``size``, ``variety`` for
-    a band.
+    Rows: ``h``, ``total``, ``closed``, ``dotted`` for a closing (``id`` null), or ``h``, ``id``, ``size``, ``variety`` and
+    ``whole``, a hash of the normalised text, for a band.
     """
     shared = texts.sparkSession.sparkContext.broadcast(table)
     chosen = texts.select(F.col(key).cast("bigint"), F.col(text)).where(F.col(text).isNotNull())
@@ -332,27 +336,30 @@ def _gather(texts: DataFrame, key: str, text: str, table: np.ndarray, copies: bo
                 unique, total, closed, dotted, shingles = count(held)
                 columns = [unique.astype(np.int64), total, closed, dotted]
                 arrays = [pa.array(c.astype(np.int64)) for c in columns]
-                arrays += [pa.nulls(len(unique), pa.int64()), *[pa.nulls(len(unique), pa.int32())] * 2]
+                arrays += [pa.nulls(len(unique), pa.int64()), *[pa.nulls(len(unique), pa.int32())] * 2, pa.nulls(len(unique), pa.int64())]
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
                 if copies:
                     bands, some = held.signatures(shingles)
                     row, band = np.nonzero(hits(bands.ravel()).reshape(bands.shape) & some[:, None])
-                    variety = np.zeros(len(part), np.int32)
+                    variety, whole = np.zeros(len(part), np.int32), np.zeros(len(part), np.int64)
                     for i in np.unique(row).tolist():
                         variety[i] = held.variety(i, shingles)
+                        whole[i] = int.from_bytes(_hash_of(held, held.begins[i], held.ends[i]), signed=True)
                     ids = np.array([k if k is not None else 0 for k, _ in part], np.int64)
                     size = (held.ends - held.begins).astype(np.int32)
                     empty = pa.nulls(len(row), pa.int64())
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array(bands[row, band].astype(np.int64)), empty, empty, empty,
-                            pa.array(ids[row]), pa.array(size[row]), pa.array(variety[row]),
+                            pa.array(ids[row]), pa.array(size[row]), pa.array(variety[row]), pa.array(whole[row]),
                         ],
                         names=names,
                     )
 
-    names = ["h", "total", "closed", "dotted", "id", "size", "variety"]
-    return chosen.mapInArrow(run, "h bigint, total bigint, closed bigint, dotted bigint, id bigint, size int, variety int")
+    names = ["h", "total", "closed", "dotted", "id", "size", "variety", "whole"]
+    return chosen.mapInArrow(
+        run, "h bigint, total bigint, closed bigint, dotted bigint, id bigint, size int, variety int, whole bigint"
+    )
 
 
 def _terminality(suspects: DataFrame, key: str, gathered: DataFrame) -> DataFrame:
@@ -415,13 +422,14 @@ def ends_early(plain_cut: str, plain_whole: str) -> tuple[float, bool]:
 def _cut_copies(texts: DataFrame, suspects: DataFrame, key: str, text: str, gathered: DataFrame) -> DataFrame:
     """Suspects that end before a verified near-copy does.
 
-    In a band bucket of up to FULL_BUCKET texts a suspect is compared with every longer text. In a larger one it meets the
-    longest text at first, then the longest of 2, 4, 8 ... parts of the bucket, and leaves when it has met a copy; so a
-    bucket that holds much of the corpus costs a few comparisons for each suspect with a copy in it, and one without is
-    compared until nothing longer is left.
+    Texts that are the same in normal form give the same verdict, so one of them stands for all. In a band bucket of up to
+    FULL_BUCKET texts a suspect is compared with every longer text. In a larger one it meets the longest text at first,
+    then the longest of 2, 4, 8 ... parts of the bucket, and leaves only when it ends early in a copy; so a bucket that
+    holds much of the corpus costs a few comparisons for each cut suspect in it, and any other is compared until nothing
+    longer is left.
     """
     spark = texts.sparkSession
-    pool = gathered.where("id IS NOT NULL").select("h", "size", "variety", "id").distinct()
+    pool = gathered.where("id IS NOT NULL").groupBy("h", "size", "variety", "whole").agg(F.min("id").alias("id")).drop("whole")
     sizes = pool.groupBy("h").agg(F.count("*").alias("held"))
     pool = stage(pool.join(sizes, "h"), "buckets")
     open_rows = suspects.select(
@@ -464,13 +472,13 @@ def _cut_copies(texts: DataFrame, suspects: DataFrame, key: str, text: str, gath
                 )
 
         judged = stage(held.mapInArrow(judge, "suspect bigint, id bigint, copy boolean, early boolean"), "judged")
-        found = judged.where("copy").groupBy("suspect").agg(F.max("early").alias("early"))
+        found = judged.where("copy AND early").select("suspect", "early").distinct()
         done = found if done is None else done.unionByName(found)
         tried = judged.select("suspect", "id") if tried is None else tried.unionByName(judged.select("suspect", "id"))
         done, tried = stage(done, "done"), stage(tried, "tried")
     if done is None:
         return spark.createDataFrame([], "suspect bigint, early boolean")
-    return done.groupBy("suspect").agg(F.max("early").alias("early"))
+    return done.distinct()
 
 
 def detect_cut(texts: DataFrame, key: str, text: str, copies: bool = True, bits: int = FILTER_BITS) -> DataFrame:

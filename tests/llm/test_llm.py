@@ -206,6 +206,18 @@ def test_hot_buckets_are_compared_to_the_end(spark, monkeypatch):
     assert got[30]["evidence"] == "copy"
 
 
+def test_a_copy_that_shows_no_cut_does_not_end_the_search(spark, monkeypatch):
+    base = "".join(corpus(3))
+    cut = base[:-6]
+    inserted = [cut[:at] + "".join(chr(0x5000 + 8 * at + k) for k in range(8)) + cut[at:] for at in range(10, 300, 20)]  # longer, ends at the same place
+    table = [*inserted, base, base, cut]
+    wide = cut_rows(spark, table)
+    assert wide[len(table) - 1]["evidence"] == "copy"
+    monkeypatch.setattr(truncation, "FULL_BUCKET", 2)
+    got = cut_rows(spark, table)
+    assert {k: (r["cut"], r["evidence"]) for k, r in got.items()} == {k: (r["cut"], r["evidence"]) for k, r in wide.items()}
+
+
 def test_alignment_of_ends():
     plain = truncation._Corpus([corpus(1)[0]]).strings()[0]
     assert truncation.ends_early(plain[:-12], plain)[1]
