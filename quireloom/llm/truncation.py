@@ -295,6 +295,8 @@ def _filter_of(suspects: DataFrame, copies: bool, bits: int) -> np.ndarray:
 def _gather(texts: DataFrame, key: str, text: str, table: np.ndarray, copies: bool, bits: int) -> DataFrame:
     """What the suspects need of the corpus: closings with counts, and bands with the texts that have them.
 
+    Bands, sizes and hashes are those of the texts without wrappers and dots behind them, as suspects have them.
+
     Rows: ``h``, ``total``, ``closed``, ``dotted`` for a closing (``id`` null), or ``h``, ``id``, ``size``, ``variety`` and
     ``whole``, a hash of the normalised text, for a band.
     """
@@ -328,6 +330,23 @@ def _gather(texts: DataFrame, key: str, text: str, table: np.ndarray, copies: bo
         sums = [np.bincount(place, minlength=n), np.bincount(place, joined[1], n), np.bincount(place, joined[2], n)]
         return [unique, *sums, grams[SHINGLE]]
 
+    def banded(held: _Corpus, shingles: np.ndarray, ids: np.ndarray, chosen: np.ndarray) -> pa.RecordBatch:
+        bands, some = held.signatures(shingles)
+        row, band = np.nonzero(hits(bands.ravel()).reshape(bands.shape) & (some & chosen)[:, None])
+        variety, whole = np.zeros(len(ids), np.int32), np.zeros(len(ids), np.int64)
+        for i in np.unique(row).tolist():
+            variety[i] = held.variety(i, shingles)
+            whole[i] = int.from_bytes(_hash_of(held, held.begins[i], held.ends[i]), signed=True)
+        size = (held.ends - held.begins).astype(np.int32)
+        empty = pa.nulls(len(row), pa.int64())
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(bands[row, band].astype(np.int64)), empty, empty, empty,
+                pa.array(ids[row]), pa.array(size[row]), pa.array(variety[row]), pa.array(whole[row]),
+            ],
+            names=names,
+        )
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
@@ -339,22 +358,13 @@ def _gather(texts: DataFrame, key: str, text: str, table: np.ndarray, copies: bo
                 arrays += [pa.nulls(len(unique), pa.int64()), *[pa.nulls(len(unique), pa.int32())] * 2, pa.nulls(len(unique), pa.int64())]
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
                 if copies:
-                    bands, some = held.signatures(shingles)
-                    row, band = np.nonzero(hits(bands.ravel()).reshape(bands.shape) & some[:, None])
-                    variety, whole = np.zeros(len(part), np.int32), np.zeros(len(part), np.int64)
-                    for i in np.unique(row).tolist():
-                        variety[i] = held.variety(i, shingles)
-                        whole[i] = int.from_bytes(_hash_of(held, held.begins[i], held.ends[i]), signed=True)
+                    bare = [stripped_ending(unwrap(t))[0] for _, t in part]
+                    same = np.array([b == t for b, (_, t) in zip(bare, part, strict=True)])
                     ids = np.array([k if k is not None else 0 for k, _ in part], np.int64)
-                    size = (held.ends - held.begins).astype(np.int32)
-                    empty = pa.nulls(len(row), pa.int64())
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(bands[row, band].astype(np.int64)), empty, empty, empty,
-                            pa.array(ids[row]), pa.array(size[row]), pa.array(variety[row]), pa.array(whole[row]),
-                        ],
-                        names=names,
-                    )
+                    yield banded(held, shingles, ids, same)
+                    if not same.all():
+                        other = _Corpus([b for b, s in zip(bare, same, strict=True) if not s])
+                        yield banded(other, other.grams()[SHINGLE], ids[~same], np.ones(len(other.ends), bool))
 
     names = ["h", "total", "closed", "dotted", "id", "size", "variety", "whole"]
     return chosen.mapInArrow(

@@ -218,6 +218,14 @@ def test_a_copy_that_shows_no_cut_does_not_end_the_search(spark, monkeypatch):
     assert {k: (r["cut"], r["evidence"]) for k, r in got.items()} == {k: (r["cut"], r["evidence"]) for k, r in wide.items()}
 
 
+def test_copies_in_wrappers_are_found(spark):
+    base = "盐湖镇的账册放了九年，没有人碰过它。红隼山的信号灯到早晨才亮"  # short: the wrapper is more than a fifth of the copy
+    copy = "以下是《遥远的岛》第一章的简体中文翻译：\n\n" + base + "起来了。"
+    assert responses.unwrap(copy) == base + "起来了。"
+    got = cut_rows(spark, [copy, base])
+    assert got[1]["evidence"] == "copy"
+
+
 def test_alignment_of_ends():
     plain = truncation._Corpus([corpus(1)[0]]).strings()[0]
     assert truncation.ends_early(plain[:-12], plain)[1]
