@@ -1,9 +1,9 @@
 """Problem 4: broken pairs of prompt and response.
 
 Ordered rules read each response once: emptiness, unclosed delimiters, abrupt endings, refusal phrases in several
-languages, and script mismatch; only responses that trigger something leave the scan. Those in a foreign script are
-joined with their prompts and compared from the start for copies. Every triggered defect is listed; where one name is
-wanted, the rules' precedence decides.
+languages, and script mismatch; only responses that trigger something leave the scan. All responses are joined with
+their prompts and compared from the start for copies. Every triggered defect is listed; where one name is wanted, the
+rules' precedence decides.
 """
 
 from __future__ import annotations
@@ -124,11 +124,11 @@ def _scripts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _apply_rules(responses: DataFrame, key: str, prompt_id: str, response: str) -> DataFrame:
-    """Responses that trigger a rule or might: key, prompt id, one flag for each rule, and the text of foreign ones."""
+    """Responses that trigger a rule or might: key, prompt id and one flag for each rule."""
     chosen = responses.select(F.col(key).cast("bigint"), F.col(prompt_id).cast("string"), F.col(response))
     schema = (
         f"`{key}` bigint, `{prompt_id}` string, empty boolean, refusal boolean, foreign boolean, open boolean, "
-        "unclosed boolean, body string"
+        "unclosed boolean"
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,71 +140,79 @@ def _apply_rules(responses: DataFrame, key: str, prompt_id: str, response: str)
                 batch.column(0).to_pylist(), batch.column(1).to_pylist(), bodies, han, kana, letters, strict=True
             ):
                 if is_empty(body):
-                    rows.append((k, p, True, False, False, False, False, None))
+                    rows.append((k, p, True, False, False, False, False))
                     continue
                 foreign = h < CHINESE * a or j > JAPANESE * (h + j)
                 refusal = refuses(body)
                 openly = ends_openly(body)
                 if foreign or refusal or openly:
-                    rows.append((k, p, False, refusal, foreign, openly, openly and unclosed(body), body if foreign else None))
-            columns = list(zip(*rows, strict=True)) or [[]] * 8
-            types = [pa.int64(), pa.string(), *[pa.bool_()] * 5, pa.string()]
+                    rows.append((k, p, False, refusal, foreign, openly, openly and unclosed(body)))
+            columns = list(zip(*rows, strict=True)) or [[]] * 7
+            types = [pa.int64(), pa.string(), *[pa.bool_()] * 5]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(columns, types, strict=True)],
-                names=[key, prompt_id, "empty", "refusal", "foreign", "open", "unclosed", "body"],
+                names=[key, prompt_id, "empty", "refusal", "foreign", "open", "unclosed"],
             )
 
     return chosen.mapInArrow(run, schema)
 
 
 def broken_pairs(
-    prompts: DataFrame, responses: DataFrame, prompt_id: str, prompt: str, key: str, response: str
+    prompts: DataFrame, responses: DataFrame, prompt_id: str, prompt: str, key: str, response: str, every: bool = False
 ) -> DataFrame:
     """``key`` and ``defects`` (an array in the order of PRECEDENCE) of every defective pair; sound pairs give no row.
 
     key: a unique number of the response. Responses whose prompt id is null or unknown form no pair. Prompts delivered
     twice count once; of different prompts with one id, the text that sorts first counts. A null prompt is copied by
-    nothing. Null, blank and content-free responses are 'empty' and trigger nothing else. Abrupt endings are judged by
+    nothing. Null, blank and content-free responses are 'empty' and trigger nothing else. A copy in a foreign script is
+    listed as 'other_language' too only with ``every``. Abrupt endings are judged by
     the closing words of all responses, pairs or not. Other columns are not read; empty tables give no row.
     """
     flagged = stage(_apply_rules(responses, key, prompt_id, response), "flagged")
     cut = detect_cut(responses, key, response).where("cut").select(key, "cut")
     known = prompts.where(F.col(prompt_id).isNotNull()).select(F.col(prompt_id).cast("string").alias(prompt_id)).distinct()
-    paired = flagged.join(known, prompt_id, "left_semi")
-    asked = paired.where("foreign AND NOT refusal").select(key, prompt_id, "body")
     texts = (
         prompts.where(F.col(prompt_id).isNotNull())
-        .select(F.col(prompt_id).cast("string").alias(prompt_id), F.col(prompt).alias("prompt"))
-        .join(asked, prompt_id)
-        .groupBy(key)
-        .agg(F.min("prompt").alias("prompt"), F.min("body").alias("body"))
+        .groupBy(F.col(prompt_id).cast("string").alias(prompt_id))
+        .agg(F.min(prompt).alias("prompt"))
+        .where("prompt IS NOT NULL")
+        .join(
+            responses.where(F.col(response).isNotNull()).select(
+                F.col(key).cast("bigint"), F.col(prompt_id).cast("string"), F.col(response).alias("response")
+            ),
+            prompt_id,
+        )
     )
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            verdicts = [copies(p or "", b) for p, b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(verdicts, pa.bool_())], names=[key, "copied"])
-
-    copied = texts.select(key, "prompt", "body").mapInArrow(compare, f"`{key}` bigint, copied boolean")
-    joined = paired.drop("body").join(cut, key, "left").join(copied, key, "left")
+            keys = []
+            for k, p, r in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                body = unwrap(r)
+                if not is_empty(body) and copies(p, body):
+                    keys.append(k)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([True] * len(keys), pa.bool_())], names=[key, "copied"])
+
+    copied = texts.select(key, "prompt", "response").mapInArrow(compare, f"`{key}` bigint, copied boolean")
+    joined = flagged.join(known, prompt_id, "left_semi").join(copied, key, "full").join(cut, key, "left")
     no = F.lit(False)
-    truncated = F.coalesce("cut", no) | F.col("unclosed")
+    truncated = F.coalesce("cut", no) | F.coalesce("unclosed", no)
     copied_flag = F.coalesce("copied", no)
     tests = {
         "empty": F.col("empty"),
         "refusal": F.col("refusal"),
         "copy": copied_flag,
-        "other_language": F.col("foreign") & ~copied_flag,
+        "other_language": F.col("foreign") if every else F.col("foreign") & ~copied_flag,
         "truncated": truncated,
     }
     defects = F.array_compact(F.array(*[F.when(tests[d], F.lit(d)) for d in PRECEDENCE]))
     return joined.select(key, defects.alias("defects")).where(F.size("defects") > 0)
 
 
-def _pairs(spark: SparkSession, data_dir: str) -> DataFrame:
+def _pairs(spark: SparkSession, data_dir: str, every: bool = False) -> DataFrame:
     return broken_pairs(
         read_table(spark, data_dir, "chunks"), read_table(spark, data_dir, "translations"),
-        "chunk_id", "source_text", "seq", "translated_text",
+        "chunk_id", "source_text", "seq", "translated_text", every,
     )
 
 
@@ -215,7 +223,7 @@ def p4_found(spark: SparkSession, data_dir: str) -> DataFrame:
 
 def p4_defects(spark: SparkSession, data_dir: str) -> DataFrame:
     """Every triggered defect of each broken pair."""
-    return _pairs(spark, data_dir)
+    return _pairs(spark, data_dir, every=True)
 
 
 QUERIES = {"p4_found": p4_found, "p4_defects": p4_defects}

@@ -254,6 +254,17 @@ def test_defects(spark):
     assert pairs.broken_pairs(prompts, responses_.where("false"), "chunk_id", "source_text", "seq", "translated_text").count() == 0
 
 
+def test_every_defect_is_listed(spark):
+    sources = {"en": "The rain stopped, but Saltmere stayed dark until morning. Every tide table carries the mark of Orrel.",
+               "zh": "雨停了，但盐湖镇直到早晨都是一片漆黑。红隼山的每一件账册上都有记号，没有人能解释那种沉默。", "no": "I'm sorry, but I can't translate this passage for you today."}
+    cases = {1: ("en", sources["en"], ["copy", "other_language"]), 2: ("zh", sources["zh"], ["copy"]), 3: ("no", sources["no"], ["refusal", "copy", "other_language"]),
+             4: ("zh", "雨停了。", []), 5: ("en", None, ["empty"]), 6: ("gone", sources["zh"], [])}
+    prompts = spark.createDataFrame(list(sources.items()), "chunk_id string, source_text string")
+    rows = spark.createDataFrame([(k, c, t) for k, (c, t, _) in cases.items()], "seq long, chunk_id string, translated_text string")
+    got = {r["seq"]: r["defects"] for r in pairs.broken_pairs(prompts, rows, "chunk_id", "source_text", "seq", "translated_text", every=True).collect()}
+    assert got == {k: d for k, (_, _, d) in cases.items() if d}
+
+
 def test_cuts_that_only_a_copy_shows_are_truncated(spark):
     # Cut where the corpus usually ends a sentence: only the longer delivery tells.
     bodies = corpus()
