@@ -172,6 +172,7 @@ _PLACEHOLDER = re.compile(
 _PLACEHOLDER_HINT = re.compile(r"[{}<>%$@\[\]]|__|[xX]{4}")
 _MESSAGE, _DEMAND, _FILLER = _any(MESSAGES), _any(DEMANDS), _any(FILLERS)
 _X_FILLER = re.compile(r"^[\W_]*(?:x+[\W_]+){2,}x*[\W_]*$", re.I)
+_X_HINT = re.compile(r"(?<![^\W_])x+[\W_]")  # stands in whatever _X_FILLER matches
 _EXAMPLE = re.compile(r"“[^”\n]*”|「[^」\n]*」|『[^』\n]*』|`[^`\n]*`|«[^»\n]*»|„[^“\n]*“|\"[^\"\n]*\"|‘[^’\n]*’")
 _SENTENCE = re.compile(r"[^。！？!?.\n]*(?:[。！？!?]|\.(?!\w))+[”’\"')\]）」]*\s*|[^\n]+?(?=\n|\Z)|\n+")
 _WORDS = re.compile(r"[^\W\d_]+")
@@ -303,7 +304,7 @@ def find_residue(documents: DataFrame, key: str, text: str, source: str) -> Data
             rows = []
             for k, origin, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 low = body.lower()
-                hinted = any(h in low for h in HINTS)
+                hinted = any(h in low for h in HINTS) or bool(_X_HINT.search(low))
                 placeholder = has_placeholder(body)
                 lines = [x for x in map(str.strip, body.splitlines()) if x]
                 short = {x: _hash(x) for x in lines if _can_be_furniture(x)}

@@ -494,6 +494,13 @@ def test_residue(spark):
     assert residue.find_residue(table.where("false"), "doc_id", "text", "source").count() == 0
 
 
+def test_filler_of_short_runs_is_found(spark):
+    texts = ["xx xx xx", "X x. X x x.", "x_xx_x", "xx “Tavin” xx xx", "The box was six feet tall, and the tax was paid."]
+    table = spark.createDataFrame([(n, t, "s") for n, t in enumerate(texts)], "doc_id long, text string, source string")
+    got = {r["doc_id"] for r in residue.find_residue(table, "doc_id", "text", "source").where("excluded").collect()}
+    assert got == {0, 1, 2, 3}
+
+
 def test_every_phrase_has_a_hint():
     samples = [t for t in RESIDUE if t and not residue.has_placeholder(t)]
     for text in samples:
