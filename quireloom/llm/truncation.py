@@ -1,16 +1,19 @@
 """Problem 3: texts cut off by limits.
 
 A text that does not end in a sentence's closing sign is suspect. Two kinds of evidence decide. First, near-copies are
-sought by min-hash banding over five-token shingles; a suspect whose alignment with a verified copy ends early was cut.
-Second, a suspect without such a copy is scored by the terminality of its closing words: how often the corpus ends a
-sentence or line after the same characters, over closings of several lengths, and after the same last characters in a
-line of the same shape (a signature or a date ends differently from a sentence). The corpus is read once for both: a
-filter of fixed size over the suspects' hashes lets only what they need leave the scan.
+sought by min-hash banding: a cut text is like the beginning of its copy, so texts are signed at growing lengths and a
+suspect at the largest of them it fills, and a candidate must also hold one of the suspect's last phrases at that place
+and go on behind it. A suspect whose alignment with a verified copy ends early was cut. Second, a suspect without such a
+copy is scored by the terminality of its closing words: how often the corpus ends a sentence or line after the same
+characters, over closings of several lengths, and after the same last characters in a line of the same shape (a
+signature or a date ends differently from a sentence). The corpus is read once for both: a filter over the suspects'
+hashes, sized by their number, lets only what they need leave the scan.
 """
 
 from __future__ import annotations
 
 import functools
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,13 +33,26 @@ SHAPE_TOKENS = 8
 RANKS, SHAPE_RANK = (1, 2, 3, 4, 5, 6), 4
 #: Occurrences of a closing, besides the suspect's own, that make it evidence; share of endings that makes it terminal.
 SUPPORT, TERMINAL = 3, 0.5
-#: Slots of the filter over the suspects' hashes: 1 MB, whatever the corpus. More suspects only let more rows through.
-FILTER_BITS = 23
-SHINGLE, BANDS, ROWS, SIMILARITY = 5, 24, 5, 0.8
-#: Texts in a band bucket up to which a suspect is compared with all of them at once.
-FULL_BUCKET = 512
+#: The filter over the suspects' hashes has FILTER_SHARE bits for each, at most 2 ** FILTER_MOST (64 MB). Beyond, it lets
+#: more rows through that the joins behind it drop; the result never depends on it.
+FILTER_SHARE, FILTER_LEAST, FILTER_MOST = 32, 16, 29
+#: Where the places of a hash in the filter begin.
+PLACE_BITS = (0, 17, 35)
+#: Characters of a shingle, bands and their rows, and the share of a suspect's shingles that a copy holds.
+SHINGLE, BANDS, ROWS, SIMILARITY = 5, 8, 3, 0.8
+#: Lengths at which beginnings are signed: the least, and the ratio of each to the one before.
+LEAST_LENGTH, LENGTH_RATIO = 8, 1.25
+#: Characters of a phrase near a suspect's end, how far from the end such phrases stand, and how much earlier or later
+#: a changed copy may have them.
+PHRASE, PHRASE_PLACES, SHIFT = 8, (0, 4, 12), 16
+#: Copies of a key that are compared at first, one from each of so many parts of them.
+FIRST_PARTS, MORE_PARTS = 8, 8
+#: Pairs of a suspect's key and a copy up to which all that are left are compared in one go.
+PAIRS_AT_ONCE = 200_000
 TAIL = 64
 SLICE_CHARS = 500_000
+#: Closings a task sums up before it sends them on.
+HELD_CLOSINGS = 2_000_000
 
 ENDS = "。！？!?.;；｡"
 CLOSERS = "\"'”’」』)）]］】》〉"
@@ -55,6 +71,36 @@ def _mix(x: np.ndarray, salt: int) -> np.ndarray:
     return x * np.uint64(0x94D049BB133111EB)
 
 
+@functools.cache
+def _lengths() -> np.ndarray:
+    grid = LEAST_LENGTH * LENGTH_RATIO ** np.arange(100)
+    return np.unique(grid[grid < 2**31].astype(np.int64))
+
+
+def _level(n: np.ndarray) -> np.ndarray:
+    """Number of the largest length that ``n`` characters fill; -1 for none."""
+    return np.searchsorted(_lengths(), n, "right") - 1
+
+
+class _Filter:
+    """A bit array in which every hash has three places."""
+
+    def __init__(self, words: np.ndarray):
+        self.words, self.mask = words, np.uint64(len(words) * 32 - 1)
+
+    def _set(self, place: np.ndarray) -> np.ndarray:
+        place = place & self.mask
+        return (self.words[(place >> np.uint64(5)).astype(np.int64)] >> (place & np.uint64(31)).astype(np.uint32)) & 1 > 0
+
+    def holds(self, hashes: np.ndarray) -> np.ndarray:
+        """Whether each hash may be among those put in."""
+        found = self._set(hashes)
+        for bits in PLACE_BITS[1:]:
+            at = np.flatnonzero(found)
+            found[at] = self._set(hashes[at] >> np.uint64(bits))
+        return found
+
+
 @functools.cache
 def _char_tables() -> tuple[np.ndarray, np.ndarray]:
     """Normal form of each character (0: left out), and its kind: 1 ideograph or kana, 2 letter, 3 digit, 4 blank,
@@ -150,34 +196,54 @@ class _Corpus:
         one = self.points.tobytes().decode("utf-32-le", "surrogatepass")
         return [one[a:b] for a, b in zip(self.begins.tolist(), self.ends.tolist(), strict=True)]
 
-    def signatures(self, shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Band hashes of each text by one-permutation min-hashing, empty bins filled from drawn ones, and which have any."""
-        bins = BANDS * ROWS
-        least = np.full(len(self.ends) * bins, np.iinfo(np.uint64).max, np.uint64)
-        owner = np.repeat(np.arange(len(self.ends)), self.ends - self.begins + 1)
-        inside = np.arange(len(self.points)) - self.begins[owner] >= SHINGLE - 1
-        inside &= self.points != _END
+    def signatures(self, shingles: np.ndarray, text: np.ndarray, level: np.ndarray) -> np.ndarray:
+        """Band hashes of the beginning of each given text up to the length of each given level.
+
+        One-permutation min-hashing: the least hashes of the stretches between two lengths, the least of all before them,
+        and empty bins filled from the next that is not.
+        """
+        bins, lengths, nothing = BANDS * ROWS, _lengths(), np.iinfo(np.uint64).max
+        used = np.unique(text)
+        local = np.full(len(self.ends), -1, np.int64)
+        local[used] = np.arange(len(used))
+        top = np.zeros(len(used), np.int64)
+        np.maximum.at(top, local[text], level)
+        first = np.cumsum(top + 1) - (top + 1)
+        owner = np.repeat(local, self.ends - self.begins + 1)
+        place = np.arange(len(self.points)) - np.repeat(self.begins, self.ends - self.begins + 1)
+        inside = np.flatnonzero((owner >= 0) & (place >= SHINGLE - 1) & (self.points != _END))
+        stretch = np.searchsorted(lengths, place[inside] + 1)
+        kept = stretch <= top[owner[inside]]
+        inside, stretch = inside[kept], stretch[kept]
         values = shingles[inside]
-        place = owner[inside] * bins + (((values >> np.uint64(32)) * np.uint64(bins)) >> np.uint64(32)).astype(np.int64)
-        np.minimum.at(least, place, values)
+        row = first[owner[inside]] + stretch
+        least = np.full(int((top + 1).sum()) * bins, nothing, np.uint64)
+        np.minimum.at(least, row * bins + (((values >> np.uint64(32)) * np.uint64(bins)) >> np.uint64(32)).astype(np.int64), values)
         grid = least.reshape(-1, bins)
-        nothing = np.iinfo(np.uint64).max
-        some = (grid != nothing).any(1)
-        row, place = np.nonzero((grid == nothing) & some[:, None])
-        filled, draw = grid.copy(), np.random.default_rng(7)
-        while len(row):
-            drawn = grid[row, draw.permutation(bins)[place]]
-            found = drawn != nothing
-            filled[row[found], place[found]] = drawn[found]
-            row, place = row[~found], place[~found]
-        bands = np.zeros((len(grid), BANDS), np.uint64)
-        for r in range(ROWS):
-            bands = bands * _P + filled.reshape(-1, BANDS, ROWS)[:, :, r]
-        return _mix(bands + np.arange(BANDS, dtype=np.uint64), 7), some
-
-    def variety(self, text: int, shingles: np.ndarray) -> int:
-        """Different shingles of a text."""
-        return len(np.unique(shingles[min(self.begins[text] + SHINGLE - 1, self.ends[text]) : self.ends[text]]))
+        for step in range(1, int(top.max(initial=0)) + 1):
+            at = first[top >= step] + step
+            grid[at] = np.minimum(grid[at], grid[at - 1])
+        grid = grid[first[local[text]] + level]
+        twice = np.concatenate((grid, grid), 1)
+        following = np.where(twice != nothing, np.arange(2 * bins), 4 * bins)
+        following = np.minimum.accumulate(following[:, ::-1], 1)[:, ::-1][:, :bins]
+        gap = following - np.arange(bins)
+        with np.errstate(over="ignore"):
+            filled = np.take_along_axis(twice, np.minimum(following, 2 * bins - 1), 1) + gap.astype(np.uint64) * _P
+            bands = np.zeros((len(grid), BANDS), np.uint64)
+            for r in range(ROWS):
+                bands = bands * _P + filled.reshape(-1, BANDS, ROWS)[:, :, r]
+        return _mix(bands + np.arange(BANDS, dtype=np.uint64) + level.astype(np.uint64)[:, None] * np.uint64(64), 7)
+
+
+def _keys(bands: np.ndarray, phrases: np.ndarray, back: int) -> np.ndarray:
+    """Hashes of each band with the phrase that stands ``back`` characters before the end."""
+    with np.errstate(over="ignore"):
+        return _mix(bands * _P + phrases[:, None], 20 + back)
+
+
+def _phrase_hashes(phrases: np.ndarray) -> np.ndarray:
+    return _mix(phrases, 13)
 
 
 def _parts(rows: list[tuple]) -> Iterator[list[tuple]]:
@@ -217,13 +283,14 @@ _CLOSED = r"(?s)^.*[。！？!?][”’」』)）\]］】》\"']*\s*$|^.*[^.\s]\
 
 
 def find_suspects(texts: DataFrame, key: str, text: str) -> DataFrame:
-    """Suspects with their hashes: ``key``, ``body``, ``dots``, ``broken``, ``closings``, ``shape``, ``bands``, ``tail``."""
+    """Suspects with their hashes: ``key``, ``body``, ``dots``, ``broken``, ``closings``, ``shape``, ``tail``, a hash of the
+    last characters, ``phrases`` and, of these with the bands of the beginning, ``keys``."""
     chosen = texts.select(F.col(key).cast("bigint"), F.col(text)).where(
         F.col(text).isNotNull() & ~F.right(F.col(text), F.lit(TAIL)).rlike(_CLOSED)
     )
     schema = (
         f"`{key}` bigint, body string, dots boolean, broken boolean, closings array<bigint>, shape bigint, "
-        "bands array<bigint>, tail bigint, size int, variety int"
+        "tail bigint, phrases array<bigint>, keys array<bigint>"
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,10 +312,19 @@ def find_suspects(texts: DataFrame, key: str, text: str) -> DataFrame:
                     [int(grams[n][e].astype(np.int64)) if s >= n else None for n in ORDERS]
                     for e, s in zip(last, size, strict=True)
                 ]
-                bands, some = held.signatures(grams[SHINGLE])
-                bands = [b if o else [] for b, o in zip(bands.astype(np.int64).tolist(), some, strict=True)]
-                variety = [held.variety(i, grams[SHINGLE]) for i in range(len(part))]
-                tail = [int.from_bytes(_short_hash(held, b, e)) for b, e in zip(held.begins, held.ends, strict=True)]
+                level = _level(size)
+                signed = np.flatnonzero(level >= 0)
+                bands = held.signatures(grams[SHINGLE], signed, level[signed])
+                phrases: list[list[int]] = [[] for _ in part]
+                keys: list[list[int]] = [[] for _ in part]
+                for back in PHRASE_PLACES:
+                    fits = size[signed] >= PHRASE + back
+                    found = grams[PHRASE][last[signed[fits]] - back]
+                    joint = _keys(bands[fits], found, back).astype(np.int64).tolist()
+                    for i, h, ks in zip(signed[fits].tolist(), _phrase_hashes(found).astype(np.int64).tolist(), joint, strict=True):
+                        phrases[i].append(h)
+                        keys[i] += ks
+                tail = [_hash_of(held, max(b, e - 24), e) for b, e in zip(held.begins, held.ends, strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([r[0] for r in part], pa.int64()),
@@ -257,58 +333,76 @@ def find_suspects(texts: DataFrame, key: str, text: str) -> DataFrame:
                         pa.array([r[3].endswith(BROKEN) for r in part], pa.bool_()),
                         pa.array(closings, pa.list_(pa.int64())),
                         pa.array([int(v) if o else None for v, o in zip(shape[last].astype(np.int64), short[last], strict=True)], pa.int64()),
-                        pa.array(bands, pa.list_(pa.int64())),
-                        pa.array([t - (1 << 63) for t in tail], pa.int64()),
-                        pa.array(size.astype(np.int32)),
-                        pa.array(variety, pa.int32()),
+                        pa.array(tail, pa.int64()),
+                        pa.array(phrases, pa.list_(pa.int64())),
+                        pa.array(keys, pa.list_(pa.int64())),
                     ],
-                    names=[key, "body", "dots", "broken", "closings", "shape", "bands", "tail", "size", "variety"],
+                    names=[key, "body", "dots", "broken", "closings", "shape", "tail", "phrases", "keys"],
                 )
 
     return chosen.mapInArrow(run, schema)
 
 
-def _hash_of(held: _Corpus, begin: int, end: int) -> bytes:
-    import hashlib
-
-    return hashlib.blake2b(held.points[begin:end].tobytes(), digest_size=8).digest()
+def _hash_of(held: _Corpus, begin: int, end: int) -> int:
+    return int.from_bytes(hashlib.blake2b(held.points[begin:end].tobytes(), digest_size=8).digest(), signed=True)
 
 
-def _short_hash(held: _Corpus, begin: int, end: int) -> bytes:
-    return _hash_of(held, max(begin, end - 24), end)
-
-
-def _filter_of(suspects: DataFrame, copies: bool, bits: int) -> np.ndarray:
-    """Bit array over the hashes of all suspects; 2 ** bits slots come back in words of 32 as one row each."""
-    hashes = F.concat("closings", F.array("shape"), F.col("bands") if copies else F.array().cast("array<bigint>"))
-    slots = suspects.select(F.explode(hashes).alias("h")).where("h IS NOT NULL").select(
-        F.col("h").bitwiseAND(F.lit((1 << bits) - 1)).alias("slot")
+def _filter_of(suspects: DataFrame, copies: bool) -> np.ndarray:
+    """Bit array over the hashes of all suspects, sized by their number; it comes back in words of 32 as one row each."""
+    more = [F.col("phrases"), F.col("keys")] if copies else []
+    hashes = suspects.select(F.explode(F.concat("closings", F.array("shape"), *more)).alias("h")).where("h IS NOT NULL")
+    n = suspects.count() * (len(ORDERS) + 1 + (len(PHRASE_PLACES) * (1 + BANDS) if copies else 0))
+    bits = min(max(FILTER_LEAST, (n * FILTER_SHARE).bit_length()), FILTER_MOST)
+    places = hashes.select(F.explode(F.array(*[F.shiftrightunsigned("h", b) for b in PLACE_BITS])).alias("h")).select(
+        F.col("h").bitwiseAND(F.lit((1 << bits) - 1)).alias("place")
+    )
+    words = places.groupBy(F.shiftright("place", 5).cast("int").alias("word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, CAST(place & 31 AS INT))")).alias("bits")
     )
-    words = slots.groupBy(F.shiftright("slot", 5).cast("int").alias("word")).agg(
-        F.bit_or(F.expr("shiftleft(1L, CAST(slot & 31 AS INT))")).alias("bits")
-    ).toPandas()
     table = np.zeros(1 << (bits - 5), np.uint32)
-    table[words.word.to_numpy(int)] = words.bits.to_numpy(np.int64).astype(np.uint32)
+    found = words.toArrow()
+    table[found.column("word").to_numpy()] = found.column("bits").to_numpy().astype(np.uint32)
     return table
 
 
-def _gather(texts: DataFrame, key: str, text: str, table: np.ndarray, copies: bool, bits: int) -> DataFrame:
-    """What the suspects need of the corpus: closings with counts, and bands with the texts that have them.
+class _Sums:
+    """Closings of a task with their counts, each hash once."""
+
+    def __init__(self):
+        self.parts: list[np.ndarray] = []
+        self.held = 0
+
+    def add(self, rows: np.ndarray) -> None:
+        """rows: hash, total, closed, dotted."""
+        self.parts.append(rows)
+        self.held += rows.shape[1]
+
+    def whole(self) -> np.ndarray:
+        if not self.parts:
+            return np.zeros((4, 0), np.int64)
+        joined = np.concatenate(self.parts, 1)
+        unique, place = np.unique(joined[0], return_inverse=True)
+        sums = [np.bincount(place, joined[i], len(unique)).astype(np.int64) for i in (1, 2, 3)]
+        self.parts = [np.stack([unique, *sums])]
+        self.held = len(unique)
+        return self.parts[0]
+
+
+_GATHERED = "h bigint, total bigint, closed bigint, dotted bigint, id bigint, after int, whole bigint, body string"
 
-    Bands, sizes and hashes are those of the texts without wrappers and dots behind them, as suspects have them.
 
-    Rows: ``h``, ``total``, ``closed``, ``dotted`` for a closing (``id`` null), or ``h``, ``id``, ``size``, ``variety`` and
-    ``whole``, a hash of the normalised text, for a band.
+def _gather(texts: DataFrame, key: str, text: str, table: np.ndarray, copies: bool) -> DataFrame:
+    """What the suspects need of the corpus, in rows of three kinds.
+
+    A closing: ``h``, ``total``, ``closed``, ``dotted``, summed up over the task. A text that holds a suspect's phrase
+    behind a beginning with its band: ``h``, ``id``, ``after`` (characters behind the phrase) and ``whole``, a hash of the
+    normalised text. Each such text once: ``id`` and ``body``. Bands and hashes of copies are those of the texts without
+    wrappers and dots behind them, as suspects have them.
     """
     shared = texts.sparkSession.sparkContext.broadcast(table)
     chosen = texts.select(F.col(key).cast("bigint"), F.col(text)).where(F.col(text).isNotNull())
-    mask = np.uint64((1 << bits) - 1)
-
-    def hits(hashes: np.ndarray) -> np.ndarray:
-        slot = hashes & mask
-        return (shared.value[(slot >> np.uint64(5)).astype(np.int64)] >> (slot & np.uint64(31)).astype(np.uint32)) & 1 > 0
 
-    def count(held: _Corpus) -> list[np.ndarray]:
+    def count(held: _Corpus, grams: dict[int, np.ndarray], wanted: _Filter) -> np.ndarray:
         kind, points = held.kind, held.points
         after, later = np.zeros((2, len(points)), np.uint8)
         after[:-1], later[:-2] = kind[1:], kind[2:]
@@ -317,59 +411,89 @@ def _gather(texts: DataFrame, key: str, text: str, table: np.ndarray, copies: bo
         closed = ((after & 40) > 0) | ((after == 16) & ((later & 40) > 0))
         dotted = after == 64
         use = (points != _END) & ~final
-        grams = held.grams()
         shape, short = held.shapes(grams[2])
-        found = []
+        sums = _Sums()
         for hashes, ok in [*((grams[n], use) for n in ORDERS), (shape, use & short)]:
             at = np.flatnonzero(ok)
-            at = at[hits(hashes[at])]
-            found.append(np.stack([hashes[at], closed[at].astype(np.uint64), dotted[at].astype(np.uint64)]))
-        joined = np.concatenate(found, 1)
-        unique, place = np.unique(joined[0], return_inverse=True)
-        n = len(unique)
-        sums = [np.bincount(place, minlength=n), np.bincount(place, joined[1], n), np.bincount(place, joined[2], n)]
-        return [unique, *sums, grams[SHINGLE]]
-
-    def banded(held: _Corpus, shingles: np.ndarray, ids: np.ndarray, chosen: np.ndarray) -> pa.RecordBatch:
-        bands, some = held.signatures(shingles)
-        row, band = np.nonzero(hits(bands.ravel()).reshape(bands.shape) & (some & chosen)[:, None])
-        variety, whole = np.zeros(len(ids), np.int32), np.zeros(len(ids), np.int64)
-        for i in np.unique(row).tolist():
-            variety[i] = held.variety(i, shingles)
-            whole[i] = int.from_bytes(_hash_of(held, held.begins[i], held.ends[i]), signed=True)
-        size = (held.ends - held.begins).astype(np.int32)
-        empty = pa.nulls(len(row), pa.int64())
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array(bands[row, band].astype(np.int64)), empty, empty, empty,
-                pa.array(ids[row]), pa.array(size[row]), pa.array(variety[row]), pa.array(whole[row]),
-            ],
-            names=names,
-        )
+            at = at[wanted.holds(hashes[at])]
+            sums.add(np.stack([hashes[at].astype(np.int64), np.ones(len(at), np.int64), closed[at], dotted[at]]).astype(np.int64))
+        return sums.whole()
+
+    def candidates(held: _Corpus, grams: dict[int, np.ndarray], wanted: _Filter) -> tuple[np.ndarray, ...]:
+        """Keys the suspects have, the texts that have them, and the characters behind their phrases.
+
+        Only where the text would go on in the same line behind the suspect's end.
+        """
+        size = held.ends - held.begins
+        owner = np.repeat(np.arange(len(held.ends)), size + 1)
+        through = np.arange(len(held.points)) - held.begins[owner] + 1
+        behind = held.ends[owner] - 1 - np.arange(len(held.points))
+        at = np.flatnonzero((through >= PHRASE) & (behind >= 2))
+        at = at[wanted.holds(_phrase_hashes(grams[PHRASE][at]))]
+        top, last = _level(size), np.full(len(at), -1)
+        places, levels = [], []
+        for shift in range(-SHIFT, SHIFT + PHRASE_PLACES[-1] + 1, 4):
+            level = _level(through[at] + shift)
+            new = (level > last) & (level <= top[owner[at]])
+            places.append(at[new])
+            levels.append(level[new])
+            last = np.maximum(last, level)
+        place, level = np.concatenate(places), np.concatenate(levels)
+        if not len(place):
+            return np.zeros(0, np.uint64), place, place
+        pair, back = np.unique(owner[place] * 128 + level, return_inverse=True)
+        bands = held.signatures(grams[SHINGLE], pair // 128, pair % 128)
+        found = []
+        for before_end in PHRASE_PLACES:
+            goes_on = np.flatnonzero(behind[place] >= before_end + 2)
+            goes_on = goes_on[held.kind[place[goes_on] + before_end + 1] != 32]
+            keys = _keys(bands[back[goes_on]], grams[PHRASE][place[goes_on]], before_end)
+            row, band = np.nonzero(wanted.holds(keys.ravel()).reshape(keys.shape))
+            at = place[goes_on[row]]
+            found.append((keys[row, band], owner[at], behind[at]))
+        return tuple(map(np.concatenate, zip(*found, strict=True)))
+
+    def closings(sums: np.ndarray) -> pa.RecordBatch:
+        n = sums.shape[1]
+        empty = [pa.nulls(n, t) for t in (pa.int64(), pa.int32(), pa.int64(), pa.string())]
+        return pa.RecordBatch.from_arrays([*map(pa.array, sums), *empty], names=names)
+
+    def copies_of(held: _Corpus, grams: dict[int, np.ndarray], wanted: _Filter, ids: np.ndarray, bodies: list[str]) -> Iterator[pa.RecordBatch]:
+        keys, owner, after = candidates(held, grams, wanted)
+        used = np.unique(owner)
+        whole = np.zeros(len(ids), np.int64)
+        for i in used.tolist():
+            whole[i] = _hash_of(held, held.begins[i], held.ends[i])
+        for n, columns in (
+            (len(keys), {0: pa.array(keys.astype(np.int64)), 4: pa.array(ids[owner]), 5: pa.array(after.astype(np.int32)), 6: pa.array(whole[owner])}),
+            (len(used), {4: pa.array(ids[used]), 7: pa.array([bodies[i] for i in used.tolist()], pa.string())}),
+        ):
+            yield pa.RecordBatch.from_arrays([columns.get(i, pa.nulls(n, t)) for i, t in enumerate(types)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted, sums = _Filter(shared.value), _Sums()
         for batch in batches:
             rows = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
             for part in _parts(rows):
                 held = _Corpus([t for _, t in part])
-                unique, total, closed, dotted, shingles = count(held)
-                columns = [unique.astype(np.int64), total, closed, dotted]
-                arrays = [pa.array(c.astype(np.int64)) for c in columns]
-                arrays += [pa.nulls(len(unique), pa.int64()), *[pa.nulls(len(unique), pa.int32())] * 2, pa.nulls(len(unique), pa.int64())]
-                yield pa.RecordBatch.from_arrays(arrays, names=names)
+                grams = held.grams()
+                sums.add(count(held, grams, wanted))
+                if sums.held > HELD_CLOSINGS and sums.whole().shape[1] > HELD_CLOSINGS // 2:
+                    yield closings(sums.whole())
+                    sums = _Sums()
                 if copies:
-                    bare = [stripped_ending(unwrap(t))[0] for _, t in part]
-                    same = np.array([b == t for b, (_, t) in zip(bare, part, strict=True)])
+                    bodies = [stripped_ending(unwrap(t))[0] for _, t in part]
                     ids = np.array([k if k is not None else 0 for k, _ in part], np.int64)
-                    yield banded(held, shingles, ids, same)
-                    if not same.all():
-                        other = _Corpus([b for b, s in zip(bare, same, strict=True) if not s])
-                        yield banded(other, other.grams()[SHINGLE], ids[~same], np.ones(len(other.ends), bool))
-
-    names = ["h", "total", "closed", "dotted", "id", "size", "variety", "whole"]
-    return chosen.mapInArrow(
-        run, "h bigint, total bigint, closed bigint, dotted bigint, id bigint, size int, variety int, whole bigint"
-    )
+                    if all(b == t for b, (_, t) in zip(bodies, part, strict=True)):
+                        yield from copies_of(held, grams, wanted, ids, bodies)
+                    else:
+                        bare = _Corpus(bodies)
+                        yield from copies_of(bare, bare.grams(), wanted, ids, bodies)
+        yield closings(sums.whole())
+
+    names = ["h", "total", "closed", "dotted", "id", "after", "whole", "body"]
+    types = [*[pa.int64()] * 5, pa.int32(), pa.int64(), pa.string()]
+    return chosen.mapInArrow(run, _GATHERED)
 
 
 def _terminality(suspects: DataFrame, key: str, gathered: DataFrame) -> DataFrame:
@@ -406,12 +530,12 @@ def shingles_of(text: str) -> set[str]:
 
 
 def ends_early(plain_cut: str, plain_whole: str) -> tuple[float, bool]:
-    """Similarity of two normalised texts, and whether the first one's end lies before the second one's.
+    """Share of the first normalised text's shingles that the second has, and whether it ends within a line of it.
 
     The last TAIL characters of the first are aligned anywhere in the second at the least edit cost.
     """
     a, b = shingles_of(plain_cut), shingles_of(plain_whole)
-    similarity = len(a & b) / max(1, len(a | b))
+    similarity = len(a & b) / max(1, len(a))
     if similarity < SIMILARITY:
         return similarity, False
     tail = plain_cut[-TAIL:]
@@ -426,72 +550,64 @@ def ends_early(plain_cut: str, plain_whole: str) -> tuple[float, bool]:
     best = len(cost) - 1 - int(np.argmin(cost[::-1]))
     if cost[best] > len(tail) // 4:
         return similarity, False
-    return similarity, sum(ch.isalnum() for ch in plain_whole[best:]) >= 2
+    rest = plain_whole[best:]
+    return similarity, not rest.lstrip(" ").startswith("\n") and sum(ch.isalnum() for ch in rest) >= 2
 
 
-def _cut_copies(texts: DataFrame, suspects: DataFrame, key: str, text: str, gathered: DataFrame) -> DataFrame:
+def _judged(pairs: DataFrame, suspects: DataFrame, copies: DataFrame, key: str) -> DataFrame:
+    """Pairs of suspect and copy with ``early``: the copy is one and goes on where the suspect ends."""
+    held = pairs.join(suspects.select(F.col(key).alias("suspect"), F.col("body").alias("cut")), "suspect").join(copies, "id")
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.to_pylist()
+            cuts = _Corpus([stripped_ending(r["cut"])[0] for r in rows]).strings()
+            wholes = _Corpus([r["body"] for r in rows]).strings()
+            early = [ends_early(*both)[1] for both in zip(cuts, wholes, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("suspect"), pa.array(early, pa.bool_())], names=["suspect", "early"])
+
+    return held.select("suspect", "cut", "body").mapInArrow(judge, "suspect bigint, early boolean")
+
+
+def _cut_copies(suspects: DataFrame, key: str, gathered: DataFrame) -> DataFrame:
     """Suspects that end before a verified near-copy does.
 
-    Texts that are the same in normal form give the same verdict, so one of them stands for all. In a band bucket of up to
-    FULL_BUCKET texts a suspect is compared with every longer text. In a larger one it meets the longest text at first,
-    then the longest of 2, 4, 8 ... parts of the bucket, and leaves only when it ends early in a copy; so a bucket that
-    holds much of the corpus costs a few comparisons for each cut suspect in it, and any other is compared until nothing
-    longer is left.
+    Texts that are the same in normal form stand for each other. The copies of a key, ranked by what follows the phrase,
+    are divided into 8, 64, 512 ... parts; each suspect still open is compared with the first of each part, until it ends
+    early in one or so few are left that all can be. So a key that much of the corpus shares costs a few comparisons for each cut suspect,
+    no suspect is joined with more copies of a key at a time than there are parts, and no copy is passed over.
     """
-    spark = texts.sparkSession
-    pool = gathered.where("id IS NOT NULL").groupBy("h", "size", "variety", "whole").agg(F.min("id").alias("id")).drop("whole")
-    sizes = pool.groupBy("h").agg(F.count("*").alias("held"))
-    pool = stage(pool.join(sizes, "h"), "buckets")
-    open_rows = suspects.select(
-        F.col(key).alias("suspect"), F.col("size").alias("own_size"), F.col("variety").alias("own"), F.explode("bands").alias("h")
+    copies = stage(gathered.where("body IS NOT NULL").select("id", "body"), "copies")
+    pool = gathered.where("whole IS NOT NULL").groupBy("h", "whole").agg(
+        F.min_by("id", F.struct(-F.col("after"), F.col("id"))).alias("id"), F.max("after").alias("after")
     )
-    # Two sets of shingles can only be similar enough when the smaller has that share of the larger.
-    near = f"size > own_size AND id <> suspect AND own >= {SIMILARITY} * variety AND variety >= {SIMILARITY} * own"
-    done = tried = None
-    step = 0
+    pool = stage(pool, "pool")
+    asked = stage(suspects.select(F.col(key).alias("suspect"), F.explode("keys").alias("h")).distinct(), "asked")
+    parts, done, met = FIRST_PARTS, None, None
     while True:
-        reach = open_rows.join(pool, "h").where(near)
-        if tried is not None:
-            reach = reach.where(F.col("held") > FULL_BUCKET)
-            reach = reach.join(tried, ["suspect", "id"], "left_anti").join(done, "suspect", "left_anti")
-        part = F.when(F.col("held") <= FULL_BUCKET, F.col("id")).otherwise(F.pmod(F.hash("id"), F.lit(1 << min(step, 30))))
-        leaders = reach.groupBy("suspect", "h", part.alias("part")).agg(F.max(F.struct("size", "id"))["id"].alias("id"))
-        step += 1
-        pairs = stage(leaders.select("suspect", "id").distinct(), "pairs")
-        if pairs.isEmpty():
-            break
-        held = (
-            pairs.join(suspects.select(F.col(key).alias("suspect"), "body"), "suspect")
-            .join(texts.select(F.col(key).alias("id"), F.col(text).alias("copy")), "id")
-        )
-
-        def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                rows = batch.to_pylist()
-                cuts = _Corpus([stripped_ending(r["body"])[0] for r in rows]).strings()
-                wholes = _Corpus([stripped_ending(unwrap(r["copy"]))[0] for r in rows]).strings()
-                verdicts = list(map(ends_early, cuts, wholes))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([r["suspect"] for r in rows], pa.int64()),
-                        pa.array([r["id"] for r in rows], pa.int64()),
-                        pa.array([s >= SIMILARITY for s, _ in verdicts], pa.bool_()),
-                        pa.array([e for _, e in verdicts], pa.bool_()),
-                    ],
-                    names=["suspect", "id", "copy", "early"],
-                )
-
-        judged = stage(held.mapInArrow(judge, "suspect bigint, id bigint, copy boolean, early boolean"), "judged")
-        found = judged.where("copy AND early").select("suspect", "early").distinct()
+        firsts = pool
+        if parts:
+            part = F.pmod(F.xxhash64("whole"), F.lit(parts))
+            firsts = pool.groupBy("h", part.alias("part")).agg(F.max_by("id", F.struct("after", "id")).alias("id"))
+            firsts = stage(firsts.select("h", "id"), "firsts")
+        new = firsts if met is None else firsts.join(met, ["h", "id"], "left_anti")
+        pairs = asked.join(new, "h").where("id <> suspect").select("suspect", "id").distinct()
+        found = stage(_judged(pairs, suspects, copies, key).where("early").select("suspect").distinct(), "early")
         done = found if done is None else done.unionByName(found)
-        tried = judged.select("suspect", "id") if tried is None else tried.unionByName(judged.select("suspect", "id"))
-        done, tried = stage(done, "done"), stage(tried, "tried")
-    if done is None:
-        return spark.createDataFrame([], "suspect bigint, early boolean")
-    return done.distinct()
-
-
-def detect_cut(texts: DataFrame, key: str, text: str, copies: bool = True, bits: int = FILTER_BITS) -> DataFrame:
+        if not parts:
+            return done.distinct().withColumn("early", F.lit(True))
+        # Only keys with copies that were not met yet and with open suspects go on; few pairs go on all at once.
+        rest = pool.groupBy("h").agg(F.count("*").alias("n")).join(firsts.groupBy("h").agg(F.count("*").alias("met")), "h").where("n > met")
+        asked = stage(asked.join(found, "suspect", "left_anti").join(rest.select("h", "n"), "h"), "asked")
+        left = asked.agg(F.sum("n")).first()[0]
+        if not left:
+            return done.distinct().withColumn("early", F.lit(True))
+        asked = asked.drop("n")
+        pool = stage(pool.join(asked.select("h").distinct(), "h", "left_semi"), "pool")
+        met, parts = firsts, parts * MORE_PARTS if left > PAIRS_AT_ONCE else 0
+
+
+def detect_cut(texts: DataFrame, key: str, text: str, copies: bool = True) -> DataFrame:
     """Suspect texts with a verdict: ``key``, ``cut``, ``evidence``, ``score`` (terminality), ``support``.
 
     key: a unique number. Texts that are null, blank, content-free or end in a closing sign are no suspects and give no
@@ -500,12 +616,11 @@ def detect_cut(texts: DataFrame, key: str, text: str, copies: bool = True, bits:
     a table of few rows). Repeated texts are judged alike. Empty tables give no row; other columns are not read.
     """
     suspects = stage(find_suspects(texts, key, text), "suspects")
-    table = _filter_of(suspects, copies, bits)
-    gathered = stage(_gather(texts, key, text, table, copies, bits), "gathered")
+    gathered = stage(_gather(texts, key, text, _filter_of(suspects, copies), copies), "gathered")
     scores = _terminality(suspects, key, gathered)
     out = suspects.select(key, "broken").join(scores, key, "left")
     if copies:
-        early = _cut_copies(texts, suspects, key, text, gathered)
+        early = _cut_copies(suspects, key, gathered)
         out = out.join(early.withColumnRenamed("suspect", key), key, "left")
     else:
         out = out.withColumn("early", F.lit(None).cast("boolean"))

@@ -199,7 +199,7 @@ def test_odd_texts_are_no_cuts(spark):
 
 
 def test_hot_buckets_are_compared_to_the_end(spark, monkeypatch):
-    monkeypatch.setattr(truncation, "FULL_BUCKET", 2)
+    monkeypatch.setattr(truncation, "FIRST_PARTS", 1)
     base = corpus(1)[0]
     whole = [base + f"第{n}号。" for n in range(30)]
     got = cut_rows(spark, [*whole, base[:-6]])
@@ -213,11 +213,37 @@ def test_a_copy_that_shows_no_cut_does_not_end_the_search(spark, monkeypatch):
     table = [*inserted, base, base, cut]
     wide = cut_rows(spark, table)
     assert wide[len(table) - 1]["evidence"] == "copy"
-    monkeypatch.setattr(truncation, "FULL_BUCKET", 2)
+    monkeypatch.setattr(truncation, "FIRST_PARTS", 1)
     got = cut_rows(spark, table)
     assert {k: (r["cut"], r["evidence"]) for k, r in got.items()} == {k: (r["cut"], r["evidence"]) for k, r in wide.items()}
 
 
+@pytest.mark.parametrize("parts, at_once", [(1, 0), (2, 3), (8, 200_000)])
+def test_verdicts_do_not_depend_on_how_copies_are_parted(spark, monkeypatch, parts, at_once):
+    monkeypatch.setattr(truncation, "FIRST_PARTS", parts)
+    monkeypatch.setattr(truncation, "PAIRS_AT_ONCE", at_once)
+    base = "".join(corpus(3))[:-1]
+    # Longer texts that share the suspect's beginning and phrase but hold too little of it, and one copy among them.
+    others = [base[:300] + chr(0x5000 + n) * (200 + 5 * n) + base[-30:] + "还有更多的话要说。" * n for n in range(1, 9)]
+    got = cut_rows(spark, [*others, base + "，没有人回来。", base])
+    assert (got[9]["cut"], got[9]["evidence"]) == (True, "copy") and len(got) == 1
+
+
+def test_copies_are_found_as_by_brute_force(spark):
+    """Texts cut anywhere from a fifth on, beside whole copies with changed characters."""
+    rng = random.Random(11)
+    whole = ["".join(corpus(3 * n + 3)[3 * n : 3 * n + 1 + n % 3]) for n in range(80)]
+    changed = ["".join(chr(0x4E00 + rng.randrange(5000)) if rng.random() < 0.02 else c for c in t) for t in whole]
+    cut = [t[: rng.randint(len(t) // 5, len(t) - 4)].rstrip("。") for t in whole]
+    got = cut_rows(spark, changed + cut)
+    plain = truncation._Corpus(changed).strings()
+    expected = {
+        80 + i for i, c in enumerate(truncation._Corpus(cut).strings()) if any(truncation.ends_early(c, w)[1] for w in plain)
+    }
+    found = {k for k, r in got.items() if r["evidence"] == "copy"}
+    assert found <= expected and len(expected) > 60 and len(found) >= 0.9 * len(expected)
+
+
 def test_copies_in_wrappers_are_found(spark):
     base = "盐湖镇的账册放了九年，没有人碰过它。红隼山的信号灯到早晨才亮"  # short: the wrapper is more than a fifth of the copy
     copy = "以下是《遥远的岛》第一章的简体中文翻译：\n\n" + base + "起来了。"
