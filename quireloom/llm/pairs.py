@@ -21,8 +21,8 @@ from quireloom.llm.truncation import detect_cut, ends_openly
 from quireloom.plans.staging import stage
 from quireloom.sources import read_table
 
-#: A response of more sentences is no refusal, whatever it mentions.
-MAX_REFUSAL_SENTENCES, MAX_REFUSAL_CHARS = 5, 400
+#: A refusal is uttered within so many sentences from a response's start, or from its end, however long it is.
+REFUSAL_OPENS, REFUSAL_CLOSES = 3, 2
 #: Share of the response's word triples found in the prompt that makes it a copy.
 COPIED = 0.6
 #: Ideographs for each letter of another script, and kana for each ideograph, at which a text is Chinese or Japanese.
@@ -36,8 +36,9 @@ REFUSALS = r"""
 (?:翻译|译|处理|完成)不了
 超出了?[^。！？\n]{0,6}(?:能力|范围)
 不在[^。！？\n]{0,6}能[^。！？\n]{0,6}范围
-(?:留作空缺|保留空白|留空不译)
-(?:cannot|can't|can not|unable to|not able to|won't|will not|must decline to|decline to|refuse to)[^.!?\n]{0,40}(?:translat|render|comply|process|provid|assist|help|produce|complete|fulfil)
+(?:留空|空白|空缺)[^。！？\n]{0,4}(?:不译|不翻)
+只(?:能|好)[^。！？\n]{0,10}(?:留作?空|空着|跳过|略过)
+\b(?:cannot|can't|can not|unable to|not able to|won't|will not|must decline to|decline to|refuse to)\b[^.!?\n]{0,40}(?:translat|render|comply|process|provid|assist|help|produce|complete|fulfil)
 (?:translat\w*|render\w*|assist\w*|help\w*)[^.!?\n]{0,60}(?:outside what i can|beyond what i can|not something i can|not possible for me)
 something i (?:cannot|can't|am unable to)
 (?:have to|must) leave[^.!?\n]{0,40}untranslated
@@ -51,7 +52,7 @@ no (?:puedo|podré|me es posible)[^.!?\n]{0,30}(?:traducir|ayudar|procesar|propo
 """
 
 # Signs of somebody else's speech, in which a refusal is part of the story.
-REPORTED = r"回答说|答道|说道|写道|自己(?:无法|不能)|办事员|\b(?:said|told|answered|replied|wrote|asked)\b|\bantwortete\b|\brépondit\b"
+REPORTED = r"(?:回答|告诉|解释|承认|表示|宣布|[他她们人员])说|答道|说道|写道|\b(?:said|told|answered|replied|wrote|asked)\b|\b(?:antwortete|sagte)\b|\b(?:répondit|dit)\b"
 
 _REFUSES = re.compile("|".join(f"(?:{x})" for x in REFUSALS.strip().splitlines()), re.I)
 _REPORTED = re.compile(REPORTED, re.I)
@@ -63,17 +64,16 @@ _PAIRED = {"（": "）", "(": ")", "［": "］", "[": "]", "【": "】", "《":
 
 
 def refuses(body: str) -> bool:
-    """Whether an unwrapped response is a refusal: few sentences, of which one refuses outside any quotation."""
-    if len(body) > MAX_REFUSAL_CHARS or sum(map(body.count, "。！？")) > MAX_REFUSAL_SENTENCES:
-        return False
+    """Whether an unwrapped response is a refusal: one of its first or last sentences refuses outside any quotation.
+
+    What somebody is reported to have refused is part of a story.
+    """
     plain = _QUOTED.sub("“”", body.replace("’", "'"))
-    if not (found := _REFUSES.search(plain)):
-        return False
-    sentences = [m.span() for m in _SENTENCES.finditer(plain)]
-    if len(sentences) > MAX_REFUSAL_SENTENCES:
+    if not _REFUSES.search(plain):
         return False
-    own = next((plain[a:b] for a, b in sentences if a <= found.start() < b), plain)
-    return not _REPORTED.search(own)
+    sentences = [m.group() for m in _SENTENCES.finditer(plain)]
+    ends = sentences if len(sentences) <= REFUSAL_OPENS + REFUSAL_CLOSES else sentences[:REFUSAL_OPENS] + sentences[-REFUSAL_CLOSES:]
+    return any(_REFUSES.search(x) and not _REPORTED.search(x) for x in ends)
 
 
 def unclosed(body: str) -> bool:

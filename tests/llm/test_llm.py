@@ -305,6 +305,16 @@ def test_cuts_that_only_a_copy_shows_are_truncated(spark):
     assert got == {1: ["truncated"]}
 
 
+def test_refusals_of_any_length():
+    story = "雨停了，但盐湖镇直到早晨都是一片漆黑。没有人能解释那种沉默。" * 20
+    reasons = "这段文字涉及的内容较多，其中一些部分可能归他人所有。" * 40
+    assert pairs.refuses("抱歉，我无法翻译这段内容。" + reasons) and pairs.refuses(reasons + "因此我不能提供译文。")
+    assert pairs.refuses("I'm sorry, but I can't translate this passage. " + "It may be protected by the rights of others, as far as I know. " * 20)
+    assert pairs.refuses("我自己无法翻译这段文字。") and pairs.refuses("Ich kann diesen Text leider nicht übersetzen.")
+    assert not pairs.refuses(story + "她说自己无法翻译那封信。" + story) and not pairs.refuses(story + "那封信无法翻译。" + story)
+    assert not pairs.refuses("“我不能翻译这封信，”她说。") and not pairs.refuses(story)
+
+
 def test_wrappers_come_off():
     assert responses.unwrap("以下是《遥远的岛》的简体中文翻译：\n\n正文。") == "正文。"
     assert responses.unwrap("```\n正文。\n```") == "正文。"
