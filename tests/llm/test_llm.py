@@ -537,6 +537,26 @@ def test_filler_of_short_runs_is_found(spark):
     assert got == {0, 1, 2, 3}
 
 
+def test_placeholders_between_ideographs_are_found():
+    for text in ["本书%s由塔文整理。", "本书__PUBLISHER__由塔文整理。", "尊敬的%DATE%：您好！", "本书{0}由塔文整理。", "Dear (enter title), thank you."]:
+        assert residue.has_placeholder(text), text
+    assert not residue.has_placeholder("价格上涨了50%，又跌了5%。到1910年") and not residue.has_placeholder("(enter)")
+
+
+def test_recurring_notices_of_any_wording_are_found(spark):
+    """Messages that no phrase tells, in four languages: residue where they recur over sources, text where they do not."""
+    notices = ["La pagina richiesta non è disponibile. Riprova più tardi.", "Hoppla! Diese Seite ist zurzeit nicht erreichbar, bitte versuchen Sie es nachher.",
+               "Oh dear, your browser could not open {n} because the network link broke.", "抱歉，您要看的页面{n}暂时打不开，网络似乎断了。"]
+    texts = [x.replace("{n}", str(17 * n)) for n in range(4) for x in notices]
+    real = ["La vecchia barca tornava lentamente verso porto prima degli altri pescatori.", "Tavin Orrel, Maren Skarne, Quill Dubrecq, Ludo Ambrosk, Petra Corvane",
+            "The traveller was refused; access denied, said the guard.", "Nobody asked for the server of the inn, and your letter never came."]
+    rows = [(n, t, f"s{n % 3}") for n, t in enumerate(texts)] + [(100 + n, t, "s0") for n, t in enumerate(real)]
+    rows += [(200, "Your browser is not the one that our server likes.", "s0")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r["doc_id"] for r in residue.find_residue(table, "doc_id", "text", "source").where("excluded").collect()}
+    assert got == set(range(len(texts)))
+
+
 def test_every_phrase_has_a_hint():
     samples = [t for t in RESIDUE if t and not residue.has_placeholder(t)]
     for text in samples:
