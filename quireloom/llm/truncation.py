@@ -39,12 +39,12 @@ FILTER_SHARE, FILTER_LEAST, FILTER_MOST = 32, 16, 29
 #: Where the places of a hash in the filter begin.
 PLACE_BITS = (0, 17, 35)
 #: Characters of a shingle, bands and their rows, and the share of a suspect's shingles that a copy holds.
-SHINGLE, BANDS, ROWS, SIMILARITY = 5, 8, 3, 0.8
+SHINGLE, BANDS, ROWS, SIMILARITY = 5, 6, 3, 0.8
 #: Lengths at which beginnings are signed: the least, and the ratio of each to the one before.
 LEAST_LENGTH, LENGTH_RATIO = 8, 1.25
 #: Characters of a phrase near a suspect's end, how far from the end such phrases stand, and how much earlier or later
 #: a changed copy may have them.
-PHRASE, PHRASE_PLACES, SHIFT = 8, (0, 4, 12), 16
+PHRASE, PHRASE_PLACES, SHIFT = 8, (0, 8), 10
 #: Copies of a key that are compared at first, one from each of so many parts of them.
 FIRST_PARTS, MORE_PARTS = 8, 8
 #: Pairs of a suspect's key and a copy up to which all that are left are compared in one go.
@@ -246,6 +246,12 @@ def _phrase_hashes(phrases: np.ndarray) -> np.ndarray:
     return _mix(phrases, 13)
 
 
+def _placed_hashes(phrases: np.ndarray, level: np.ndarray, back: int) -> np.ndarray:
+    """Hashes of phrases with the length their text fills and how far before its end they stand."""
+    with np.errstate(over="ignore"):
+        return _mix(phrases * _P + level.astype(np.uint64), 40 + back)
+
+
 def _parts(rows: list[tuple]) -> Iterator[list[tuple]]:
     part, chars = [], 0
     for row in rows:
@@ -321,8 +327,9 @@ def find_suspects(texts: DataFrame, key: str, text: str) -> DataFrame:
                     fits = size[signed] >= PHRASE + back
                     found = grams[PHRASE][last[signed[fits]] - back]
                     joint = _keys(bands[fits], found, back).astype(np.int64).tolist()
-                    for i, h, ks in zip(signed[fits].tolist(), _phrase_hashes(found).astype(np.int64).tolist(), joint, strict=True):
-                        phrases[i].append(h)
+                    both = np.stack([_phrase_hashes(found), _placed_hashes(found, level[signed[fits]], back)], 1)
+                    for i, hs, ks in zip(signed[fits].tolist(), both.astype(np.int64).tolist(), joint, strict=True):
+                        phrases[i] += hs
                         keys[i] += ks
                 tail = [_hash_of(held, max(b, e - 24), e) for b, e in zip(held.begins, held.ends, strict=True)]
                 yield pa.RecordBatch.from_arrays(
@@ -351,7 +358,7 @@ def _filter_of(suspects: DataFrame, copies: bool) -> np.ndarray:
     """Bit array over the hashes of all suspects, sized by their number; it comes back in words of 32 as one row each."""
     more = [F.col("phrases"), F.col("keys")] if copies else []
     hashes = suspects.select(F.explode(F.concat("closings", F.array("shape"), *more)).alias("h")).where("h IS NOT NULL")
-    n = suspects.count() * (len(ORDERS) + 1 + (len(PHRASE_PLACES) * (1 + BANDS) if copies else 0))
+    n = suspects.count() * (len(ORDERS) + 1 + (len(PHRASE_PLACES) * (2 + BANDS) if copies else 0))
     bits = min(max(FILTER_LEAST, (n * FILTER_SHARE).bit_length()), FILTER_MOST)
     places = hashes.select(F.explode(F.array(*[F.shiftrightunsigned("h", b) for b in PLACE_BITS])).alias("h")).select(
         F.col("h").bitwiseAND(F.lit((1 << bits) - 1)).alias("place")
@@ -430,26 +437,31 @@ def _gather(texts: DataFrame, key: str, text: str, table: np.ndarray, copies: bo
         behind = held.ends[owner] - 1 - np.arange(len(held.points))
         at = np.flatnonzero((through >= PHRASE) & (behind >= 2))
         at = at[wanted.holds(_phrase_hashes(grams[PHRASE][at]))]
-        top, last = _level(size), np.full(len(at), -1)
-        places, levels = [], []
-        for shift in range(-SHIFT, SHIFT + PHRASE_PLACES[-1] + 1, 4):
-            level = _level(through[at] + shift)
-            new = (level > last) & (level <= top[owner[at]])
-            places.append(at[new])
-            levels.append(level[new])
-            last = np.maximum(last, level)
-        place, level = np.concatenate(places), np.concatenate(levels)
+        top = _level(size)
+        places, levels, backs = [], [], []
+        for back in PHRASE_PLACES:
+            here = at[behind[at] >= back + 2]
+            here = here[held.kind[here + back + 1] != 32]
+            last = np.full(len(here), -1)
+            for shift in (-SHIFT, 0, SHIFT):
+                level = _level(through[here] + back + shift)
+                new = np.flatnonzero((level > last) & (level <= top[owner[here]]))
+                new = new[wanted.holds(_placed_hashes(grams[PHRASE][here[new]], level[new], back))]
+                places.append(here[new])
+                levels.append(level[new])
+                backs.append(np.full(len(new), back))
+                last = np.maximum(last, level)
+        place, level, back = map(np.concatenate, (places, levels, backs))
         if not len(place):
             return np.zeros(0, np.uint64), place, place
-        pair, back = np.unique(owner[place] * 128 + level, return_inverse=True)
+        pair, whose = np.unique(owner[place] * 128 + level, return_inverse=True)
         bands = held.signatures(grams[SHINGLE], pair // 128, pair % 128)
         found = []
         for before_end in PHRASE_PLACES:
-            goes_on = np.flatnonzero(behind[place] >= before_end + 2)
-            goes_on = goes_on[held.kind[place[goes_on] + before_end + 1] != 32]
-            keys = _keys(bands[back[goes_on]], grams[PHRASE][place[goes_on]], before_end)
+            mine = np.flatnonzero(back == before_end)
+            keys = _keys(bands[whose[mine]], grams[PHRASE][place[mine]], before_end)
             row, band = np.nonzero(wanted.holds(keys.ravel()).reshape(keys.shape))
-            at = place[goes_on[row]]
+            at = place[mine[row]]
             found.append((keys[row, band], owner[at], behind[at]))
         return tuple(map(np.concatenate, zip(*found, strict=True)))
 
