@@ -27,52 +27,56 @@ from quireloom.sources import read_table
 # Characters of other scripts, signs and strokes that look like the character before the colon.
 LOOKALIKES = """
 a: а ɑ
-c: с ϲ
-d: ԁ
+b: Ꮟ ᑲ
+c: с ϲ ᴄ ⲥ
+d: ԁ ᑯ
 e: е
 g: ɡ
-h: һ
-i: і
+h: һ Ꮒ
+i: і ι Ꭵ
 j: ј ϳ
 k: κ
-o: о ο օ
-p: р ρ
+o: о ο օ ᴏ ⲟ
+p: р ρ ⲣ
 q: ԛ
-s: ѕ
-u: υ ս
-v: ν ѵ
-w: ԝ
+s: ѕ ꜱ
+u: υ ս ᴜ
+v: ν ѵ ᴠ
+w: ԝ ᴡ
 x: х
 y: у
-A: А Α Ꭺ
-B: В Β Ᏼ
-C: С Ϲ Ꮯ
-D: Ꭰ
-E: Е Ε Ꭼ
-F: Ϝ
-G: Ꮐ Ԍ
-H: Н Η Ꮋ
-I: І Ι Ӏ
-J: Ј Ꭻ
-K: К Κ Ꮶ
-L: Ꮮ
-M: М Μ Ꮇ
-N: Ν
-O: О Ο Օ
-P: Р Ρ Ꮲ
+z: ᴢ
+A: А Α Ꭺ ꓮ
+B: В Β Ᏼ ꓐ ᗷ
+C: С Ϲ Ꮯ ꓚ Ⲥ
+D: Ꭰ ꓓ ᗞ
+E: Е Ε Ꭼ ꓰ
+F: Ϝ ꓝ
+G: Ꮐ Ԍ ꓖ
+H: Н Η Ꮋ ꓧ ᕼ Ⲏ
+I: І Ι Ӏ ꓲ Ⲓ
+J: Ј Ꭻ ꓙ ᒍ
+K: К Κ Ꮶ ꓗ Ⲕ
+L: Ꮮ ꓡ ᒪ
+M: М Μ Ꮇ ꓟ ᗰ Ⲙ
+N: Ν ꓠ Ⲛ
+O: О Ο Օ ꓳ Ⲟ
+P: Р Ρ Ꮲ ꓑ ᑭ Ⲣ
 Q: Ԛ
-S: Ѕ Տ Ꮪ
-T: Т Τ Ꭲ
-V: Ѵ Ꮩ
-W: Ԝ Ꮃ
-X: Х Χ
-Y: Ү Υ
-Z: Ζ Ꮓ
+R: Ꮢ ꓣ ᖇ
+S: Ѕ Տ Ꮪ ꓢ
+T: Т Τ Ꭲ ꓔ Ⲧ
+U: Ս ꓴ ᑌ
+V: Ѵ Ꮩ ꓦ ᐯ
+W: Ԝ Ꮃ ꓪ
+X: Х Χ ꓫ Ⲭ
+Y: Ү Υ ꓬ Ⲩ
+Z: Ζ Ꮓ ꓜ
 ä: ӓ
 ë: ё
 ï: ї
 ö: ӧ
-一: ㇐ ⼀
+一: ㇐ ⼀ ー
 丨: 〡 ㇑ ⼁
 丶: ㇔ ⼂
 丿: ㇒ ⼃ ノ
@@ -84,6 +88,10 @@ Z: Ζ Ꮓ
 口: ロ
 夕: タ
 工: エ
+ヘ: へ
+ベ: べ
+ペ: ぺ
+リ: り
 ·: · ‧ ・ • ∙ ⋅ ･
 -: ‐ ‑ ‒ − ﹣ －
 ': ʼ ʹ ′
@@ -100,7 +108,9 @@ BLANK, INVISIBLE = " ", ""
 VOCABULARY, LONGEST = 50_000, 48
 CACHE_ENTRIES = 200_000
 SLICE_CHARS = 2_000_000
-KEEP_WIDTHS = ("<wide>", "<narrow>", "<noBreak>")
+#: Keys over which the rows of one string are spread when they are put in their pairs.
+SALTS = 8
+KEEP_WIDTHS = ("<wide>", "<narrow>", "<noBreak>", "<font>")
 #: Compatibility forms of several characters that look the same written out: ligatures of f and Roman numerals.
 SPELT_OUT = [*range(0xFB00, 0xFB07), *range(0x2160, 0x2180)]
 
@@ -149,7 +159,7 @@ def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """By code point: plain form (0 if invisible), whether it belongs to words, whether it needs spelling out first."""
     plain = np.arange(0x110000, dtype=np.uint32)
     word, special = np.zeros(0x110000, bool), np.zeros(0x110000, bool)
-    for cp in [*range(0x3400), *range(0xA000, 0xAC00), *range(0xF900, 0x10000), 0xD7B0, *range(0x2F800, 0x2FA20), *range(0xE0000, 0xE0200)]:
+    for cp in [*range(0x3400), *range(0xA000, 0xAC00), *range(0xF900, 0x10000), 0xD7B0, *range(0x2F800, 0x2FA20), *range(0x1D400, 0x1D800), *range(0xE0000, 0xE0200)]:
         c = chr(cp)
         p = plain_form(c)
         special[cp] = len(p) > 1 or unicodedata.category(c) in ("Mn", "Mc") or cp in (0xFF9E, 0xFF9F)
@@ -408,17 +418,24 @@ def lookalike_pairs(df: DataFrame, table: str, key: str, text: str, size: int =
 
     Only texts of at least ``least`` characters count; nulls never do. Equal strings are no pair, whatever their number.
     Texts are compared by 128-bit digests. Classes with a single string, however many rows have it, are dropped by a
-    map-side combined aggregate before any pair is formed.
+    map-side combined aggregate before any pair is formed. The different strings of a class are paired first and the rows
+    of each then put in their places, so nothing larger than the result is formed; rows of one string are spread over
+    SALTS keys.
     """
     long_enough = df.where(F.length(text) >= least)
     spellings, signs = learn_spellings(long_enough.select(text), size)
     rows = stage(canonical_texts(long_enough, [table, key], text, spellings, signs, digests=True), "forms")
     several = rows.groupBy(table, "form").agg(F.min("raw").alias("a"), F.max("raw").alias("b")).where("a <> b")
     several = stage(rows.join(several.select(table, "form"), [table, "form"], "left_semi"), "variants")
-    left = several.select(table, "form", F.col(key).alias("key_a"), F.col("raw").alias("raw_a"))
-    right = several.select(table, "form", F.col(key).alias("key_b"), F.col("raw").alias("raw_b"))
-    pairs = left.join(right, [table, "form"]).where("key_a < key_b AND raw_a <> raw_b")
-    return pairs.select(table, "key_a", "key_b")
+    strings = several.select(table, "form", "raw").distinct()
+    other = strings.withColumnRenamed("raw", "raw_b")
+    pairs = strings.withColumnRenamed("raw", "raw_a").join(other, [table, "form"]).where("raw_a < raw_b").drop("form")
+    rows = several.select(table, "raw", F.col(key).alias("__key"), F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int").alias("__salt"))
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__salt")
+    for side in ("a", "b"):
+        mine = rows.select(F.col(table), F.col("raw").alias(f"raw_{side}"), F.col("__key").alias(f"__{side}"), "__salt")
+        pairs = pairs.select("*", salts).join(mine, [table, f"raw_{side}", "__salt"]).drop("__salt")
+    return pairs.select(table, F.least("__a", "__b").alias("key_a"), F.greatest("__a", "__b").alias("key_b"))
 
 
 def _texts(spark: SparkSession, data_dir: str) -> DataFrame:
