@@ -35,6 +35,11 @@ NUMBER_MATCHES, NUMBER_DIFFERS = 3.0, -2.0
 LEAST, SHARE, MOVED, PART, NEARLY = 0.35, 0.4, 0.2, 0.25, 0.1
 #: Sentences that may be joined or divided.
 MOST_JOINED = 3
+#: A document is aligned by words in windows of so many source sentences, each giving the pairs of its middle half; the
+#: target side of a window follows the length alignment, with a margin. Most documents are one window.
+WINDOW, MARGIN = 200, 60
+#: Places from the straight line between the ends within which the length alignment of a document moves.
+BAND = 400
 
 _SOURCE_END = re.compile(r"(?<=[.!?])\s+")
 _TARGET_SENTENCE = re.compile(r"[^。！？]*[。！？]+[）」』”’》〉】］)\]\"']*|[^。！？]+")
@@ -111,26 +116,45 @@ def align_lengths(source: np.ndarray, target: np.ndarray, ratio: float) -> list[
     spread = 0.12
     src, tgt = np.concatenate(([0.0], np.cumsum(source))), np.concatenate(([0.0], np.cumsum(target)))
 
-    def deviation(i0: int, i1: int, j0: int, j1: int) -> float:
-        expected, real = (src[i1] - src[i0]) * ratio, tgt[j1] - tgt[j0]
-        return abs(real - expected) / np.sqrt(spread * (expected + real + 2) * 2)
-
+    # Cells on one anti-diagonal depend on the three before it only, so each is worked out at once.
     moves = ((1, 1, 0.0), (1, 0, 2.2), (0, 1, 2.2), (2, 1, 1.6), (1, 2, 1.6))
-    best = [[float("inf")] * (m + 1) for _ in range(n + 1)]
-    back: list[list[tuple[int, int, float] | None]] = [[None] * (m + 1) for _ in range(n + 1)]
-    best[0][0] = 0.0
-    for i in range(n + 1):
-        for j in range(m + 1):
-            for di, dj, price in moves:
-                if di > i or dj > j:
-                    continue
-                z = deviation(i - di, i, j - dj, j) if di and dj else 0.0
-                cost = best[i - di][j - dj] + price + z
-                if cost < best[i][j]:
-                    best[i][j], back[i][j] = cost, (di, dj, z)
+    best: list[tuple[int, np.ndarray]] = []
+    back: list[tuple[int, np.ndarray, np.ndarray]] = []
+    for d in range(n + m + 1):
+        on_line = d * n / max(1, n + m)
+        low = max(0, d - m, int(on_line) - BAND)
+        i = np.arange(low, min(n, d, int(on_line) + BAND) + 1)
+        j = d - i
+        cost, move, bend = np.full(len(i), np.inf), np.full(len(i), -1, np.int8), np.zeros(len(i))
+        if d == 0:
+            cost[0] = 0.0
+        for number, (di, dj, price) in enumerate(moves):
+            if di + dj > d:
+                continue
+            first, before = best[d - di - dj]
+            ok = (i >= di) & (j >= dj) & (i - di >= first) & (i - di < first + len(before))
+            if not ok.any():
+                continue
+            x, y = i[ok], j[ok]
+            z = np.zeros(len(x))
+            if di and dj:
+                expected, real = (src[x] - src[x - di]) * ratio, tgt[y] - tgt[y - dj]
+                z = np.abs(real - expected) / np.sqrt(spread * (expected + real + 2) * 2)
+            value = np.full(len(i), np.inf)
+            value[ok] = before[x - di - first] + price + z
+            better = value < cost
+            deviation = np.zeros(len(i))
+            deviation[ok] = z
+            cost, move, bend = np.where(better, value, cost), np.where(better, number, move), np.where(better, deviation, bend)
+        best.append((low, cost))
+        back.append((low, move, bend))
+        if d >= 3:
+            best[d - 3] = (0, np.zeros(0))
     found, i, j = [], n, m
     while i or j:
-        di, dj, z = back[i][j]
+        first, move, bend = back[i + j]
+        di, dj, _ = moves[move[i - first]]
+        z = float(bend[i - first])
         i, j = i - di, j - dj
         if di == dj == 1:
             found.append((i, j, z))
@@ -307,19 +331,43 @@ def score_matrix(ours: list[tuple[list[int], set[str]]], theirs: list[tuple[list
     back = np.log((1 - CHANCE) * back * total / ce[:, None] + CHANCE)
     forward = np.add.reduceat(np.clip(forth, -2.5, 4.0), at_f, 1)
     backward = np.add.reduceat(np.clip(back, -2.5, 4.0), at_e, 0)
-    scores = np.empty((n, m))
-    for i, (_, a) in enumerate(ours):
-        for j, (_, b) in enumerate(theirs):
-            same = len(a & b) * NUMBER_MATCHES
-            x = (forward[i, j] + same + len(b - a) * NUMBER_DIFFERS) / (nf[j] + len(b))
-            y = (backward[i, j] + same + len(a - b) * NUMBER_DIFFERS) / (ne[i] + len(a))
-            scores[i, j] = max(x, y)
-    return scores
+    place = {x: i for i, x in enumerate(sorted(set().union(*(a for _, a in ours), *(b for _, b in theirs))))}
+    left, right = np.zeros((n, len(place))), np.zeros((m, len(place)))
+    for held, side in ((left, ours), (right, theirs)):
+        for i, (_, numerals) in enumerate(side):
+            held[i, [place[x] for x in numerals]] = 1
+    same, na, nb = left @ right.T, left.sum(1)[:, None], right.sum(1)
+    x = (forward + same * NUMBER_MATCHES + (nb - same) * NUMBER_DIFFERS) / (nf + nb)
+    y = (backward + same * NUMBER_MATCHES + (na - same) * NUMBER_DIFFERS) / (ne[:, None] + na)
+    return np.maximum(x, y)
+
+
+def align_document(ours: list, theirs: list, tables, lengths: tuple[np.ndarray, np.ndarray, float]) -> list[tuple[int, int, float]]:
+    """Pairs of a document's sentences with their scores, window by window. lengths: as align_lengths takes them."""
+    n, m = len(ours), len(theirs)
+    if n <= WINDOW and m <= WINDOW + 2 * MARGIN:
+        scores = score_matrix(ours, theirs, tables)
+        return [(i, j, float(scores[i, j])) for i, j in align_scores(scores)]
+    beads = np.array([(0, 0), *((i, j) for i, j, _ in reversed(align_lengths(*lengths))), (n, m)])
+    found, half = [], WINDOW // 2
+    for core in range(0, n, half):
+        low, high = max(0, core - half // 2), min(n, core + half + half // 2)
+        start, stop = np.interp([low, high], beads[:, 0], beads[:, 1])
+        first, last = max(0, int(start) - MARGIN), min(m, int(stop) + MARGIN + 1)
+        if first >= last:
+            continue
+        scores = score_matrix(ours[low:high], theirs[first:last], tables)
+        found += [
+            (i + low, j + first, float(scores[i, j])) for i, j in align_scores(scores) if core <= i + low < core + half
+        ]
+    return found
 
 
 def align_sentences(documents: DataFrame, key: str, source: str, target: str) -> DataFrame:
     """``key``, ``source_pos``, ``target_pos`` and ``score`` of each pair of sentences of which one renders the other.
 
+    Sentences of a long document that moved farther than the margin of a window, or than BAND, are not paired.
+
     key: a unique number. Positions count from 0. A document with a null or blank side has no pairs. Sentences left out
     or added have none; joined or divided ones have several. Repeated documents are aligned alike. Other columns are not
     read; empty tables give no row.
@@ -339,11 +387,11 @@ def align_sentences(documents: DataFrame, key: str, source: str, target: str) ->
         for batch in batches:
             rows = []
             for k, s, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                ours = [words.of(x) for x in source_sentences(s)]
-                theirs = [words.of(_plain(x)) for x in target_sentences(t)]
-                if ours and theirs:
-                    scores = score_matrix(ours, theirs, shared.value)
-                    rows += [(k, i, j, float(scores[i, j])) for i, j in align_scores(scores)]
+                left, right = source_sentences(s), [_plain(x) for x in target_sentences(t)]
+                if left and right:
+                    lengths = tuple(np.fromiter(map(len, side), float, len(side)) for side in (left, right))
+                    pairs = align_document([words.of(x) for x in left], [words.of(x) for x in right], shared.value, (*lengths, ratio))
+                    rows += [(k, *pair) for pair in pairs]
             columns = list(zip(*rows, strict=True)) or [[]] * 4
             types = [pa.int64(), pa.int32(), pa.int32(), pa.float64()]
             yield pa.RecordBatch.from_arrays(

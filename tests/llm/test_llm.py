@@ -380,6 +380,22 @@ def test_pairs_of_look_alikes(spark):
     assert {r["key"]: r["canonical"] for r in forms}[7] is None and {r["key"]: r["canonical"] for r in forms}[3] == a
 
 
+def test_letters_of_other_scripts_and_styles():
+    for a, b in ["ヘへ", "ベべ", "ー一", "ιi", "ᴏo", "ꓐB", "ᗷB", "𝐀A", "Ꭵi", "𝟗9", "リり"]:
+        assert lookalikes.plain_form(a) == lookalikes.plain_form(b), a + b
+    tool = lookalikes.Canonical(["Band"], {})
+    assert tool.texts(["𝐁𝐚𝐧𝐝 ꓐand ᗷand", "Hand"]) == ["Band Band Band", "Hand"]
+
+
+def test_a_hot_class_costs_what_it_gives(spark):
+    """Many rows of one string and one variant: as many pairs as rows, none among equals."""
+    text = "塔文在盐湖镇的墙上画了一幅潮汐表，没有人碰过。"
+    table = spark.range(100_000).select(F.col("id").alias("key"), F.when(F.col("id") == 7, text.replace("。", "｡")).otherwise(text).alias("text"))
+    pairs_ = lookalikes.lookalike_pairs(table.withColumn("table_name", F.lit("t")), "table_name", "key", "text")
+    got = pairs_.agg(F.count("*"), F.count_if(F.expr("key_a = 7 OR key_b = 7")), F.count_if(F.expr("key_a < key_b"))).first()
+    assert tuple(got) == (99_999, 99_999, 99_999)
+
+
 # --- 6 alignment
 
 def bilingual(rng, n):
@@ -409,6 +425,53 @@ def test_alignment_finds_the_pairs(spark):
     assert alignment.align_sentences(table.where("false"), "seq", "s", "t").count() == 0
 
 
+def stepwise_lengths(source, target, ratio):
+    """The cheapest alignment by length, cell by cell."""
+    n, m = len(source), len(target)
+    src, tgt = np.concatenate(([0.0], np.cumsum(source))), np.concatenate(([0.0], np.cumsum(target)))
+    best, back = {(0, 0): 0.0}, {}
+    for i in range(n + 1):
+        for j in range(m + 1):
+            for di, dj, price in ((1, 1, 0.0), (1, 0, 2.2), (0, 1, 2.2), (2, 1, 1.6), (1, 2, 1.6)):
+                if (i - di, j - dj) in best:
+                    expected, real = (src[i] - src[i - di]) * ratio, tgt[j] - tgt[j - dj]
+                    z = abs(real - expected) / np.sqrt(0.12 * (expected + real + 2) * 2) if di and dj else 0.0
+                    cost = best[i - di, j - dj] + price + z
+                    if cost < best.get((i, j), math.inf):
+                        best[i, j], back[i, j] = cost, (di, dj, z)
+    found, i, j = [], n, m
+    while i or j:
+        di, dj, z = back[i, j]
+        i, j = i - di, j - dj
+        found += [(i, j, z)] if di == dj == 1 else []
+    return found
+
+
+def test_lengths_are_aligned_as_cell_by_cell():
+    rng = np.random.default_rng(5)
+    for _ in range(40):
+        a = rng.integers(10, 90, rng.integers(1, 30)).astype(float)
+        b = np.delete(a, rng.integers(0, len(a))) * 0.4 + rng.normal(0, 2, len(a) - 1) if len(a) > 3 else a * 0.4
+        got = alignment.align_lengths(a, np.maximum(b, 1), 0.4)
+        assert [(i, j) for i, j, _ in got] == [(i, j) for i, j, _ in stepwise_lengths(a, np.maximum(b, 1), 0.4)]
+
+
+def test_long_documents_are_aligned_in_windows(spark):
+    """A document of 3,000 sentences with omissions and swaps, beside short ones, from which the words are learnt."""
+    rng = random.Random(18)
+    documents, truth = bilingual(rng, 200)
+    lexicon = {w: chr(0x4E00 + 37 * i) + chr(0x5E00 + 53 * i) for i, w in enumerate(WORDS + [w[::-1] for w in WORDS])}
+    sentences = [rng.sample(sorted(lexicon), rng.randint(4, 9)) for _ in range(3000)]
+    target = [(i, "".join(lexicon[w] for w in x) + "。") for i, x in enumerate(sentences) if rng.random() > 0.05]
+    for at in rng.sample(range(len(target) - 1), 100):
+        target[at], target[at + 1] = target[at + 1], target[at]
+    documents.append((777, " ".join(" ".join(x) + "." for x in sentences), "".join(t for _, t in target)))
+    truth = {(777, i, j) for j, (i, _) in enumerate(target)}
+    table = spark.createDataFrame(documents, "seq long, s string, t string")
+    got = {tuple(r)[:3] for r in alignment.align_sentences(table, "seq", "s", "t").where("seq = 777").collect()}
+    assert len(got & truth) > 0.95 * len(truth) and len(got & truth) > 0.95 * len(got)
+
+
 def test_sentences():
     assert alignment.source_sentences("One 1.5 two. Three? Four !\n\nrest") == ["One 1.5 two.", "Three?", "Four !", "rest"]
     assert [s.strip() for s in alignment.target_sentences("“甲。”乙！丙")] == ["“甲。”", "乙！", "丙"]
