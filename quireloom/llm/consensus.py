@@ -10,6 +10,7 @@ documented bound they are joined instead. Agreement is corrected for chance and
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +22,8 @@ from pyspark.sql import functions as F
 from quireloom.plans.staging import stage
 from quireloom.sources import read_table
 
+_log = logging.getLogger(__name__)
+
 #: Pseudo-counts of the confusion matrices, on the diagonal and elsewhere, and of the levels of confidence.
 RIGHT, WRONG, LEVEL = 2.0, 0.5, 1.0
 #: Bounds between levels of confidence; a missing confidence is a level of its own.
@@ -179,11 +182,15 @@ def _fit_small(packed: DataFrame, names: list[str], k: int) -> tuple[DataFrame,
         rest = sums[sums.agent.isna()]
         priors[rest.truth] = rest.mass
         model = _normalise(counts, priors)
+        if shared:
+            shared.destroy()  # the sums made with it are here
         shared = context.broadcast((place, model))
         new = np.exp(model[0])
         if old is not None and np.abs(new - old).max() < TOLERANCE:
             break
         old = new
+    else:
+        _log.warning("rates still change after %d rounds", MAX_ROUNDS)
     counts, new = (x.reshape(len(names), k, LEVELS, k).sum(2) for x in (counts, new))
     matrices = [
         (a, t, g, float(counts[i, t, g]), float(new[i, t, g]))
@@ -205,7 +212,7 @@ def _fit_joined(packed: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
     def numbers(n: int) -> Column:
         return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
 
-    sums = stage(_sums(packed, k, None), "matrices")
+    sums, old = stage(_sums(packed, k, None), "matrices"), None
     for step in range(MAX_ROUNDS):
         own = sums.where("agent IS NOT NULL")
         full = own.select("agent").distinct().select("agent", numbers(k).alias("truth"))
@@ -224,7 +231,7 @@ def _fit_joined(packed: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
             total("truth") + (RIGHT + (k - 1) * WRONG)
         )
         of_level = (total("same", "level") + LEVEL) / (total("same") + LEVELS * LEVEL)
-        table = full.select("agent", "truth", "given", "mass", (of_label * of_level).alias("rate"))
+        table = stage(full.select("agent", "truth", "given", "mass", (of_label * of_level).alias("rate")), "rates")
         prior = sums.where("agent IS NULL").select("truth", F.log(F.col("mass") + 1.0).alias("prior"))
         score = (
             votes.join(table, ["agent", "given"])
@@ -235,19 +242,20 @@ def _fit_joined(packed: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
         by_item = Window.partitionBy("item")
         weight = F.exp(F.col("score") - F.max("score").over(by_item))
         post = score.select("item", "truth", (weight / F.sum(weight).over(by_item)).alias("p"))
+        post = stage(post, "posteriors")
+        if old is not None:
+            change = table.join(old.withColumnRenamed("rate", "was"), ["agent", "truth", "given"]).agg(F.max(F.abs(F.col("rate") - F.col("was"))))
+            if change.first()[0] < TOLERANCE:
+                break
         if step == MAX_ROUNDS - 1:
+            _log.warning("rates still change after %d rounds", MAX_ROUNDS)
             break
+        old = table.select("agent", "truth", "given", "rate")
         own_sums = votes.join(post, "item").groupBy("agent", "truth", "given").agg(F.sum("p").alias("mass"))
         all_sums = post.groupBy("truth").agg(F.sum("p").alias("mass")).select(
             F.lit(None).cast("string").alias("agent"), "truth", F.col("truth").alias("given"), "mass"
         )
-        new = stage(own_sums.unionByName(all_sums), "matrices")
-        change = new.join(sums.withColumnRenamed("mass", "was"), ["agent", "truth", "given"], "full_outer").agg(
-            F.max(F.abs(F.coalesce("mass", F.lit(0.0)) - F.coalesce("was", F.lit(0.0))) / (F.lit(1.0) + F.coalesce("was", F.lit(0.0))))
-        ).first()[0]
-        sums = new
-        if change is not None and change < TOLERANCE:
-            break
+        sums = stage(own_sums.unionByName(all_sums), "matrices")
     array = post.groupBy("item").agg(F.sort_array(F.collect_list(F.struct("truth", "p")))["p"].alias("posterior"))
     by_label = table.groupBy("agent", "truth", (F.col("given") % k).cast("int").alias("given"))
     return packed.join(array, "item"), by_label.agg(F.sum("mass").alias("mass"), F.sum("rate").alias("rate"))

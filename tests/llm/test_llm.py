@@ -132,7 +132,7 @@ def test_joined_fit_agrees_with_the_small_one(spark):
     a = {r["item"]: r["posterior"] for r in small.collect()}
     b = {r["item"]: r["posterior"] for r in joined.collect()}
     assert a.keys() == b.keys()
-    assert np.mean([np.argmax(a[i]) == np.argmax(b[i]) for i in a]) > 0.97
+    assert all(np.argmax(a[i]) == np.argmax(b[i]) and np.allclose(a[i], b[i], atol=1e-6) for i in a)
 
 
 def test_confidence_counts_where_it_means_something(spark):
