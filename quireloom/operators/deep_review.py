@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quireloom.functions import predicates as P
 from quireloom.functions.text import excerpt
 from quireloom.operators.assembly import blocks_to_text
 from quireloom.operators.audit import audit_pairs
 from quireloom.operators.editorial import repair_blocks, text_to_blocks
 from quireloom.operators.layout import layout_annotations
-from quireloom.operators.review import fail_on_duplicates, fix_candidates, merge_findings, with_key
+from quireloom.operators.review import arbiter_choice, fail_on_duplicates, fallback_choice, fix_candidates, merge_findings, with_key
 from quireloom.plans.staging import stage
 
 
@@ -35,11 +36,31 @@ def _keyed(findings: DataFrame) -> DataFrame:
     return with_key(findings.withColumn("block_id", F.lit(None).cast("string")))
 
 
-def deep_review(artifacts: DataFrame, sources: DataFrame) -> dict[str, DataFrame]:
-    """Tables of a review: ``findings``, ``merged``, ``fixes``, ``confirmation``, ``chapters``, ``annotations``, ``report``.
+def arbitrate(merged: DataFrame, candidates: DataFrame) -> DataFrame:
+    """The arbiter's fixable finding of each disputed key, in the form of ``candidates``.
+
+    candidates: the findings of a third look. A disputed key that it meets again gets the arbiter's choice of the two
+    sides, any other, or one whose choice cannot be fixed, the fallback.
+    """
+    fields = [c for c in candidates.columns if c != "finding_key"]
+    seen = candidates.select("finding_key").distinct().withColumn("seen", F.lit(True))
+    audit, review = F.col("audit"), F.col("review")
+    chosen = F.when(F.col("seen"), arbiter_choice(audit, review))
+    found = merged.where("bucket = 'disputed'").join(seen, "finding_key", "left").select(
+        "finding_key", F.when(chosen["auto_fixable"], chosen).otherwise(fallback_choice(audit, review)).alias("f")
+    )
+    return found.where("f.auto_fixable").select("finding_key", *[F.col(f"f.{c}").alias(c) for c in fields]).withColumn("agent_role", F.lit("arbiter"))
+
+
+def deep_review(artifacts: DataFrame, sources: DataFrame, cross_review: bool = True, depth: str = "consensus") -> dict[str, DataFrame]:
+    """Tables of a review: ``findings``, ``review``, ``merged``, ``arbiter``, ``fixes``, ``confirmation``, ``chapters``,
+    ``annotations``, ``report``.
 
     artifacts: one row for each chapter_id. A chapter without a source gets one finding of its own and keeps its text.
+    Without ``cross_review``, or at another ``depth`` than 'consensus', nobody looks a second time: ``review``, ``merged``
+    and ``arbiter`` are empty and all fixable findings of the audit are repaired.
     """
+    crossed = cross_review and depth == "consensus"
     paired = stage(match_sources(artifacts, sources), "pairs")
     matched, lost = paired.where("source_id IS NOT NULL"), paired.where("source_id IS NULL")
 
@@ -49,10 +70,16 @@ def deep_review(artifacts: DataFrame, sources: DataFrame) -> dict[str, DataFrame
     first = stage(_keyed(audit(matched)), "audit")
     blocks = stage(text_to_blocks(matched.select("chapter_id", "text", "source_text")), "blocks")
     sides = matched.select("chapter_id", "source_title", "source_text")
-    second = stage(_keyed(audit(blocks_to_text(blocks).join(sides, "chapter_id"))), "second")
-    merged = merge_findings(fail_on_duplicates(first, "audit"), fail_on_duplicates(second, "review"))
-    none = first.where("false")
-    fixes = stage(fix_candidates(merged, none), "fixes")
+    if crossed:
+        # The arbiter looks at the same texts as the second audit, whose findings are therefore its candidates.
+        second = stage(_keyed(audit(blocks_to_text(blocks).join(sides, "chapter_id"))), "second")
+        merged = stage(merge_findings(fail_on_duplicates(first, "audit"), fail_on_duplicates(second, "review")), "merged")
+        arbiter = stage(arbitrate(merged, second), "arbiter")
+        fixes = stage(fix_candidates(merged, arbiter), "fixes")
+    else:
+        second = arbiter = first.where("false")
+        merged = merge_findings(second, second)
+        fixes = first.where("auto_fixable")
     final = stage(blocks_to_text(repair_blocks(blocks)), "final")
     third = stage(_keyed(audit(final.join(sides, "chapter_id"))), "third")
     missing = lost.select(
@@ -83,8 +110,16 @@ def deep_review(artifacts: DataFrame, sources: DataFrame) -> dict[str, DataFrame
         F.count("*").alias("unresolved_count"),
         F.count_if(F.col("severity") == "high").alias("high_severity_count"),
         F.count_if(F.col("finding_type") == "missing_source_chapter").alias("missing_source_count"),
+        F.count_if(P.is_structural("finding_type")).alias("structural_issue_count"),
+        F.count_if(P.is_citation("finding_type")).alias("citation_issue_count"),
+        F.count_if(P.is_about_images("finding_type")).alias("image_or_caption_issue_count"),
     )
+    buckets = merged.agg(*[F.count_if(F.col("bucket") == b).alias(f"{b}_count") for b in ("agreed", "disputed", "low_confidence")])
+    for name, table in (("source_finding", findings), ("review_finding", second), ("arbiter_finding", arbiter), ("confirmation_finding", third),
+                        ("annotation", annotations), ("revised_chapter", chapters.where("revised"))):
+        report = report.join(table.agg(F.count("*").alias(f"{name}_count")))
+    report = report.join(buckets).withColumn("audit_depth", F.lit(depth)).withColumn("cross_review_enabled", F.lit(crossed))
     return {
-        "findings": findings, "merged": merged, "fixes": fixes, "confirmation": third, "chapters": chapters,
-        "annotations": annotations, "report": report,
+        "findings": findings, "review": second, "merged": merged, "arbiter": arbiter, "fixes": fixes, "confirmation": third,
+        "chapters": chapters, "annotations": annotations, "report": report,
     }

@@ -277,11 +277,15 @@ SQL = {
     "progress_fold": """
         WITH e AS (SELECT user_id AS run_id, event_id AS seq, CASE event_type WHEN 'click' THEN 'book_started' WHEN 'purchase' THEN 'book_completed'
             WHEN 'error' THEN 'book_failed' WHEN 'signup' THEN 'run_started' WHEN 'view' THEN 'run_completed' END AS type FROM events),
-        g AS (SELECT run_id, count(*) FILTER (type = 'book_completed') AS completed_books, count(*) FILTER (type = 'book_failed') AS failed_books,
-            max_by(type, seq) AS last_type, max(seq) AS last_seq, max_by(type, seq) FILTER (type IN ('run_completed', 'run_failed', 'run_started')) AS ended
-            FROM e WHERE type IS NOT NULL GROUP BY run_id)
-        SELECT run_id, CASE ended WHEN 'run_completed' THEN 'completed' WHEN 'run_failed' THEN 'failed' ELSE 'running' END AS status, completed_books, failed_books, last_type, last_seq,
-            least((completed_books + failed_books) / 10, 1.0) AS progress FROM g
+        s AS (SELECT run_id, coalesce(max(seq) FILTER (type = 'run_started'), -1) AS s FROM e WHERE type IS NOT NULL GROUP BY run_id),
+        f AS (SELECT run_id, s, max(seq) FILTER (type = 'run_completed' AND seq > s) AS f FROM e JOIN s USING (run_id) WHERE type IS NOT NULL GROUP BY run_id, s),
+        g AS (SELECT run_id, CASE WHEN f IS NULL THEN 0 ELSE 10 END + count(*) FILTER (type = 'book_completed' AND seq > coalesce(f, s)) AS completed_books,
+            count(*) FILTER (type = 'book_failed' AND seq > s) AS failed_books, max_by(type, seq) AS last_type, max(seq) AS last_seq,
+            max_by(type, seq) FILTER (type IN ('run_completed', 'run_failed', 'run_started', 'book_failed')) AS ended, max_by(type, seq) FILTER (type <> 'run_failed') AS moved
+            FROM e JOIN f USING (run_id) WHERE type IS NOT NULL GROUP BY run_id, s, f)
+        SELECT run_id, CASE ended WHEN 'run_completed' THEN 'completed' WHEN 'run_started' THEN 'running' WHEN 'run_failed' THEN 'failed' WHEN 'book_failed' THEN 'failed' ELSE 'idle' END AS status,
+            completed_books, failed_books, last_type, last_seq,
+            CASE moved WHEN 'run_completed' THEN 1.0 WHEN 'run_started' THEN 0.0 ELSE least(completed_books / 10, 1.0) END::DOUBLE AS progress FROM g
     """,
     "event_hours": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL",
 }

@@ -134,11 +134,17 @@ def review_findings(spark: SparkSession, data_dir: str) -> DataFrame:
     return _review(spark, data_dir)["confirmation"].select("chapter_id", "finding_type", "severity", "source_signature")
 
 
+def review_fixes(spark: SparkSession, data_dir: str) -> DataFrame:
+    """Findings that the deep review repairs."""
+    return _review(spark, data_dir)["fixes"].select("finding_key", "chapter_id", "finding_type", "severity", "confidence")
+
+
 QUERIES = {
     "audit_findings": audit_findings, "collapsed_lists": collapsed_lists, "consensus_merge": consensus_merge,
     "fix_candidates": fix_candidates, "arbitration": arbitration, "finding_counts": finding_counts, "lexicon_clean": lexicon_clean,
     "lexicon_merge": lexicon_merge, "ordered_replace": ordered_replace, "proofread_notes": proofread_notes,
     "block_repairs": block_repairs, "annotations": annotations, "review_chapters": review_chapters, "review_findings": review_findings,
+    "review_fixes": review_fixes,
 }
 
 _S = Q.strip

@@ -279,7 +279,7 @@ def test_progress(spark, tmp_path):
               ("r", 4, "book_started", "b", None, None), ("r", 5, "book_failed", "b", None, "no"), ("r", 6, "run_failed", "b", None, "no")]
     table = spark.createDataFrame(events, schema)
     got = progress.fold_events(table).first()
-    assert (got["status"], got["completed_books"], got["failed_books"], got["progress"], got["last_error"]) == ("failed", 1, 1, 1.0, "no")
+    assert (got["status"], got["completed_books"], got["failed_books"], got["progress"], got["last_error"]) == ("failed", 1, 1, 0.5, "no")  # a failed book is no progress
     table.write.json(str(tmp_path / "in"))
     stream = progress.fold_events(spark.readStream.schema(schema).json(str(tmp_path / "in")))
     query = stream.writeStream.format("memory").queryName("states").outputMode("complete").trigger(availableNow=True).start()
@@ -293,14 +293,14 @@ def test_progress_of_runs_started_twice(spark, tmp_path):
         "again": ["run_started 5", "book_completed", "book_failed", "book_completed", "run_failed", "run_started 3", "book_completed"],
         "whole": ["run_started 4", "book_completed", "run_completed"], "started": ["run_started 2", "book_completed", "run_completed", "run_started"],
         "more": ["book_completed", "run_started 4", "book_failed", "run_completed", "book_completed"], "none": ["run_completed"],
-        "later": ["run_started 4", "run_completed", "run_failed"], "grown": ["run_started 2", "run_completed", "book_started 8"],
+        "later": ["run_started 4", "run_completed", "run_failed"], "idle": ["book_started 2", "book_completed"], "lost": ["run_started 2", "book_failed", "book_completed"], "grown": ["run_started 2", "run_completed", "book_started 8"],
     }
     events = [(run, n, *(t.split() + [None])[:2]) for run, types in runs.items() for n, t in enumerate(types)]
     table = spark.createDataFrame([(run, n, t, None, int(total) if total else None, None) for run, n, t, total in events], schema)
     got = {r["run_id"]: tuple(r)[1:] for r in progress.fold_events(table).select("run_id", "status", "total_books", "completed_books", "failed_books", "progress").collect()}
     assert got == {
         "again": ("running", 3, 1, 0, 1 / 3), "whole": ("completed", 4, 4, 0, 1.0), "started": ("running", 2, 0, 0, 0.0), "more": ("completed", 4, 5, 1, 1.0),
-        "none": ("completed", 0, 0, 0, 1.0), "later": ("failed", 4, 4, 0, 1.0), "grown": ("completed", 8, 2, 0, 0.25),
+        "none": ("completed", 0, 0, 0, 1.0), "later": ("failed", 4, 4, 0, 1.0), "idle": ("idle", 2, 1, 0, 0.5), "lost": ("failed", 2, 1, 1, 0.5), "grown": ("completed", 8, 2, 0, 0.25),
     }
     table.repartition(3).write.json(str(tmp_path / "in"))
     stream = progress.fold_events(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in")))
@@ -309,6 +309,36 @@ def test_progress_of_runs_started_twice(spark, tmp_path):
     assert sorted(spark.table("restarts").collect()) == sorted(progress.fold_events(table).collect())
 
 
+def test_modes_of_the_deep_review(spark):
+    artifacts = chapters(spark, "1. First. 2. Second. 3. Third.")
+    sources = chapters(spark, "1. First.\n2. Second.\n3. Third.")
+    for more, crossed in (({"depth": "standard"}, False), ({"cross_review": False}, False), ({}, True)):
+        tables = deep_review.deep_review(artifacts, sources, **more)
+        report = tables["report"].first().asDict()
+        assert (report["cross_review_enabled"], report["audit_depth"]) == (crossed, more.get("depth", "consensus"))
+        assert report["review_finding_count"] == tables["review"].count() and (crossed or report["review_finding_count"] == 0)
+        assert tables["chapters"].first()["revised"] and report["revised_chapter_count"] == 1 and report["unresolved_count"] == 0
+        kinds = {r["finding_type"] for r in tables["fixes"].collect()}
+        assert crossed or kinds == {"collapsed_numbered_list", "list_structure_loss"}
+
+
+def test_the_arbiter_settles_disputes(spark):
+    schema = "chapter_id string, block_id string, finding_type string, severity string, source_excerpt string, source_signature string, auto_fixable boolean, confidence double, agent_role string"
+    audit_rows = [("c", None, "a", "high", "", "one", True, 0.9, "audit"), ("c", None, "b", "high", "", "two", True, 0.9, "audit"),
+                  ("c", None, "d", "high", "", "three", False, 0.7, "audit"), ("c", None, "e", "low", "", "four", False, 0.9, "audit")]
+    review_rows = [("c", None, "a", "low", "", "one", True, 0.9, "review"), ("c", None, "b", "low", "", "two", True, 0.8, "review"),
+                   ("c", None, "d", "low", "", "three", True, 0.6, "review"), ("c", None, "e", "high", "", "four", False, 0.9, "review")]
+    left, right = (review.with_key(spark.createDataFrame(x, schema)) for x in (audit_rows, review_rows))
+    merged = review.merge_findings(left, right)
+    got = {r["finding_type"]: (r["severity"], r["agent_role"]) for r in deep_review.arbitrate(merged, right).collect()}
+    # As sure: the review; surer: the audit; the surer cannot be fixed: the fixable review; neither can: nothing.
+    assert got == {"a": ("low", "arbiter"), "b": ("high", "arbiter"), "d": ("low", "arbiter")}
+    unseen = {r["finding_type"]: r["severity"] for r in deep_review.arbitrate(merged, right.where("false")).collect()}
+    assert unseen == {"a": "low", "b": "low", "d": "low"}
+    fixed = {r["finding_type"] for r in review.fix_candidates(merged, deep_review.arbitrate(merged, right)).collect()}
+    assert fixed == {"a", "b", "d"}
+
+
 def test_asset_counts(spark):
     assets = spark.createDataFrame([("c", "extracted"), ("c", "caption-only"), ("c", "extracted")], "chapter_id string, status string")
     assert tuple(editorial.asset_manifest(assets).first()) == ("c", 2, 1, 0)
