@@ -226,7 +226,8 @@ def trailing_citations(parts: Column) -> Column:
 
 
 def semantic_blocks(parts: Column) -> Column:
-    """Lines of a block cut where their sense ends: each list item alone, else behind a lone number.
+    """Lines of a block cut where their sense ends: each list item alone, else behind a lone number, and before one where
+    the lines began with one.
 
     A block that begins with a number stays whole.
     """
@@ -241,10 +242,12 @@ def _cut_senses(kept: Column) -> Column:
     def step(acc: Column, x: Column) -> Column:
         current, done = acc["current"], acc["done"]
         closes = _is_number(x) & (F.size(current) > 0)
-        return F.when(
-            closes,
-            F.struct(empty.alias("current"), F.concat(done, F.array(F.concat(current, F.array(x)))).alias("done")),
-        ).otherwise(F.struct(F.concat(current, F.array(x)).alias("current"), done.alias("done")))
+        numbered = F.coalesce(_is_number(F.get(current, F.lit(0))), F.lit(False))
+        return (
+            F.when(closes & numbered, F.struct(F.array(x).alias("current"), F.concat(done, F.array(current)).alias("done")))
+            .when(closes, F.struct(empty.alias("current"), F.concat(done, F.array(F.concat(current, F.array(x)))).alias("done")))
+            .otherwise(F.struct(F.concat(current, F.array(x)).alias("current"), done.alias("done")))
+        )
 
     folded = F.aggregate(
         kept,

@@ -10,6 +10,7 @@ from quireloom.operators import layout as L
 from quireloom.operators import summary as U
 from quireloom.operators.editorial import text_to_blocks
 from quireloom.operators.translate import StubProvider, translate_chunks, user_prompt
+from quireloom.plans import sqlblocks as B
 from quireloom.plans import sqltext as Q
 from quireloom.sources import read_table
 from quireloom.streaming.progress import event_windows, fold_events
@@ -86,9 +87,11 @@ def structured_printable(spark: SparkSession, data_dir: str) -> DataFrame:
 
 
 def text_blocks(spark: SparkSession, data_dir: str) -> DataFrame:
-    """Blocks of every chunk's own text, whose numbered lines anchor its items."""
-    rows = read_table(spark, data_dir, "chunks").where("chunk_id IS NOT NULL AND source_text IS NOT NULL").select("chunk_id", "source_text").distinct()
-    return text_to_blocks(rows.select(F.col("chunk_id").alias("chapter_id"), F.col("source_text").alias("text"), "source_text"))
+    """Blocks of every chunk's latest translation; the numbered lines of the source anchor its items."""
+    sources = read_table(spark, data_dir, "chunks").where("chunk_id IS NOT NULL").select("chunk_id", "source_text").distinct()
+    latest = A.latest_translations(read_table(spark, data_dir, "translations").select("chunk_id", "seq", "translated_text"))
+    rows = sources.join(latest, "chunk_id")
+    return text_to_blocks(rows.select(F.col("chunk_id").alias("chapter_id"), F.col("translated_text").alias("text"), "source_text"))
 
 
 def printable_rows(spark: SparkSession, data_dir: str) -> DataFrame:
@@ -199,7 +202,16 @@ _HEADER = "coalesce(nullif(zh, ''), nullif(title, ''), '未命名章节')"
 _KIND = f"CASE WHEN {_EN} = '' AND {_ZH} = '' THEN 'fallback' WHEN starts_with(lower({_EN}), 'part ') OR (starts_with({_ZH}, '第') AND contains({_ZH}, '部分')) THEN 'part' ELSE 'chapter' END"
 _FIRST = "coalesce(nullif(zh, ''), title, '')"
 
+_TEXT_BLOCKS, _BLOCK_ROWS = B.text_blocks("base")
+_PRINTABLE, _PRINT_ROWS = B.printable("ch")
+
 SQL = {
+    "text_blocks": f"""
+        WITH {_LATEST}, base AS (SELECT chunk_id AS chapter_id, translated_text AS text, source_text
+            FROM (SELECT DISTINCT chunk_id, source_text FROM chunks WHERE chunk_id IS NOT NULL) JOIN lt USING (chunk_id)),{_TEXT_BLOCKS}
+        SELECT * FROM {_BLOCK_ROWS}
+    """,
+    "printable_rows": f"{_CHAPTERS},{_PRINTABLE} SELECT * FROM {_PRINT_ROWS}",
     "resume_pending": f"WITH {_FAILED} SELECT DISTINCT book_id, chunk_id FROM fa",
     "last_write_wins": f"WITH {_LATEST} SELECT chunk_id, seq, provider, attempt_count FROM lt",
     "agg1_run_summary": _SUMMARY,

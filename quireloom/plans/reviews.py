@@ -12,6 +12,7 @@ from quireloom.operators.assembly import latest_translations
 from quireloom.operators.deep_review import deep_review
 from quireloom.operators.layout import layout_annotations
 from quireloom.operators.summary import finding_rollup
+from quireloom.plans import sqlblocks as B
 from quireloom.plans import sqltext as Q
 from quireloom.plans import texts
 from quireloom.sources import read_table
@@ -247,7 +248,16 @@ _CLEAN = f"""
         e AS (SELECT kind, ord, {_S('source')} AS source, {_S('translation')} AS translation FROM lexicon),
         x AS (SELECT kind, source, translation, min(ord) AS ord FROM e WHERE source <> '' AND translation <> '' GROUP BY ALL)"""
 
+_NOTES, _NOTE_ROWS = B.annotations("nd0", "nc")
+
 SQL = {
+    "annotations": f"""
+        WITH nd0 AS (SELECT chapter_id, finding_id AS ord, finding_type, target_excerpt, source_excerpt, reason FROM findings),
+        nc AS (SELECT chapter_id, t.text, s.source_text FROM (SELECT chapter_id, string_agg(text, chr(10) || chr(10) ORDER BY order_index, block_no, text) AS text
+                FROM blocks WHERE chapter_id IS NOT NULL AND text IS NOT NULL GROUP BY chapter_id) t
+            JOIN (SELECT DISTINCT chapter_id, text AS source_text FROM chapters WHERE chapter_id IS NOT NULL) s USING (chapter_id)),{_NOTES}
+        SELECT * FROM {_NOTE_ROWS}
+    """,
     "audit_findings": _AUDIT,
     "collapsed_lists": rf"""
         WITH d AS (SELECT DISTINCT chunk_id, source_text AS s, regexp_replace(source_text, '\s*\n\s*', ' ', 'g') AS t FROM chunks WHERE chunk_id IS NOT NULL AND source_text IS NOT NULL),
