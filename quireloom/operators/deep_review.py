@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quireloom.functions import predicates as P
-from quireloom.functions.text import excerpt
+from quireloom.functions.text import strip
 from quireloom.operators.assembly import blocks_to_text
 from quireloom.operators.audit import audit_pairs
 from quireloom.operators.editorial import repair_blocks, text_to_blocks
@@ -96,7 +96,7 @@ def deep_review(artifacts: DataFrame, sources: DataFrame, cross_review: bool = T
     chapters = texts.select(
         "book_id", "chapter_id", "chapter_index", F.coalesce("final_text", F.lit("")).alias("text"),
         (~F.coalesce("final_text", F.lit("")).eqNullSafe(F.coalesce("text", F.lit("")))).alias("revised"),
-    ).unionByName(lost.select("book_id", "chapter_id", "chapter_index", excerpt("text", 10**9).alias("text"), F.lit(False).alias("revised")))
+    ).unionByName(lost.select("book_id", "chapter_id", "chapter_index", strip("text").alias("text"), F.lit(False).alias("revised")))
     counted = blocking.groupBy("chapter_id").agg(F.count("*").alias("n_unresolved"))
     chapters = chapters.join(counted, "chapter_id", "left").withColumn("n_unresolved", F.coalesce("n_unresolved", F.lit(0)))
     # Annotations follow the fixes of a chapter, or its first findings where nothing is to be fixed.

@@ -188,38 +188,36 @@ def _body(us: str) -> str:
     return f"{us}[1:coalesce(list_max(list_filter(range(1, len({us}) + 1), lambda i: NOT {flags}[i])), 0)]"
 
 
-_AUDIT = f"""
-        WITH l AS (SELECT chunk_id, max_by(translated_text, seq) AS tt FROM
-                (SELECT chunk_id, seq, coalesce(translated_text, '') AS translated_text FROM translations WHERE chunk_id IS NOT NULL) GROUP BY chunk_id),
-        d AS (SELECT DISTINCT chunk_id, coalesce(chapter_title, '') AS ti, coalesce(source_text, '') AS s FROM chunks WHERE chunk_id IS NOT NULL),
-        b AS (SELECT chunk_id, ti, s, tt AS t FROM d JOIN l USING (chunk_id)),
-        n AS (SELECT *, {Q.block_numbers('s')} AS sn, {Q.block_numbers('t')} AS tn, {_SU} AS su0, {_TU} AS tu0,
+def _audit(base: str, key: str, name: str) -> str:
+    """Findings of ``base`` (key, ti, s, t) as steps of which the last is ``name``."""
+    steps = f"""
+        {name}_n AS MATERIALIZED (SELECT *, {Q.block_numbers('s')} AS sn, {Q.block_numbers('t')} AS tn, {_SU} AS su0, {_TU} AS tu0,
             {Q.sentence_count('s')} AS ss, {Q.sentence_count('t')} AS ts,
             list_transform({Q.lines('t')}, lambda x: list_transform(regexp_extract_all(regexp_replace(x, '(^|[^0-9])([0-9]{{1,3}}[.)]{Q.WS}+{Q.NS})', '\\1' || chr(2) || '\\2', 'g'),
                 chr(2) || '([0-9]{{1,3}})', 1), lambda y: CAST(y AS INT))) AS runs,
-            regexp_extract_all(s, '[\"“”]([^\\n]{{12,140}}?)[\"“”]', 1) AS quotes FROM b),
-        u AS (SELECT *, {_body('su0')} AS su, {_body('tu0')} AS tu, {Q.counts_up('sn')} AS listed, {Q.counts_up('tn')} AS kept,
-            len(list_filter(runs, lambda r: {Q.counts_up('r')})) > 0 AS inline FROM n),
-        m AS (SELECT *, listed AND NOT kept AND inline AS collapsed, su[len(tu) + 1:] AS missing, len(su) AS nsu, len(tu) AS ntu,
+            regexp_extract_all(s, '[\"“”]([^\\n]{{12,140}}?)[\"“”]', 1) AS quotes FROM {base}),
+        {name}_u AS MATERIALIZED (SELECT *, {_body('su0')} AS su, {_body('tu0')} AS tu, {Q.counts_up('sn')} AS listed, {Q.counts_up('tn')} AS kept,
+            len(list_filter(runs, lambda r: {Q.counts_up('r')})) > 0 AS inline FROM {name}_n),
+        {name}_m AS (SELECT *, listed AND NOT kept AND inline AS collapsed, su[len(tu) + 1:] AS missing, len(su) AS nsu, len(tu) AS ntu,
             len(list_intersect({Q.anchors('s')}, {Q.anchors('t')})) AS anchors,
             ({Q.count('s', '[A-Za-z]')} >= greatest(12, {Q.count('s', Q.CJK)} * 2) AND {Q.count('t', Q.CJK)} >= greatest(8, {Q.count('t', '[A-Za-z]')} * 2)) AS crossed,
-            {Q.unit('t')} AS plain FROM u),
-        o AS (SELECT *, list_filter(list_transform(missing, lambda x: {Q.unit('x')}), lambda x: length(x) >= 6) AS checked FROM m),
-        f AS (
-            SELECT chunk_id, 'collapsed_numbered_list' AS finding_type, s AS se, t AS te, sn, missing, quotes FROM o WHERE collapsed
-            UNION ALL SELECT chunk_id, 'list_structure_loss', s, t, sn, missing, quotes FROM o WHERE listed AND sn <> tn
-            UNION ALL SELECT chunk_id, 'possible_omission', array_to_string(missing, chr(10)), t, sn, missing, quotes FROM o
+            {Q.unit('t')} AS plain FROM {name}_u),
+        {name}_o AS MATERIALIZED (SELECT *, list_filter(list_transform(missing, lambda x: {Q.unit('x')}), lambda x: length(x) >= 6) AS checked FROM {name}_m),
+        {name}_f AS (
+            SELECT {key}, 'collapsed_numbered_list' AS finding_type, s AS se, t AS te, sn, missing, quotes FROM {name}_o WHERE collapsed
+            UNION ALL SELECT {key}, 'list_structure_loss', s, t, sn, missing, quotes FROM {name}_o WHERE listed AND sn <> tn
+            UNION ALL SELECT {key}, 'possible_omission', array_to_string(missing, chr(10)), t, sn, missing, quotes FROM {name}_o
             WHERE NOT collapsed AND NOT (ss >= 3 AND ts >= ss) AND nsu >= 3 AND ntu < nsu
                 AND NOT (nsu >= 3 AND ntu >= 2 AND ((crossed AND (ntu * 2 >= nsu OR (ss >= 3 AND ts >= 2 AND nsu <= 6)
                     OR (anchors >= 3 AND ts >= greatest(4, floor(ss * 0.08))) OR (ss >= 8 AND ntu >= 8 AND ts >= greatest(12, floor(ss * 0.2)))))
                     OR (anchors >= 6 AND ts >= greatest(12, floor(ss * 0.6)) AND ntu >= greatest(8, floor(nsu * 0.75)))))
                 AND NOT (len(checked) > 0 AND len(list_filter(checked, lambda x: contains(plain, x))) * 10 >= len(checked) * 8)
-            UNION ALL SELECT chunk_id, 'callout_candidate', {_S('quotes[1]')}, t, sn, missing, quotes FROM o
+            UNION ALL SELECT {key}, 'callout_candidate', {_S('quotes[1]')}, t, sn, missing, quotes FROM {name}_o
             WHERE len(quotes) > 0 AND regexp_matches(s, '{_LIST}') AND NOT regexp_matches(t, '[\"“”「」『』]')
-            UNION ALL SELECT chunk_id, 'question_answer_structure', s, t, [{Q.count('s', _QM)}, {Q.count('s', _AM)}], missing, quotes FROM o
+            UNION ALL SELECT {key}, 'question_answer_structure', s, t, [{Q.count('s', _QM)}, {Q.count('s', _AM)}], missing, quotes FROM {name}_o
             WHERE {Q.count('s', _QM)} > 0 AND {Q.count('s', _AM)} > 0
-                AND NOT ({Q.count('t', _QM)} >= {Q.count('s', _QM)} AND {Q.count('t', _AM)} >= {Q.count('s', _AM)}))
-        SELECT chunk_id, finding_type, CASE WHEN finding_type IN ('collapsed_numbered_list', 'list_structure_loss') THEN 'high' ELSE 'medium' END AS severity,
+                AND NOT ({Q.count('t', _QM)} >= {Q.count('s', _QM)} AND {Q.count('t', _AM)} >= {Q.count('s', _AM)})),
+        {name} AS (SELECT {key}, finding_type, CASE WHEN finding_type IN ('collapsed_numbered_list', 'list_structure_loss') THEN 'high' ELSE 'medium' END AS severity,
             {Q.excerpt('se')} AS source_excerpt, {Q.excerpt('te')} AS target_excerpt,
             finding_type NOT IN ('possible_omission', 'question_answer_structure') AS auto_fixable,
             CASE finding_type WHEN 'collapsed_numbered_list' THEN 0.95 WHEN 'list_structure_loss' THEN 0.9 WHEN 'possible_omission' THEN 0.65
@@ -228,8 +226,16 @@ _AUDIT = f"""
                 WHEN 'callout_candidate' THEN 'callout_candidate:' || {Q.signature('se')}
                 WHEN 'question_answer_structure' THEN 'question_answer_structure:q' || sn[1] || ':a' || sn[2]
                 ELSE finding_type || ':' || array_to_string(sn[1:5], '-') END AS source_signature
-        FROM f
-"""
+        FROM {name}_f)"""
+    return steps
+
+
+_PAIRED = """
+        l AS (SELECT chunk_id, max_by(translated_text, seq) AS tt FROM
+                (SELECT chunk_id, seq, coalesce(translated_text, '') AS translated_text FROM translations WHERE chunk_id IS NOT NULL) GROUP BY chunk_id),
+        d AS (SELECT DISTINCT chunk_id, coalesce(chapter_title, '') AS ti, coalesce(source_text, '') AS s FROM chunks WHERE chunk_id IS NOT NULL),
+        b AS (SELECT chunk_id, ti, s, tt AS t FROM d JOIN l USING (chunk_id))"""
+_AUDIT = f"WITH {_PAIRED},{_audit('b', 'chunk_id', 'audited')} SELECT * FROM audited"
 
 _SIDE = f"""
         k AS (SELECT *, {Q.finding_key()} AS finding_key FROM findings),
@@ -248,9 +254,45 @@ _CLEAN = f"""
         e AS (SELECT kind, ord, {_S('source')} AS source, {_S('translation')} AS translation FROM lexicon),
         x AS (SELECT kind, source, translation, min(ord) AS ord FROM e WHERE source <> '' AND translation <> '' GROUP BY ALL)"""
 
+_BLOCK_STEPS, _BLOCK_ROWS = B.text_blocks("base")
+_SAME_SIDES = "a.severity = r.severity AND a.auto_fixable = r.auto_fixable"
+# The steps of the deep review: audit, blocks, second audit, merge, arbiter, repair, third audit.
+_REVIEW = f"""
+        WITH src AS (SELECT book_id, chapter_id, chapter_index, min(title) AS title, min(text) AS text FROM chapters WHERE chapter_id IS NOT NULL GROUP BY ALL),
+        lt AS (SELECT chunk_id, arg_max(struct_pack(t := translated_text), seq).t AS translated_text FROM translations WHERE chunk_id IS NOT NULL GROUP BY chunk_id),
+        art AS (SELECT book_id, chapter_id, chapter_index, coalesce(string_agg(translated_text, chr(10) || chr(10) ORDER BY chunk_index, translated_text), '') AS text
+            FROM (SELECT DISTINCT book_id, chapter_id, chapter_index, chunk_id, chunk_index FROM chunks WHERE chunk_id IS NOT NULL) JOIN lt USING (chunk_id) GROUP BY ALL),
+        ids AS (SELECT book_id, chapter_id, arg_max(struct_pack(id := chapter_id, title := title, text := text), chapter_index) AS s FROM src GROUP BY ALL),
+        ixs AS (SELECT book_id, chapter_index, arg_max(struct_pack(id := chapter_id, title := title, text := text), chapter_id) AS s FROM src GROUP BY ALL),
+        mt AS (SELECT art.*, coalesce(ids.s, ixs.s) AS s FROM art LEFT JOIN ids ON art.book_id = ids.book_id AND art.chapter_id = ids.chapter_id
+            LEFT JOIN ixs ON art.book_id = ixs.book_id AND art.chapter_index = ixs.chapter_index),
+        base AS (SELECT chapter_id, text, s.text AS source_text FROM mt WHERE s IS NOT NULL),
+        sides AS (SELECT book_id, chapter_id, chapter_index, text, coalesce(s.title, '') AS ti, coalesce(s.text, '') AS s FROM mt WHERE s IS NOT NULL),
+        lost AS (SELECT book_id, chapter_id, chapter_index, text FROM mt WHERE s IS NULL),
+        one AS (SELECT chapter_id, ti, s, text AS t FROM sides),{_audit("one", "chapter_id", "first")},{_BLOCK_STEPS},{B.blocks_text(_BLOCK_ROWS, "body")},
+        two AS (SELECT chapter_id, ti, s, body.text AS t FROM sides JOIN body USING (chapter_id)),{_audit("two", "chapter_id", "second")},
+        ka AS (SELECT *, {Q.finding_key()} AS finding_key FROM (SELECT *, NULL::VARCHAR AS block_id FROM first)),
+        kr AS (SELECT *, {Q.finding_key()} AS finding_key FROM (SELECT *, NULL::VARCHAR AS block_id FROM second)),
+        fixes AS (
+            SELECT r.finding_key, r.chapter_id, r.finding_type, r.severity, r.confidence FROM ka a JOIN kr r USING (finding_key)
+                WHERE a.confidence >= 0.6 AND r.confidence >= 0.6 AND {_SAME_SIDES} AND r.auto_fixable
+            UNION ALL SELECT finding_key, w.chapter_id, w.finding_type, w.severity, w.confidence FROM (SELECT a.finding_key,
+                    CASE WHEN CASE WHEN r.auto_fixable AND r.confidence >= a.confidence THEN r.auto_fixable ELSE a.auto_fixable END
+                        THEN CASE WHEN r.auto_fixable AND r.confidence >= a.confidence THEN r ELSE a END WHEN r.auto_fixable THEN r ELSE a END AS w
+                FROM ka a JOIN kr r USING (finding_key) WHERE a.confidence >= 0.6 AND r.confidence >= 0.6 AND NOT ({_SAME_SIDES})) WHERE w.auto_fixable),
+        fixed AS (SELECT * FROM (SELECT * EXCLUDE (text), {Q.tidy("text")} AS text FROM {_BLOCK_ROWS}) WHERE text <> '' OR kind = 'image'),{B.blocks_text("fixed", "final")},
+        three AS (SELECT chapter_id, ti, s, final.text AS t FROM sides JOIN final USING (chapter_id)),{_audit("three", "chapter_id", "third")}"""
 _NOTES, _NOTE_ROWS = B.annotations("nd0", "nc")
 
 SQL = {
+    "review_findings": f"{_REVIEW} SELECT chapter_id, finding_type, severity, source_signature FROM third",
+    "review_fixes": f"{_REVIEW} SELECT * FROM fixes",
+    "review_chapters": f"""
+        {_REVIEW}, open AS (SELECT chapter_id, count(*) AS n FROM third GROUP BY chapter_id)
+        SELECT book_id, sides.chapter_id, chapter_index, coalesce(final.text, '') AS text, coalesce(final.text, '') <> sides.text AS revised, coalesce(n, 0) AS n_unresolved
+        FROM sides LEFT JOIN final USING (chapter_id) LEFT JOIN open USING (chapter_id)
+        UNION ALL SELECT book_id, chapter_id, chapter_index, {_S("text")}, FALSE, 1 FROM lost
+    """,
     "annotations": f"""
         WITH nd0 AS (SELECT chapter_id, finding_id AS ord, finding_type, target_excerpt, source_excerpt, reason FROM findings),
         nc AS (SELECT chapter_id, t.text, s.source_text FROM (SELECT chapter_id, string_agg(text, chr(10) || chr(10) ORDER BY order_index, block_no, text) AS text

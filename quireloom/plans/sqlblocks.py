@@ -50,7 +50,7 @@ def text_blocks(base: str) -> tuple[str, str]:
         tn AS (SELECT chapter_id, piece.kind AS kind, piece.text AS text, row_number() OVER w AS order_index,
             count(*) FILTER (piece.kind = 'ordered_item') OVER w AS nth FROM te WINDOW w AS (PARTITION BY chapter_id ORDER BY pno, ino, k)),
         ta AS (SELECT chapter_id, list_filter({Q.filled_lines("coalesce(source_text, '')")}, lambda x: regexp_matches(x, {item})) AS anchors FROM {base}),
-        tb AS (SELECT tn.chapter_id, tn.chapter_id || '-block-' || order_index AS block_id, kind, text, CAST(order_index AS INT) AS order_index,
+        tb AS MATERIALIZED (SELECT tn.chapter_id, tn.chapter_id || '-block-' || order_index AS block_id, kind, text, CAST(order_index AS INT) AS order_index,
             CASE WHEN kind = 'ordered_item' THEN anchors[nth] END AS source_anchor FROM tn JOIN ta USING (chapter_id))"""
     return steps, "tb"
 
@@ -64,7 +64,7 @@ def blocks_text(blocks: str, name: str) -> str:
         {name}_g AS (SELECT *, lag(kind) OVER w AS prev, row_number() OVER w AS k FROM {name}_r WHERE t <> '' WINDOW w AS (PARTITION BY chapter_id ORDER BY order_index, block_id)),
         {name}_h AS (SELECT *, CASE WHEN prev IS NULL THEN '' WHEN (prev IN ('ordered_item', 'unordered_item') AND kind IN ('ordered_item', 'unordered_item'))
             OR (prev = 'qa_question' AND kind = 'qa_answer') THEN chr(10) ELSE chr(10) || chr(10) END || t AS piece FROM {name}_g),
-        {name} AS (SELECT chapter_id, {Q.strip("string_agg(piece, '' ORDER BY k)")} AS text FROM {name}_h GROUP BY chapter_id)"""
+        {name} AS MATERIALIZED (SELECT chapter_id, {Q.strip("string_agg(piece, '' ORDER BY k)")} AS text FROM {name}_h GROUP BY chapter_id)"""
 
 
 def annotations(findings: str, chapters: str) -> tuple[str, str]:
