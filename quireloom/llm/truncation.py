@@ -372,6 +372,13 @@ def _filter_of(suspects: DataFrame, copies: bool) -> np.ndarray:
     return table
 
 
+def _tally(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different hashes in order and how often each occurs."""
+    held = np.sort(hashes)
+    first = np.flatnonzero(np.concatenate(([True], held[1:] != held[:-1]))) if len(held) else np.zeros(0, np.int64)
+    return held[first], np.diff(np.concatenate((first, [len(held)])))
+
+
 class _Sums:
     """Closings of a task with their counts, each hash once."""
 
@@ -419,14 +426,19 @@ def _gather(texts: DataFrame, key: str, text: str, table: np.ndarray, copies: bo
         dotted = after == 64
         use = (points != _END) & ~final
         shape, short = held.shapes(grams[2])
-        sums = _Sums()
+        found = []
         for hashes, ok in [*((grams[n], use) for n in ORDERS), (shape, use & short)]:
             at = np.flatnonzero(ok)
             at = at[wanted.holds(hashes[at])]
-            sums.add(np.stack([hashes[at].astype(np.int64), np.ones(len(at), np.int64), closed[at], dotted[at]]).astype(np.int64))
-        return sums.whole()
-
-    def candidates(held: _Corpus, grams: dict[int, np.ndarray], wanted: _Filter) -> tuple[np.ndarray, ...]:
+            unique, total = _tally(hashes[at].astype(np.int64))
+            rows = np.stack([unique, total, np.zeros_like(unique), np.zeros_like(unique)])
+            for row, mask in ((2, closed), (3, dotted)):
+                some, times = _tally(hashes[at[mask[at]]].astype(np.int64))
+                rows[row, np.searchsorted(unique, some)] = times
+            found.append(rows)
+        return np.concatenate(found, 1)
+
+    def candidates(held: _Corpus, grams: dict[int, np.ndarray], wanted: _Filter, chosen: np.ndarray) -> tuple[np.ndarray, ...]:
         """Keys the suspects have, the texts that have them, and the characters behind their phrases.
 
         Only where the text would go on in the same line behind the suspect's end.
@@ -435,7 +447,7 @@ def _gather(texts: DataFrame, key: str, text: str, table: np.ndarray, copies: bo
         owner = np.repeat(np.arange(len(held.ends)), size + 1)
         through = np.arange(len(held.points)) - held.begins[owner] + 1
         behind = held.ends[owner] - 1 - np.arange(len(held.points))
-        at = np.flatnonzero((through >= PHRASE) & (behind >= 2))
+        at = np.flatnonzero((through >= PHRASE) & (behind >= 2) & chosen[owner])
         at = at[wanted.holds(_phrase_hashes(grams[PHRASE][at]))]
         top = _level(size)
         places, levels, backs = [], [], []
@@ -470,8 +482,10 @@ def _gather(texts: DataFrame, key: str, text: str, table: np.ndarray, copies: bo
         empty = [pa.nulls(n, t) for t in (pa.int64(), pa.int32(), pa.int64(), pa.string())]
         return pa.RecordBatch.from_arrays([*map(pa.array, sums), *empty], names=names)
 
-    def copies_of(held: _Corpus, grams: dict[int, np.ndarray], wanted: _Filter, ids: np.ndarray, bodies: list[str]) -> Iterator[pa.RecordBatch]:
-        keys, owner, after = candidates(held, grams, wanted)
+    def copies_of(
+        held: _Corpus, grams: dict[int, np.ndarray], wanted: _Filter, chosen: np.ndarray, ids: np.ndarray, bodies: list[str]
+    ) -> Iterator[pa.RecordBatch]:
+        keys, owner, after = candidates(held, grams, wanted, chosen)
         used = np.unique(owner)
         whole = np.zeros(len(ids), np.int64)
         for i in used.tolist():
@@ -496,11 +510,13 @@ def _gather(texts: DataFrame, key: str, text: str, table: np.ndarray, copies: bo
                 if copies:
                     bodies = [stripped_ending(unwrap(t))[0] for _, t in part]
                     ids = np.array([k if k is not None else 0 for k, _ in part], np.int64)
-                    if all(b == t for b, (_, t) in zip(bodies, part, strict=True)):
-                        yield from copies_of(held, grams, wanted, ids, bodies)
-                    else:
-                        bare = _Corpus(bodies)
-                        yield from copies_of(bare, bare.grams(), wanted, ids, bodies)
+                    bare = np.array([b == t for b, (_, t) in zip(bodies, part, strict=True)])
+                    yield from copies_of(held, grams, wanted, bare, ids, bodies)
+                    if not bare.all():
+                        others = [b for b, whole in zip(bodies, bare, strict=True) if not whole]
+                        unwrapped = _Corpus(others)
+                        every = np.ones(len(others), bool)
+                        yield from copies_of(unwrapped, unwrapped.grams(), wanted, every, ids[~bare], others)
         yield closings(sums.whole())
 
     names = ["h", "total", "closed", "dotted", "id", "after", "whole", "body"]
