@@ -38,6 +38,10 @@ MOST_JOINED = 3
 #: A document is aligned by words in windows of so many source sentences, each giving the pairs of its middle half; the
 #: target side of a window follows the length alignment, with a margin. Most documents are one window.
 WINDOW, MARGIN = 200, 60
+#: Steps of the length alignment, in sentences of both sides, and their prices; the variance of a character's rendering.
+MOVES, SPREAD = ((1, 1, 0.0), (1, 0, 2.2), (0, 1, 2.2), (2, 1, 1.6), (1, 2, 1.6)), 0.12
+#: Sentences of both sides up to which a document is aligned by length together with others, and of all of them together.
+SHORT, TOGETHER = 200, 20_000
 #: Places from the straight line between the ends within which the length alignment of a document moves.
 BAND = 400
 
@@ -107,17 +111,71 @@ def _word_slot(words: np.ndarray) -> np.ndarray:
     return (x >> np.uint64(64 - WORD_BITS)).astype(np.int64)
 
 
+def align_batch(pairs: list[tuple[np.ndarray, np.ndarray]], ratio: float) -> list[list[tuple[int, int, float]]]:
+    """align_lengths of many short documents, the cells of one anti-diagonal of all of them at once."""
+    found: list[list[tuple[int, int, float]]] = [[] for _ in pairs]
+    order = sorted(range(len(pairs)), key=lambda i: len(pairs[i][0]) + len(pairs[i][1]))
+    while order:
+        mine = order[: max(1, TOGETHER // (1 + len(pairs[order[-1]][0]) + len(pairs[order[-1]][1])))]
+        order = order[len(mine) :]
+        for i, beads in zip(mine, _align_group([pairs[i] for i in mine], ratio), strict=True):
+            found[i] = beads
+    return found
+
+
+def _align_group(pairs: list[tuple[np.ndarray, np.ndarray]], ratio: float) -> list[list[tuple[int, int, float]]]:
+    n, m = (np.array([len(p[side]) for p in pairs]) for side in (0, 1))
+    src, tgt = np.zeros((len(pairs), n.max() + 1)), np.zeros((len(pairs), m.max() + 1))
+    for row, (a, b) in enumerate(pairs):
+        src[row, 1 : len(a) + 1], tgt[row, 1 : len(b) + 1] = np.cumsum(a), np.cumsum(b)
+    i = np.arange(n.max() + 1)
+    best: list[np.ndarray] = []
+    back: list[np.ndarray] = []
+    for d in range(int((n + m).max()) + 1):
+        j = d - i
+        at = np.clip(j, 0, m.max())
+        inside = (i <= n[:, None]) & (j >= 0) & (j <= m[:, None])
+        cost, move = np.full(inside.shape, np.inf), np.full(inside.shape, -1, np.int8)
+        if d == 0:
+            cost[:, 0] = 0.0
+        for number, (di, dj, price) in enumerate(MOVES):
+            if di + dj > d:
+                continue
+            value = np.full(inside.shape, np.inf)
+            value[:, di:] = best[d - di - dj][:, : len(i) - di] + price
+            if di and dj:
+                expected = (src[:, di:] - src[:, : len(i) - di]) * ratio
+                real = tgt[:, at[di:]] - tgt[:, np.clip(j[di:] - dj, 0, m.max())]
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    value[:, di:] += np.abs(real - expected) / np.sqrt(SPREAD * (expected + real + 2) * 2)
+            better = inside & (value < cost) & (j >= dj)
+            cost, move = np.where(better, value, cost), np.where(better, np.int8(number), move)
+        best.append(cost)
+        back.append(move)
+        if d >= 3:
+            best[d - 3] = best[d - 3][:0]
+    found = []
+    for row, (x, y) in enumerate(zip(n.tolist(), m.tolist(), strict=True)):
+        beads = []
+        while x or y:
+            di, dj, _ = MOVES[back[x + y][row, x]]
+            x, y = x - di, y - dj
+            if di == dj == 1:
+                expected, real = (src[row, x + 1] - src[row, x]) * ratio, tgt[row, y + 1] - tgt[row, y]
+                beads.append((x, y, float(abs(real - expected) / np.sqrt(SPREAD * (expected + real + 2) * 2))))
+        found.append(beads)
+    return found
+
+
 def align_lengths(source: np.ndarray, target: np.ndarray, ratio: float) -> list[tuple[int, int, float]]:
     """One-to-one beads of the cheapest alignment by length, with the deviation of their lengths.
 
     A sentence left out costs a fixed amount; two sentences may stand against one.
     """
     n, m = len(source), len(target)
-    spread = 0.12
     src, tgt = np.concatenate(([0.0], np.cumsum(source))), np.concatenate(([0.0], np.cumsum(target)))
 
     # Cells on one anti-diagonal depend on the three before it only, so each is worked out at once.
-    moves = ((1, 1, 0.0), (1, 0, 2.2), (0, 1, 2.2), (2, 1, 1.6), (1, 2, 1.6))
     best: list[tuple[int, np.ndarray]] = []
     back: list[tuple[int, np.ndarray, np.ndarray]] = []
     for d in range(n + m + 1):
@@ -128,7 +186,7 @@ def align_lengths(source: np.ndarray, target: np.ndarray, ratio: float) -> list[
         cost, move, bend = np.full(len(i), np.inf), np.full(len(i), -1, np.int8), np.zeros(len(i))
         if d == 0:
             cost[0] = 0.0
-        for number, (di, dj, price) in enumerate(moves):
+        for number, (di, dj, price) in enumerate(MOVES):
             if di + dj > d:
                 continue
             first, before = best[d - di - dj]
@@ -139,7 +197,7 @@ def align_lengths(source: np.ndarray, target: np.ndarray, ratio: float) -> list[
             z = np.zeros(len(x))
             if di and dj:
                 expected, real = (src[x] - src[x - di]) * ratio, tgt[y] - tgt[y - dj]
-                z = np.abs(real - expected) / np.sqrt(spread * (expected + real + 2) * 2)
+                z = np.abs(real - expected) / np.sqrt(SPREAD * (expected + real + 2) * 2)
             value = np.full(len(i), np.inf)
             value[ok] = before[x - di - first] + price + z
             better = value < cost
@@ -153,7 +211,7 @@ def align_lengths(source: np.ndarray, target: np.ndarray, ratio: float) -> list[
     found, i, j = [], n, m
     while i or j:
         first, move, bend = back[i + j]
-        di, dj, _ = moves[move[i - first]]
+        di, dj, _ = MOVES[move[i - first]]
         z = float(bend[i - first])
         i, j = i - di, j - dj
         if di == dj == 1:
@@ -237,11 +295,16 @@ def _training_pairs(documents: DataFrame, ratio: float) -> DataFrame:
         words = _Words()
         for batch in batches:
             left, right = [], []
-            for source, target in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                ours, theirs = source_sentences(source), target_sentences(_plain(target))
-                a = np.fromiter(map(len, ours), float, len(ours))
-                b = np.fromiter(map(len, theirs), float, len(theirs))
-                for i, j, z in align_lengths(a, b, ratio):
+            sides = [
+                (source_sentences(source), target_sentences(_plain(target)))
+                for source, target in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)
+            ]
+            lengths = [tuple(np.fromiter(map(len, side), float, len(side)) for side in pair) for pair in sides]
+            short = [i for i, (a, b) in enumerate(lengths) if len(a) + len(b) <= SHORT]
+            aligned = dict(zip(short, align_batch([lengths[i] for i in short], ratio), strict=True))
+            for at, (ours, theirs) in enumerate(sides):
+                beads = aligned[at] if at in aligned else align_lengths(*lengths[at], ratio)
+                for i, j, z in beads:
                     if z <= FITTING:
                         e, f = words.of(ours[i])[0], words.of(theirs[j])[0]
                         if e and f:
