@@ -60,14 +60,33 @@ _QUOTED = re.compile(r"“[^”]*”|「[^」]*」|『[^』]*』|«[^»]*»|„[
 _SENTENCES = re.compile(r"[^。！？.!?\n]*[^\s。！？.!?][^。！？.!?\n]*[。！？.!?\n]*")
 _WORD = re.compile(r"[^\W_]+")
 
+_HAN = re.compile("[\u3400-\u9fff]")
+
 _PAIRED = {"（": "）", "(": ")", "［": "］", "[": "]", "【": "】", "《": "》", "“": "”", "「": "」", "『": "』", "‘": "’"}
 
 
+# Parts of words, one of the first and one of the second line at least in whatever REFUSALS match.
+REFUSAL_HINTS = tuple(
+    tuple(line.split("|"))
+    for line in (
+        "无法|不能|不会|没法|没有办法|难以|不便|不可|恕难|恕不|不予|不再|选择不|拒绝|不了|超出|不在|留空|空白|空缺|只能|只好|cannot|can't|can not|"
+        "able to|won't|will not|decline|refuse|outside|beyond|something|not possible|have to|must|not supported|could not|"
+        "je ne|impossible|pas en mesure|ich |nicht in der|no pued|no podr|no me es|できません|できかね|いたしかね",
+        "译|协助|处理|提供|完成|给出|中文版本|请求|能力|范围|不翻|留空|空着|留作|跳过|略过|translat|render|comply|process|provid|assist|help|"
+        "produce|complete|fulfil|something i|tradui|aider|fournir|traiter|übersetz|helfen|bearbeit|bereitstell|traducir|ayudar|"
+        "procesar|proporcionar|翻訳|手伝い|対応|request|content|text",
+    )
+)
+
+
 def refuses(body: str) -> bool:
     """Whether an unwrapped response is a refusal: one of its first or last sentences refuses outside any quotation.
 
     What somebody is reported to have refused is part of a story.
     """
+    low = body.lower().replace("’", "'")
+    if not all(any(part in low for part in parts) for parts in REFUSAL_HINTS):
+        return False
     plain = _QUOTED.sub("“”", body.replace("’", "'"))
     if not _REFUSES.search(plain):
         return False
@@ -93,8 +112,15 @@ def copies(prompt: str, response: str) -> bool:
 
     Case, punctuation, line ends, numbering and marks before lines make no difference.
     """
-    ours, theirs = _WORD.findall(response.lower()), _WORD.findall(prompt.lower())
-    if not ours or not theirs:
+    ours = _WORD.findall(response.lower())
+    if not ours:
+        return False
+    # A prompt without ideographs holds no triple with a word of them: too few others, and it need not be cut into words.
+    plain = sum(not _HAN.search(w) for w in ours)
+    if plain < COPIED * (len(ours) - 2) and _HAN.search("".join(ours[:40])[:40]) and not _HAN.search(prompt):
+        return False
+    theirs = _WORD.findall(prompt.lower())
+    if not theirs:
         return False
     start_a, start_b = "".join(ours)[:200], "".join(theirs)[:200]
     if min(len(start_a), len(start_b)) >= 40 and start_a[:40] == start_b[:40]:
@@ -165,8 +191,8 @@ def broken_pairs(
     key: a unique number of the response. Responses whose prompt id is null or unknown form no pair. Prompts delivered
     twice count once; of different prompts with one id, the text that sorts first counts. A null prompt is copied by
     nothing. Null, blank and content-free responses are 'empty' and trigger nothing else. A copy in a foreign script is
-    listed as 'other_language' too only with ``every``. Abrupt endings are judged by
-    the closing words of all responses, pairs or not. Other columns are not read; empty tables give no row.
+    listed as 'other_language' too only with ``every``. Truncated are those that problem 3 finds among all responses, pairs
+    or not. Other columns are not read; empty tables give no row.
     """
     flagged = stage(_apply_rules(responses, key, prompt_id, response), "flagged")
     cut = detect_cut(responses, key, response).where("cut").select(key, "cut")

@@ -449,11 +449,18 @@ def stepwise_lengths(source, target, ratio):
 
 def test_lengths_are_aligned_as_cell_by_cell():
     rng = np.random.default_rng(5)
+    many = []
     for _ in range(40):
         a = rng.integers(10, 90, rng.integers(1, 30)).astype(float)
         b = np.delete(a, rng.integers(0, len(a))) * 0.4 + rng.normal(0, 2, len(a) - 1) if len(a) > 3 else a * 0.4
         got = alignment.align_lengths(a, np.maximum(b, 1), 0.4)
         assert [(i, j) for i, j, _ in got] == [(i, j) for i, j, _ in stepwise_lengths(a, np.maximum(b, 1), 0.4)]
+        many.append((a, np.maximum(b, 1)))
+    many.append((np.zeros(0), np.array([5.0])))
+    together = alignment.align_batch(many, 0.4)
+    for (a, b), beads in zip(many, together, strict=True):
+        alone = alignment.align_lengths(a, b, 0.4)
+        assert [x[:2] for x in beads] == [x[:2] for x in alone] and np.allclose([x[2] for x in beads], [x[2] for x in alone])
 
 
 def test_long_documents_are_aligned_in_windows(spark):
