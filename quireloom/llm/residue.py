@@ -359,10 +359,11 @@ HINTS = tuple(
 )
 
 
-def judge_line(line: str, hinted: bool = True) -> tuple[int, int, int, int]:
+def judge_line(line: str, hinted: bool = True, phrased: bool = True) -> tuple[int, int, int, int]:
     """Characters of residue, of filler among it, and of real text in a line, and its real sentences.
 
-    Very short sentences of neither kind count as neither.
+    Very short sentences of neither kind count as neither. hinted: whether a phrase may stand in the document; phrased:
+    whether it may in this line.
     """
     words = line.lower().split()
     if len(words) >= FILLER_WORDS and FUNCTION_WORDS.isdisjoint(words) and _is_babble(line):
@@ -373,7 +374,7 @@ def judge_line(line: str, hinted: bool = True) -> tuple[int, int, int, int]:
     for sentence in (s.strip() for s in _SENTENCE.findall(line)):
         if not sentence:
             continue
-        kind = kind_of(_TYPOGRAPHIC.sub("“”", sentence))
+        kind = kind_of(_TYPOGRAPHIC.sub("“”", sentence)) if phrased else None
         if kind:
             residue += len(sentence)
             filler += len(sentence) if kind == "filler" else 0
@@ -413,9 +414,11 @@ def find_residue(documents: DataFrame, key: str, text: str, source: str) -> Data
                 hinted = phrases.stand_in(low) or bool(_X_HINT.search(low))
                 placeholder = has_placeholder(body)
                 lines = [x for x in map(str.strip, body.splitlines()) if x]
-                judged = [judge_line(x, hinted) for x in lines]
+                judged = [
+                    judge_line(x, hinted, hinted and (phrases.stand_in(x.lower()) or bool(_X_HINT.search(x.lower() + " ")))) for x in lines
+                ]
                 site = sites.stand_in(low)
-                notices = [site and is_notice(x) for x in lines]
+                notices = [site and sites.stand_in(x.lower()) and is_notice(x) for x in lines]
                 grouped: dict[int, int] = {}
                 forms: list[int | None] = []
                 for i, x in enumerate(lines):
