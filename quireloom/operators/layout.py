@@ -12,11 +12,13 @@ from quireloom.functions.text import (
     drop_markup,
     escape_html,
     excerpt,
+    filled_lines,
     flow_lines,
     has_markup,
     header_cut,
     inline_html,
     key,
+    let,
     match_tokens,
     paragraph_html,
     short_title,
@@ -222,6 +224,74 @@ def repeats_answer(answer: Column, paragraph: Column) -> Column:
     return (a != "") & (p != "") & F.endswith(a, p)
 
 
+def question_pair(anchor: Column, marked: Column) -> Column:
+    """Struct of question and answer of an annotation's anchor, or null: its marked lines, else, where the annotation
+    speaks of marks, its first two lines; a single line is split (see extract.split_compact_pair)."""
+
+    def of(parts: Column) -> Column:
+        question = F.get(F.filter(parts, P.is_question), F.lit(0))
+        answer = F.get(F.filter(parts, P.is_answer), F.lit(0))
+        both = question.isNotNull() & answer.isNotNull()
+        one, two = F.get(parts, F.lit(0)), F.get(parts, F.lit(1))
+        lined = F.when(both, F.struct(question.alias("question"), answer.alias("answer"))).when(
+            marked, F.struct(one.alias("question"), two.alias("answer"))
+        )
+        return F.when(F.size(parts) < 2, E.split_compact_pair(anchor, marked)).otherwise(lined)
+
+    return let(filled_lines(anchor), of)
+
+
+def apply_questions(blocks: DataFrame, questions: DataFrame) -> DataFrame:
+    """Blocks (chapter_id, block_no, kind, text) in which the first one that matches an annotation becomes two.
+
+    questions: chapter_id, ord, anchor, and the marks has_question_marker and has_answer_marker (null: the annotation says
+    nothing of them). A block takes the annotation of the lowest ord. A paragraph behind it that repeats the end of the
+    answer is left out. Blocks are numbered anew from 0 in each chapter. Annotations without a pair change nothing.
+    """
+    marked = F.col("has_question_marker").isNotNull() | F.col("has_answer_marker").isNotNull()
+    anchor = strip(F.coalesce("anchor", F.lit("")))
+    wanted = questions.select(
+        "chapter_id", F.col("ord").alias("__ord"), question_pair(anchor, marked).alias("__pair"), E.match_text(anchor).alias("__target")
+    ).where("__pair IS NOT NULL")
+    plain = E.match_text(drop_markup(F.coalesce("text", F.lit(""))))
+    hits = (
+        blocks.select("chapter_id", "block_no", plain.alias("__plain")).where("__plain <> ''").join(wanted, "chapter_id")
+        .where((F.col("__target") == "") | F.contains("__plain", F.col("__target")) | F.contains("__target", F.col("__plain")))
+        .groupBy("chapter_id", "__ord").agg(F.min("block_no").alias("block_no"), F.min_by("__pair", "block_no").alias("__pair"))
+        .groupBy("chapter_id", "block_no").agg(F.min_by("__pair", "__ord").alias("__pair"))
+    )
+    order = Window.partitionBy("chapter_id").orderBy("block_no")
+    joined_rows = blocks.join(hits, ["chapter_id", "block_no"], "left").withColumn("__before", F.lag("__pair").over(order))
+    repeated = (F.col("kind") == "paragraph") & F.col("__pair").isNull() & repeats_answer(F.col("__before.answer"), F.col("text"))
+    kept = joined_rows.where(~F.coalesce(repeated, F.lit(False)))
+    own = F.array(F.struct("kind", "text"))
+    pair = F.array(
+        F.struct(F.lit("qa_question").alias("kind"), F.col("__pair.question").alias("text")),
+        F.struct(F.lit("qa_answer").alias("kind"), F.col("__pair.answer").alias("text")),
+    )
+    rest = [c for c in blocks.columns if c not in ("chapter_id", "block_no", "kind", "text")]
+    pieces = kept.select(
+        "chapter_id", "block_no", *rest, F.posexplode(F.when(F.col("__pair").isNotNull(), pair).otherwise(own)).alias("__part", "__piece")
+    )
+    number = F.row_number().over(Window.partitionBy("chapter_id").orderBy("block_no", "__part")) - 1
+    return pieces.select("chapter_id", number.alias("block_no"), F.col("__piece.kind").alias("kind"), F.col("__piece.text").alias("text"), *rest)
+
+
+def retitle(chapters: DataFrame, overrides: DataFrame) -> DataFrame:
+    """Chapters (chapter_id, title, title_zh) with the overrides' titles (chapter_id, title_zh) and all that is made of
+    them: title_kind, header_title and toc_label_html. A blank override leaves a title as it is."""
+    new = overrides.where("title_zh IS NOT NULL AND title_zh <> ''").groupBy("chapter_id").agg(F.max("title_zh").alias("__new"))
+    zh = preferred_title(F.coalesce("__new", "title_zh"))
+    joined_rows = chapters.join(new, "chapter_id", "left").withColumn("title_zh", zh).drop("__new")
+    title, translated = F.coalesce("title", F.lit("")), F.coalesce("title_zh", F.lit(""))
+    return joined_rows.withColumns(
+        {
+            "title_kind": title_kind(title, translated), "header_title": header_title(title, F.col("title_zh")),
+            "toc_label_html": contents_label(title, F.col("title_zh")),
+        }
+    )
+
+
 def title_kind(title: Column, translated: Column) -> Column:
     part = F.startswith(F.lower(title), F.lit("part ")) | (
         F.startswith(translated, F.lit("第")) & F.contains(translated, F.lit("部分"))

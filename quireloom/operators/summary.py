@@ -42,6 +42,20 @@ def run_summary(chunks: DataFrame, translations: DataFrame, failed: DataFrame) -
     )
 
 
+def run_details(chunks: DataFrame, translations: DataFrame) -> DataFrame:
+    """A row for each book: chapters, provider and model of its last translation, seconds from its first to its last (3 places)."""
+    total = chunks.groupBy("book_id").agg(F.countDistinct("chapter_id").alias("total_chapters"))
+    at = F.col("written_at").cast("timestamp")
+    seconds = (F.unix_micros(F.max(at)) - F.unix_micros(F.min(at))) / 1e6
+    last = translations.groupBy("book_id").agg(
+        F.max_by(F.struct("provider", "model"), "seq").alias("last"), F.round(seconds, 3).alias("duration_seconds")
+    )
+    return total.join(last, "book_id", "full_outer").select(
+        "book_id", F.coalesce("total_chapters", F.lit(0)).alias("total_chapters"), F.col("last.provider").alias("provider"),
+        F.col("last.model").alias("model"), F.coalesce("duration_seconds", F.lit(0.0)).alias("duration_seconds"),
+    )
+
+
 def overall(summaries: DataFrame) -> DataFrame:
     """One row over all books."""
     return summaries.agg(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quireloom.operators import assembly as A
@@ -10,6 +10,7 @@ from quireloom.operators import layout as L
 from quireloom.operators import summary as U
 from quireloom.operators.editorial import text_to_blocks
 from quireloom.operators.translate import StubProvider, translate_chunks, user_prompt
+from quireloom.plans import reviews
 from quireloom.plans import sqlblocks as B
 from quireloom.plans import sqltext as Q
 from quireloom.sources import read_table
@@ -136,6 +137,20 @@ def prompts(spark: SparkSession, data_dir: str) -> DataFrame:
     return rows.select("chunk_id", user_prompt(F.col("book_id"), F.col("chapter_title"), F.col("chunk_index"), F.col("source_text"), entries, none).alias("prompt"))
 
 
+def run_details(spark: SparkSession, data_dir: str) -> DataFrame:
+    """Chapters, provider, model and duration of every book's run."""
+    chunks = read_table(spark, data_dir, "chunks").where("chunk_id IS NOT NULL")
+    return U.run_details(chunks, read_table(spark, data_dir, "translations"))
+
+
+def question_blocks(spark: SparkSession, data_dir: str) -> DataFrame:
+    """Blocks with the question annotations of the findings put in."""
+    place = F.row_number().over(Window.partitionBy("chapter_id").orderBy("order_index", "block_id")).alias("block_no")
+    blocks = _blocks(spark, data_dir).select("chapter_id", place, "kind", "text")
+    questions = reviews.annotations(spark, data_dir).where("kind = 'qa_block'").withColumnRenamed("value", "anchor").drop("kind")
+    return L.apply_questions(blocks, questions)
+
+
 def progress_fold(spark: SparkSession, data_dir: str) -> DataFrame:
     """Runs of users: their first event starts a run, purchases complete books, errors fail them."""
     events = read_table(spark, data_dir, "events")
@@ -160,7 +175,7 @@ QUERIES = {
     "assemble_chapters": assemble_chapters, "assemble_books": assemble_books, "structured_text": structured_text,
     "adjacency_runs": adjacency_runs, "chapters_html": chapters_html, "structured_printable": structured_printable,
     "text_blocks": text_blocks, "printable_rows": printable_rows, "title_labels": title_labels, "stub_translations": stub_translations,
-    "prompts": prompts, "progress_fold": progress_fold, "event_hours": event_hours,
+    "run_details": run_details, "question_blocks": question_blocks, "prompts": prompts, "progress_fold": progress_fold, "event_hours": event_hours,
 }
 
 _LATEST = "lt AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY seq DESC) AS nth FROM translations WHERE chunk_id IS NOT NULL) WHERE nth = 1)"
@@ -205,7 +220,31 @@ _FIRST = "coalesce(nullif(zh, ''), title, '')"
 _TEXT_BLOCKS, _BLOCK_ROWS = B.text_blocks("base")
 _PRINTABLE, _PRINT_ROWS = B.printable("ch")
 
+
+def _match(x: str) -> str:
+    """Comparison form of an annotation's text."""
+    bare = f"translate({Q.squeeze(x)}, '“”\"', '')"
+    return f"replace({Q.tighten(bare)}, ' ', '')"
+
+
+_QUESTION, _ANSWER = (f"'(?i)^{Q.WS}*{m}{Q.WS}*[:：]{Q.WS}*{Q.NS}'" for m in (B.ASKS, B.ANSWERS))
+
+
+def _cut_at(signs: str) -> tuple[str, str]:
+    return Q.strip(f"regexp_extract(flat, '^([^{signs}]*[{signs}])', 1)"), Q.strip(f"regexp_replace(flat, '^[^{signs}]*[{signs}]', '')")
+
+
+(_Q1, _A1), (_Q2, _A2) = _cut_at("?？"), _cut_at(".!?。！？")
+_BOTH = f"'(?i)^({B.ASKS}{Q.WS}*[:：].+?){Q.WS}+({B.ANSWERS}{Q.WS}*[:：].+)$'"
+
 SQL = {
+    "run_details": """
+        WITH c AS (SELECT book_id, count(DISTINCT chapter_id) AS n FROM chunks WHERE chunk_id IS NOT NULL GROUP BY book_id),
+        t AS (SELECT book_id, arg_max(struct_pack(p := provider, m := model), seq) AS l,
+            round((epoch_us(max(written_at)) - epoch_us(min(written_at))) / 1e6, 3) AS s FROM translations GROUP BY book_id)
+        SELECT coalesce(c.book_id, t.book_id) AS book_id, coalesce(n, 0) AS total_chapters, l.p AS provider, l.m AS model, coalesce(s, 0.0) AS duration_seconds
+        FROM c FULL OUTER JOIN t ON c.book_id = t.book_id
+    """,
     "text_blocks": f"""
         WITH {_LATEST}, base AS (SELECT chunk_id AS chapter_id, translated_text AS text, source_text
             FROM (SELECT DISTINCT chunk_id, source_text FROM chunks WHERE chunk_id IS NOT NULL) JOIN lt USING (chunk_id)),{_TEXT_BLOCKS}
@@ -256,6 +295,27 @@ SQL = {
             WHEN kind IS DISTINCT FROM 'paragraph' AND {Q.strip('t')} = '' THEN '' ELSE '<p>' || {Q.inline('t')} || '</p>' END AS element FROM g)
         SELECT chapter_id, coalesce(string_agg(nullif(element, ''), chr(10) ORDER BY run_no), '') AS html FROM e GROUP BY chapter_id
     """,
+    "question_blocks": f"""
+        WITH {_BLOCKS}, an AS (SELECT * FROM ({reviews.SQL["annotations"]})),
+        p AS (SELECT chapter_id, row_number() OVER (PARTITION BY chapter_id ORDER BY order_index, block_id) AS no, kind, text,
+            {_match("regexp_replace(coalesce(text, ''), '<[^>]+>', '', 'g')")} AS plain FROM bl),
+        q0 AS (SELECT chapter_id, ord, {Q.strip("value")} AS anchor FROM an WHERE kind = 'qa_block'),
+        q1 AS (SELECT *, {Q.filled_lines("anchor")} AS ls, {Q.squeeze("anchor")} AS flat, {_match("anchor")} AS target FROM q0),
+        q2 AS (SELECT *, list_filter(ls, lambda x: regexp_matches(x, {_QUESTION}))[1] AS ql, list_filter(ls, lambda x: regexp_matches(x, {_ANSWER}))[1] AS al FROM q1),
+        q3 AS (SELECT *, CASE
+            WHEN len(ls) >= 2 AND ql IS NOT NULL AND al IS NOT NULL THEN {{'q': ql, 'a': al}} WHEN len(ls) >= 2 THEN {{'q': ls[1], 'a': ls[2]}}
+            WHEN regexp_matches(flat, {_BOTH}) THEN {{'q': {Q.strip(f"regexp_extract(flat, {_BOTH}, 1)")}, 'a': {Q.strip(f"regexp_extract(flat, {_BOTH}, 2)")}}}
+            WHEN {_Q1} <> '' AND {_A1} <> '' THEN {{'q': {_Q1}, 'a': {_A1}}} WHEN {_Q2} <> '' AND {_A2} <> '' THEN {{'q': {_Q2}, 'a': {_A2}}} END AS pair FROM q2),
+        h1 AS (SELECT q3.chapter_id, ord, min(no) AS no, any_value(pair) AS pair FROM q3 JOIN p ON p.chapter_id = q3.chapter_id
+            WHERE pair IS NOT NULL AND plain <> '' AND (target = '' OR contains(plain, target) OR contains(target, plain)) GROUP BY q3.chapter_id, ord),
+        h2 AS (SELECT chapter_id, no, arg_min(pair, ord) AS pair FROM h1 GROUP BY chapter_id, no),
+        j AS (SELECT p.*, h2.pair, lag(h2.pair) OVER (PARTITION BY p.chapter_id ORDER BY p.no) AS above FROM p LEFT JOIN h2 ON p.chapter_id = h2.chapter_id AND p.no = h2.no),
+        k AS (SELECT *, {_match("regexp_replace(above.a, '<[^>]+>', '', 'g')")} AS said FROM j),
+        x AS (SELECT chapter_id, no, kind, text, pair FROM k WHERE NOT coalesce(kind = 'paragraph' AND pair IS NULL AND above IS NOT NULL AND plain <> '' AND said <> '' AND ends_with(said, plain), FALSE)),
+        y AS (SELECT chapter_id, no, 0 AS part, CASE WHEN pair IS NULL THEN kind ELSE 'qa_question' END AS kind, CASE WHEN pair IS NULL THEN text ELSE pair.q END AS text FROM x
+            UNION ALL SELECT chapter_id, no, 1, 'qa_answer', pair.a FROM x WHERE pair IS NOT NULL)
+        SELECT chapter_id, row_number() OVER (PARTITION BY chapter_id ORDER BY no, part) - 1 AS block_no, kind, text FROM y
+    """,
     "structured_printable": f"""
         WITH {_BLOCKS}
         SELECT block_no, CASE kind WHEN 'ordered_item' THEN 'numbered_item' WHEN 'unordered_item' THEN 'paragraph' WHEN 'heading' THEN 'section_heading'

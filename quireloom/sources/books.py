@@ -30,6 +30,13 @@ def discover_books(spark: SparkSession, path: str) -> DataFrame:
     return files.where(F.lower("path").rlike(r"\.(pdf|epub)$")).select("path", "length", "modificationTime").orderBy("path")
 
 
+def check_suffixes(files: DataFrame) -> DataFrame:
+    """Files (path) with ``kind``, 'pdf' or 'epub'; running the plan fails where a path has another suffix."""
+    kind = F.regexp_extract(F.lower("path"), r"\.(pdf|epub)$", 1)
+    other = F.raise_error(F.concat(F.lit("Unsupported input file type: "), "path")).cast("string")
+    return files.withColumn("kind", F.when(kind != "", kind).otherwise(other))
+
+
 def file_fingerprint():
     """SHA-256 over path, time and size of a file."""
     return F.sha2(F.concat("path", F.col("modificationTime").cast("string"), F.col("length").cast("string")), 256)

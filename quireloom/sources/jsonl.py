@@ -28,11 +28,7 @@ SCHEMAS = {
 
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Rows of JSON lines; blank lines are no rows, lines that are no JSON fail. A missing path gives an empty table."""
-    jvm = spark.sparkContext._jvm
-    hadoop = jvm.org.apache.hadoop.fs.Path(path)
-    files = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    found = files.globStatus(hadoop)
-    if found is None or not len(found):
+    if not _found(spark, path):
         return spark.createDataFrame([], SCHEMAS.get(schema, schema))
     return spark.read.schema(SCHEMAS.get(schema, schema)).option("mode", "FAILFAST").json(path)
 
@@ -42,6 +38,72 @@ def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).option("ignoreNullFields", "false").json(path)
 
 
+#: Rows of a JSON document that is one array; larger tables are JSON lines.
+MAX_DOCUMENT_ROWS = 100_000
+
+
+def read_json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Rows of files that each hold one JSON array of objects. Other JSON fails; a missing path gives an empty table."""
+    declared = SCHEMAS.get(schema, schema)
+    texts = _whole_files(spark, path)
+    if texts is None:
+        return spark.createDataFrame([], declared)
+    bare = strip("value")
+    checked = F.when(F.startswith(bare, F.lit("[")), bare).otherwise(F.raise_error(F.concat(F.lit("no JSON array: "), F.substring(bare, 1, 80))).cast("string"))
+    items = F.from_json(checked, f"array<struct<{declared}>>", {"mode": "FAILFAST"})
+    return texts.select(F.inline(items))
+
+
+def read_json_object(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A row for each file that holds one JSON object. Other JSON fails; a missing path gives an empty table."""
+    declared = SCHEMAS.get(schema, schema)
+    texts = _whole_files(spark, path)
+    if texts is None:
+        return spark.createDataFrame([], declared)
+    return texts.select(F.from_json(_an_object(F.col("value")), f"struct<{declared}>", {"mode": "FAILFAST"}).alias("o")).select("o.*")
+
+
+def read_json_map(spark: SparkSession, path: str) -> DataFrame:
+    """Entries (key, value) of files that each hold one JSON object, values as text; other JSON fails."""
+    texts = _whole_files(spark, path)
+    if texts is None:
+        return spark.createDataFrame([], "key string, value string")
+    return texts.select(F.explode(F.from_json(_an_object(F.col("value")), "map<string,string>", {"mode": "FAILFAST"})))
+
+
+def _an_object(text: Column) -> Column:
+    bare = strip(text)
+    return F.when(F.startswith(bare, F.lit("{")), bare).otherwise(
+        F.raise_error(F.concat(F.lit("must hold a JSON object: "), F.substring(bare, 1, 80))).cast("string")
+    )
+
+
+def _found(spark: SparkSession, path: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    hadoop = jvm.org.apache.hadoop.fs.Path(path)
+    found = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(hadoop)
+    return found is not None and len(found) > 0
+
+
+def _whole_files(spark: SparkSession, path: str) -> DataFrame | None:
+    return spark.read.text(path, wholetext=True) if _found(spark, path) else None
+
+
+def write_json_array(df: DataFrame, path: str) -> None:
+    """Rows as one JSON array in one file of a folder; more than MAX_DOCUMENT_ROWS fail."""
+    rows = F.collect_list(F.struct(*df.columns))
+    small = F.when(F.size(rows) > MAX_DOCUMENT_ROWS, F.raise_error(F.lit(f"more than {MAX_DOCUMENT_ROWS} rows"))).otherwise(rows)
+    limited = df.limit(MAX_DOCUMENT_ROWS + 1)  # the one row too many is what fails
+    limited.agg(F.to_json(small, {"ignoreNullFields": "false"}).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
+def write_json_object(df: DataFrame, path: str) -> None:
+    """The only row as one JSON object in one file of a folder; any other number of rows fails."""
+    rows = F.collect_list(F.struct(*df.columns))
+    only = F.when(F.size(rows) == 1, F.get(rows, F.lit(0))).otherwise(F.raise_error(F.lit("an object is made of one row")))
+    df.limit(2).agg(F.to_json(only, {"ignoreNullFields": "false"}).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
 def json_map(text: Column | str) -> Column:
     """Entries of a JSON object of strings as an array of structs in no particular order; empty for other JSON."""
     parsed = F.from_json(text, "map<string,string>")

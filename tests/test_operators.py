@@ -339,6 +339,25 @@ def test_the_arbiter_settles_disputes(spark):
     assert fixed == {"a", "b", "d"}
 
 
+def test_stages_are_kept_in_the_shared_folder_and_cleared(spark, monkeypatch):
+    from quireloom.plans import staging
+
+    folder = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    kept = staging.stage(spark.range(3), "numbers")
+    assert kept.count() == 3 and all(f.startswith(f"file://{folder}") for f in kept.inputFiles())
+    staging.clear_stages(spark)
+    assert not os.path.exists(f"{folder}/quireloom/{spark.sparkContext.applicationId}")
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://somewhere:7077")
+    value = spark.conf.get("spark.checkpoint.dir")
+    spark.conf.unset("spark.checkpoint.dir")
+    try:
+        if spark.conf.get("spark.checkpoint.dir", None) is None and not spark.sparkContext.getCheckpointDir():
+            with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+                staging.stage(spark.range(3), "numbers")
+    finally:
+        spark.conf.set("spark.checkpoint.dir", value)
+
+
 def test_asset_counts(spark):
     assets = spark.createDataFrame([("c", "extracted"), ("c", "caption-only"), ("c", "extracted")], "chapter_id string, status string")
     assert tuple(editorial.asset_manifest(assets).first()) == ("c", 2, 1, 0)
