@@ -43,25 +43,23 @@ def merge_lexicons(generated: DataFrame, overrides: DataFrame) -> DataFrame:
     )
 
 
-def lexicon_entries(lexicon: DataFrame) -> list[tuple[str, str]]:
-    """Entries in their order, at most MAX_ENTRIES."""
-    rows = lexicon.orderBy("ord").select("source", "translation").limit(MAX_ENTRIES + 1).collect()
-    if len(rows) > MAX_ENTRIES:
-        raise ValueError(f"more than {MAX_ENTRIES} lexicon entries")
-    return [(r["source"], r["translation"]) for r in rows]
+def entry_array(lexicon: DataFrame, order: Column, name: str = "entries") -> DataFrame:
+    """One row with all entries (source, translation) in order as an array; more than MAX_ENTRIES fail."""
+    rows = F.sort_array(F.collect_list(F.struct(order.alias("at"), F.struct("source", "translation").alias("e"))))
+    entries = F.transform(rows, lambda x: x["e"])
+    bounded = F.when(F.size(rows) > MAX_ENTRIES, F.raise_error(F.lit(f"more than {MAX_ENTRIES} lexicon entries"))).otherwise(entries)
+    return lexicon.limit(MAX_ENTRIES + 1).agg(bounded.alias(name))  # the one entry too many is what fails
 
 
-def replace_in_order(text: Column | str, entries: list[tuple[str, str]]) -> Column:
-    """Literal replacement of every entry, one after the other; later entries see what earlier ones made."""
-    if not entries:
-        return F.col(text) if isinstance(text, str) else text
-    table = F.array(*[F.struct(F.lit(s).alias("s"), F.lit(t).alias("t")) for s, t in entries])
-    return F.aggregate(table, F.col(text) if isinstance(text, str) else text, lambda done, e: F.replace(done, e["s"], e["t"]))
+def replace_in_order(text: Column | str, entries: Column) -> Column:
+    """Literal replacement of every entry of an array, one after the other; later entries see what earlier ones made."""
+    return F.aggregate(entries, F.col(text) if isinstance(text, str) else text, lambda done, e: F.replace(done, e["source"], e["translation"]))
 
 
-def revise(artifacts: DataFrame, glossary: list[tuple[str, str]], names: list[tuple[str, str]]) -> DataFrame:
-    """Texts with the glossary's and then the names' translations."""
-    return artifacts.withColumn("text", replace_in_order("text", [*glossary, *names]))
+def revise(artifacts: DataFrame, lexicon: DataFrame, order: Column) -> DataFrame:
+    """Texts with the lexicon's translations put in by ``order``; the lexicon goes to the workers as one row."""
+    entries = F.broadcast(entry_array(lexicon, order, "__entries"))
+    return artifacts.join(entries, F.lit(True)).withColumn("text", replace_in_order("text", F.col("__entries"))).drop("__entries")
 
 
 def proofread_texts(artifacts: DataFrame) -> DataFrame:
@@ -178,7 +176,7 @@ def asset_manifest(assets: DataFrame) -> DataFrame:
 
 
 __all__ = [
-    "asset_manifest", "attach_captions", "blocks_to_text", "clean_lexicon", "final_log", "lexicon_entries", "merge_lexicons",
+    "asset_manifest", "attach_captions", "blocks_to_text", "clean_lexicon", "entry_array", "final_log", "merge_lexicons",
     "proofread_texts", "rebuild_inline_list", "repair_blocks", "repair_text", "replace_in_order", "restore_numbered_lines",
     "revise", "text_to_blocks",
 ]

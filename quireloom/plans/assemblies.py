@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quireloom.operators import assembly as A
 from quireloom.operators import layout as L
 from quireloom.operators import summary as U
-from quireloom.operators.editorial import text_to_blocks
+from quireloom.operators.editorial import clean_lexicon, entry_array, text_to_blocks
 from quireloom.operators.translate import StubProvider, translate_chunks, user_prompt
 from quireloom.plans import reviews
 from quireloom.plans import sqlblocks as B
@@ -130,11 +130,20 @@ def stub_translations(spark: SparkSession, data_dir: str) -> DataFrame:
 
 
 def prompts(spark: SparkSession, data_dir: str) -> DataFrame:
-    """Prompts of every chunk with two glossary entries."""
-    rows = read_table(spark, data_dir, "chunks").where("chunk_id IS NOT NULL AND source_text IS NOT NULL AND book_id IS NOT NULL AND chapter_title IS NOT NULL").distinct()
-    entries = F.array(*[F.struct(F.lit(s).alias("source"), F.lit(t).alias("translation")) for s, t in (("tide table", "潮汐表"), ("bell rope", "钟绳"))])
-    none = F.slice(entries, 1, 0)
-    return rows.select("chunk_id", user_prompt(F.col("book_id"), F.col("chapter_title"), F.col("chunk_index"), F.col("source_text"), entries, none).alias("prompt"))
+    """Prompts of every chunk with the glossary and the names of the lexicon; missing parts are empty."""
+    clean = clean_lexicon(read_table(spark, data_dir, "lexicon"))
+    order = F.struct("ord", "source", "translation")
+    rows = read_table(spark, data_dir, "chunks").where("chunk_id IS NOT NULL").distinct()
+    for kind in ("glossary", "name"):
+        rows = rows.join(F.broadcast(entry_array(clean.where(F.col("kind") == kind), order, kind)), F.lit(True))
+    none = F.lit("")
+    return rows.select(
+        "chunk_id",
+        user_prompt(
+            F.coalesce("book_id", none), F.coalesce("chapter_title", none), F.coalesce(F.col("chunk_index").cast("string"), none),
+            F.coalesce("source_text", none), F.col("glossary"), F.col("name"),
+        ).alias("prompt"),
+    )
 
 
 def run_details(spark: SparkSession, data_dir: str) -> DataFrame:
@@ -340,11 +349,15 @@ SQL = {
         WITH {_FAILED} SELECT chunk_id, TRUE AS ok, '译文::' || coalesce(source_text, '') AS translated_text, 10 AS input_tokens, 12 AS output_tokens, 1 AS attempt_count
         FROM (SELECT DISTINCT book_id, chunk_id, chapter_title, chunk_index, source_text FROM fa)
     """,
-    "prompts": """
-        SELECT chunk_id, 'Book: ' || book_id || chr(10) || 'Chapter: ' || chapter_title || chr(10) || 'Chunk index: ' || CAST(chunk_index AS VARCHAR) || chr(10) || chr(10)
-            || 'Translate the following text into Simplified Chinese only:' || chr(10) || chr(10) || source_text || chr(10) || chr(10)
-            || 'Glossary:' || chr(10) || '- tide table: 潮汐表' || chr(10) || '- bell rope: 钟绳' AS prompt
-        FROM (SELECT DISTINCT * FROM chunks WHERE chunk_id IS NOT NULL AND source_text IS NOT NULL AND book_id IS NOT NULL AND chapter_title IS NOT NULL)
+    "prompts": f"""
+        WITH e AS (SELECT kind, ord, {Q.strip('source')} AS source, {Q.strip('translation')} AS translation FROM lexicon),
+        x AS (SELECT kind, source, translation, min(ord) AS ord FROM e WHERE source <> '' AND translation <> '' GROUP BY ALL),
+        g AS (SELECT kind, string_agg('- ' || source || ': ' || translation, chr(10) ORDER BY ord, source, translation) AS lines FROM x GROUP BY kind)
+        SELECT chunk_id, 'Book: ' || coalesce(book_id, '') || chr(10) || 'Chapter: ' || coalesce(chapter_title, '') || chr(10) || 'Chunk index: ' || coalesce(CAST(chunk_index AS VARCHAR), '') || chr(10) || chr(10)
+            || 'Translate the following text into Simplified Chinese only:' || chr(10) || chr(10) || coalesce(source_text, '')
+            || coalesce(chr(10) || chr(10) || 'Glossary:' || chr(10) || (SELECT lines FROM g WHERE kind = 'glossary'), '')
+            || coalesce(chr(10) || chr(10) || 'Name map:' || chr(10) || (SELECT lines FROM g WHERE kind = 'name'), '') AS prompt
+        FROM (SELECT DISTINCT * FROM chunks WHERE chunk_id IS NOT NULL)
     """,
     "progress_fold": """
         WITH e AS (SELECT user_id AS run_id, event_id AS seq, CASE event_type WHEN 'click' THEN 'book_started' WHEN 'purchase' THEN 'book_completed'

@@ -15,7 +15,7 @@ from quireloom.operators.summary import finding_rollup
 from quireloom.plans import sqlblocks as B
 from quireloom.plans import sqltext as Q
 from quireloom.plans import texts
-from quireloom.sources import read_table
+from quireloom.sources import read_table, with_text
 
 
 def _pairs(spark: SparkSession, data_dir: str) -> DataFrame:
@@ -89,19 +89,19 @@ def lexicon_merge(spark: SparkSession, data_dir: str) -> DataFrame:
 def ordered_replace(spark: SparkSession, data_dir: str) -> DataFrame:
     """Every chunk's source with glossary and names put in, one entry after the other."""
     clean = D.clean_lexicon(read_table(spark, data_dir, "lexicon"))
-    entries = [D.lexicon_entries(clean.where(F.col("kind") == k)) for k in ("glossary", "name")]
-    rows = read_table(spark, data_dir, "chunks").where("chunk_id IS NOT NULL AND source_text IS NOT NULL").select("chunk_id", F.col("source_text").alias("text")).distinct()
-    return D.revise(rows, *entries)
+    order = F.struct((F.col("kind") == "name").alias("late"), "ord", "source", "translation")
+    rows = with_text(read_table(spark, data_dir, "chunks").where("chunk_id IS NOT NULL").select("chunk_id", F.col("source_text").alias("text")).distinct(), "text")
+    return D.revise(rows, clean.where(F.col("kind").isin("glossary", "name")), order)
 
 
 def proofread_notes(spark: SparkSession, data_dir: str) -> DataFrame:
     """What the publishing pass says of every translation."""
-    rows = read_table(spark, data_dir, "translations").where("translated_text IS NOT NULL").select("seq", F.col("translated_text").alias("text"))
+    rows = with_text(read_table(spark, data_dir, "translations").select("seq", F.col("translated_text").alias("text")), "text")
     return D.proofread_texts(rows).select("seq", "note_type", "severity")
 
 
 def block_repairs(spark: SparkSession, data_dir: str) -> DataFrame:
-    return D.repair_blocks(read_table(spark, data_dir, "blocks").where("text IS NOT NULL")).select("block_no", "text")
+    return D.repair_blocks(with_text(read_table(spark, data_dir, "blocks"), "text")).select("block_no", "text")
 
 
 def annotations(spark: SparkSession, data_dir: str) -> DataFrame:
@@ -302,7 +302,7 @@ SQL = {
     """,
     "audit_findings": _AUDIT,
     "collapsed_lists": rf"""
-        WITH d AS (SELECT DISTINCT chunk_id, source_text AS s, regexp_replace(source_text, '\s*\n\s*', ' ', 'g') AS t FROM chunks WHERE chunk_id IS NOT NULL AND source_text IS NOT NULL),
+        WITH d AS (SELECT DISTINCT chunk_id, source_text AS s, regexp_replace(source_text, '\s*\n\s*', ' ', 'g') AS t FROM chunks WHERE chunk_id IS NOT NULL),
         n AS (SELECT chunk_id, {Q.block_numbers('s')} AS sn, {Q.block_numbers('t')} AS tn,
             list_transform(regexp_extract_all(regexp_replace(t, '(^|[^0-9])([0-9]{{1,3}}[.)]{Q.WS}+{Q.NS})', '\1' || chr(2) || '\2', 'g'), chr(2) || '([0-9]{{1,3}})', 1), lambda y: CAST(y AS INT)) AS run FROM d)
         SELECT chunk_id, 'collapsed_numbered_list' AS finding_type, 'collapsed_numbered_list:' || array_to_string(sn[1:5], '-') AS source_signature, 'high' AS severity, 0.95::DOUBLE AS confidence
@@ -341,15 +341,15 @@ SQL = {
     """,
     "ordered_replace": f"""
         WITH RECURSIVE {_CLEAN},
-        y AS (SELECT source, translation, row_number() OVER (ORDER BY kind = 'name', ord) AS k FROM x),
-        w AS (SELECT DISTINCT chunk_id, source_text AS text, 0 AS k FROM chunks WHERE chunk_id IS NOT NULL AND source_text IS NOT NULL
+        y AS (SELECT source, translation, row_number() OVER (ORDER BY kind = 'name', ord, source, translation) AS k FROM x WHERE kind IN ('glossary', 'name')),
+        w AS (SELECT DISTINCT chunk_id, coalesce(source_text, '') AS text, 0 AS k FROM chunks WHERE chunk_id IS NOT NULL
             UNION ALL SELECT chunk_id, replace(text, y.source, y.translation), y.k FROM w JOIN y ON y.k = w.k + 1)
         SELECT chunk_id, text FROM w WHERE k = (SELECT max(k) FROM y)
     """,
     "proofread_notes": f"""
-        SELECT s.seq, CASE WHEN s.proofread <> t.translated_text THEN 'spacing_normalization' ELSE 'proofread_review' END AS note_type,
-            CASE WHEN s.proofread <> t.translated_text THEN 'medium' ELSE 'info' END AS severity
+        SELECT s.seq, CASE WHEN s.proofread <> coalesce(t.translated_text, '') THEN 'spacing_normalization' ELSE 'proofread_review' END AS note_type,
+            CASE WHEN s.proofread <> coalesce(t.translated_text, '') THEN 'medium' ELSE 'info' END AS severity
         FROM ({texts.SQL["text_spacing"]}) s JOIN translations t USING (seq)
     """,
-    "block_repairs": f"SELECT block_no, {Q.tidy('text')} AS text FROM blocks WHERE text IS NOT NULL AND ({Q.tidy('text')} <> '' OR kind = 'image')",
+    "block_repairs": f"SELECT block_no, {Q.tidy('text')} AS text FROM (SELECT * REPLACE (coalesce(text, '') AS text) FROM blocks) WHERE {Q.tidy('text')} <> '' OR kind = 'image'",
 }

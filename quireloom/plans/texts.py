@@ -9,12 +9,12 @@ from quireloom.functions import extract as E
 from quireloom.functions import predicates as P
 from quireloom.functions import text as T
 from quireloom.plans import sqltext as Q
-from quireloom.sources import read_table
+from quireloom.sources import read_table, with_text
 
 
 def text_scalars(spark: SparkSession, data_dir: str) -> DataFrame:
     """Scalar functions of every chunk's source and title."""
-    rows = read_table(spark, data_dir, "chunks").where("chunk_id IS NOT NULL AND source_text IS NOT NULL").distinct()
+    rows = with_text(read_table(spark, data_dir, "chunks").where("chunk_id IS NOT NULL").distinct(), "source_text")
     s, title = F.col("source_text"), F.coalesce("chapter_title", F.lit(""))
     return rows.select(
         "chunk_id", T.slug(title).alias("slug"), T.word_count(s).alias("words"), T.estimate_tokens(s).alias("tokens"),
@@ -30,7 +30,7 @@ def text_scalars(spark: SparkSession, data_dir: str) -> DataFrame:
 def text_spacing(spark: SparkSession, data_dir: str) -> DataFrame:
     """Editorial, publishing and print spacing of every translation."""
     t = F.col("translated_text")
-    return read_table(spark, data_dir, "translations").where("translated_text IS NOT NULL").select(
+    return with_text(read_table(spark, data_dir, "translations"), "translated_text").select(
         "seq", T.tidy_spacing(t).alias("tidy"), T.proofread(t).alias("proofread"), T.tighten_mixed(t).alias("tight"),
         T.contains_cjk(t).alias("has_cjk"), T.mixes_scripts(t).alias("mixed"), T.has_markup(t).alias("markup"),
     )
@@ -57,7 +57,7 @@ def page_samples(spark: SparkSession, data_dir: str) -> DataFrame:
 
 def inline_lists(spark: SparkSession, data_dir: str) -> DataFrame:
     """Items of lists of every chunk: by lines, and of the same text run together."""
-    rows = read_table(spark, data_dir, "chunks").where("chunk_id IS NOT NULL AND source_text IS NOT NULL").distinct()
+    rows = with_text(read_table(spark, data_dir, "chunks").where("chunk_id IS NOT NULL").distinct(), "source_text")
     s = F.col("source_text")
     return rows.select(
         "chunk_id", E.block_numbers(s).alias("numbers"), F.size(E.numbered_lines(s)).alias("numbered_lines"),
@@ -92,7 +92,8 @@ _PROMPT = " OR ".join(f"starts_with(t, '{p}')" for p in P.PROMPT_STARTS)
 
 SQL = {
     "text_scalars": f"""
-        WITH d AS (SELECT DISTINCT * FROM chunks WHERE chunk_id IS NOT NULL AND source_text IS NOT NULL)
+        WITH d AS (SELECT DISTINCT * FROM (SELECT * REPLACE (coalesce(source_text, '') AS source_text) FROM chunks)
+            WHERE chunk_id IS NOT NULL)
         SELECT chunk_id, {Q.slug(_TITLE)} AS slug, {Q.words(_X)} AS words, {Q.estimate(_X)} AS tokens,
             {Q.count(_X, '[A-Za-z]')} AS latin, {Q.count(_X, Q.CJK)} AS cjk, {Q.unit(_X)} AS unit,
             {Q.sentence_count(_X)} AS sentences, {Q.meaningful(_TITLE)} AS meaningful, {Q.excerpt(_X)} AS excerpt,
@@ -108,7 +109,7 @@ SQL = {
             SELECT seq, translated_text AS t,
                 regexp_replace(regexp_replace(replace(translated_text, chr(13) || chr(10), chr(10)), '[ \t]{{2,}}', ' ', 'g'),
                     '^以下是《[^》]+》[^\n]*?简体中文翻译[:：]{Q.WS}*', '') AS p
-            FROM translations WHERE translated_text IS NOT NULL),
+            FROM (SELECT * REPLACE (coalesce(translated_text, '') AS translated_text) FROM translations)),
         b AS (SELECT *, {Q.marked_items('p')} AS m FROM a),
         c AS (SELECT *, regexp_extract_all(m, chr(2) || '([0-9]{{1,3}})' || chr(3), 1) AS nums,
                 string_split_regex(m, chr(2) || '[0-9]{{1,3}}' || chr(3)) AS parts FROM b),
@@ -157,8 +158,8 @@ SQL = {
         FROM b
     """,
     "inline_lists": rf"""
-        WITH d AS (SELECT DISTINCT chunk_id, source_text AS t, {Q.squeeze('source_text')} AS f FROM chunks
-            WHERE chunk_id IS NOT NULL AND source_text IS NOT NULL),
+        WITH d AS (SELECT DISTINCT chunk_id, source_text AS t, {Q.squeeze('source_text')} AS f FROM (SELECT * REPLACE (coalesce(source_text, '') AS source_text) FROM chunks)
+            WHERE chunk_id IS NOT NULL),
         n AS (SELECT *, {Q.block_numbers('t')} AS numbers, {Q.marked_items('f', '[.)]')} AS m FROM d),
         i AS (SELECT *, list_transform(regexp_extract_all(m, chr(2) || '([0-9]{{1,3}})' || chr(3), 1), lambda x: CAST(x AS INT)) AS nums,
             {Q.filled(f"list_transform(string_split_regex(m, chr(2) || '[0-9]{{1,3}}' || chr(3))[2:], lambda x: {Q.strip('x')})")} AS parts,

@@ -126,7 +126,7 @@ def test_lexicons(spark):
     old = spark.createDataFrame([(0, "Tesla", "甲"), (1, "Mars", "乙")], "ord int, source string, translation string")
     new = spark.createDataFrame([(0, "Tesla", "丙"), (1, "New", "丁"), (2, "Mars", " ")], "ord int, source string, translation string")
     assert rows(editorial.merge_lexicons(old, new), "ord", "source", "translation") == [(0, "Tesla", "丙"), (1, "Mars", "乙"), (2, "New", "丁")]
-    text = spark.createDataFrame([("a b",)], "text string").select(editorial.replace_in_order("text", [("a", "b"), ("b", "c")]).alias("t")).first()["t"]
+    text = spark.createDataFrame([("a b",)], "text string").select(editorial.replace_in_order("text", F.array(*[F.struct(F.lit(s).alias("source"), F.lit(t).alias("translation")) for s, t in (("a", "b"), ("b", "c"))])).alias("t")).first()["t"]
     assert text == "c c"
 
 
