@@ -187,13 +187,44 @@ def print_kind(kind: Column | str) -> Column:
     return out.otherwise(F.lit("paragraph"))
 
 
-def structured_to_printable(blocks: DataFrame) -> DataFrame:
-    """Printable rows of structured blocks without assets; blank blocks of other kinds are left out."""
+def structured_to_printable(blocks: DataFrame, assets: DataFrame | None = None) -> DataFrame:
+    """Printable rows of structured blocks; blank blocks of other kinds are left out.
+
+    assets: chapter_id, source_asset_id, ord, block_anchor_id, status, caption; the last of a block counts. An image that
+    is known by its caption only becomes a caption, unless a caption block says the same; such captions without a block
+    of theirs go behind the chapter, with the columns that blocks have beside theirs as null. Blocks then need chapter_id,
+    block_id and order_index.
+    """
     known = F.col("kind").isin(*SAME_KINDS, *PRINT_KINDS)
-    return blocks.select(
-        *[c for c in blocks.columns if c not in ("kind", "text")], print_kind("kind").alias("kind"),
-        strip("text").alias("text"), known.alias("__known"),
+    if assets is None:
+        return blocks.select(
+            *[c for c in blocks.columns if c not in ("kind", "text")], print_kind("kind").alias("kind"),
+            strip("text").alias("text"), known.alias("__known"),
+        ).where("__known OR text <> ''").drop("__known")
+    told = caption_keys(blocks).withColumn("__told", F.lit(True))
+    alone = assets.where("status = 'caption-only' AND caption IS NOT NULL AND caption <> ''").withColumn("caption_key", key("caption"))
+    alone = alone.join(told, ["chapter_id", "caption_key"], "left")
+    last = assets.where("block_anchor_id IS NOT NULL AND block_anchor_id <> ''").groupBy("chapter_id", "block_anchor_id").agg(F.max("ord").alias("ord"))
+    by_block = alone.join(last, ["chapter_id", "block_anchor_id", "ord"]).select(
+        "chapter_id", F.col("block_anchor_id").alias("block_id"), F.col("caption").alias("__caption"), F.coalesce("__told", F.lit(False)).alias("__said")
+    )
+    rows = blocks.join(by_block, ["chapter_id", "block_id"], "left")
+    pictured = (F.col("kind") == "image") & F.col("__caption").isNotNull()
+    shown = rows.where(~F.coalesce(pictured & F.col("__said"), F.lit(False))).select(
+        *[c for c in blocks.columns if c not in ("kind", "text")],
+        F.when(pictured, "caption").otherwise(print_kind("kind")).alias("kind"),
+        F.when(pictured, strip("__caption")).otherwise(strip("text")).alias("text"),
+        (known | F.coalesce(pictured, F.lit(False))).alias("__known"),
     ).where("__known OR text <> ''").drop("__known")
+    placed = blocks.where("kind IN ('image', 'caption')").select("chapter_id", F.col("block_id").alias("block_anchor_id")).distinct()
+    rest = alone.where("__told IS NULL").join(placed, ["chapter_id", "block_anchor_id"], "left_anti")
+    ends = blocks.groupBy("chapter_id").agg(F.max("order_index").alias("__end"))
+    place = F.coalesce("__end", F.lit(0)) + F.row_number().over(Window.partitionBy("chapter_id").orderBy("ord"))
+    made = rest.join(ends, "chapter_id", "left").withColumn("order_index", place.cast(blocks.schema["order_index"].dataType))
+    values = {"chapter_id": F.col("chapter_id"), "order_index": F.col("order_index"), "kind": F.lit("caption"), "text": strip("caption")}
+    return shown.unionByName(
+        made.select(*[values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in shown.schema])
+    )
 
 
 def apply_callout(blocks: DataFrame, callouts: DataFrame) -> DataFrame:
@@ -365,9 +396,62 @@ def block_html(kind: Column, text: Column) -> Column:
     return out.otherwise(paragraph)
 
 
-def chapters_html(blocks: DataFrame) -> DataFrame:
-    """Body of each chapter (chapter_id, html): list items of adjacent blocks in one list, the rest an element each."""
+def figure_html(kind: Column, text: Column, asset: Column) -> Column:
+    """Figure of an image or caption block with its asset (file_name, caption, status), or null where it has none to show."""
+    said, caption = strip(text), F.coalesce(asset["caption"], F.lit(""))
+    alone = F.when(said != "", said).otherwise(caption)
+
+    def picture(alt: Column, below: Column) -> Column:
+        return F.concat(
+            F.lit('<figure class="image"><img src="'), escape_html(asset["file_name"]), F.lit('" alt="'), escape_html(alt), F.lit('" />'), below,
+            F.lit("</figure>"),
+        )
+
+    def below(words: Column) -> Column:
+        return F.when(words != "", F.concat(F.lit("<figcaption>"), inline_html(words), F.lit("</figcaption>"))).otherwise(F.lit(""))
+
+    placeholder = F.concat(F.lit('<figure class="image-placeholder"><figcaption>'), inline_html(alone), F.lit("</figcaption></figure>"))
+    return (
+        F.when((kind == "image") & asset.isNotNull(), picture(alone, below(caption)))
+        .when((kind == "caption") & (asset["status"] == "extracted"), picture(alone, F.concat(F.lit("<figcaption>"), inline_html(alone), F.lit("</figcaption>"))))
+        .when((kind == "caption") & asset.isNotNull() & (alone != ""), placeholder)
+    )
+
+
+def _with_assets(blocks: DataFrame, assets: DataFrame) -> DataFrame:
+    fields = F.struct("file_name", "caption", "status", "block_anchor_id").alias("__a")
+    named = assets.select("chapter_id", F.explode(F.array_compact(F.array("source_asset_id", "block_anchor_id"))).alias("__name"), fields)
+    named = named.groupBy("chapter_id", "__name").agg(F.min("__a").alias("__a"))
+    worded = assets.where("caption <> ''").groupBy("chapter_id", key("caption").alias("__words")).agg(F.min(fields).alias("__by_words"))
+    extracted = assets.where("status = 'extracted'").groupBy("chapter_id").agg(F.countDistinct("source_asset_id").alias("__n"), F.min(fields).alias("__only"))
+    joined_rows = (
+        blocks.withColumn("__words", key(F.coalesce("text", F.lit(""))))
+        .join(named.select("chapter_id", F.col("__name").alias("block_id"), F.col("__a").alias("__own")), ["chapter_id", "block_id"], "left")
+        .join(named.select("chapter_id", F.col("__name").alias("source_anchor"), F.col("__a").alias("__anchored")), ["chapter_id", "source_anchor"], "left")
+        .join(worded, ["chapter_id", "__words"], "left")
+        .join(extracted, "chapter_id", "left")
+    )
+    other = F.when(F.col("kind") == "caption", F.col("__by_words")).when((F.col("kind") == "image") & (F.col("__n") == 1), F.col("__only"))
+    return joined_rows.withColumn("__asset", F.coalesce("__own", "__anchored", other)).select(*blocks.columns, "__asset")
+
+
+def chapters_html(blocks: DataFrame, assets: DataFrame | None = None) -> DataFrame:
+    """Body of each chapter (chapter_id, html): list items of adjacent blocks in one list, the rest an element each.
+
+    assets: chapter_id, source_asset_id, block_anchor_id, file_name, caption, status of those that have a file (see
+    unique_file_names). A block's asset is the one that names it or that its anchor names, for a caption else one with the
+    same words, for an image else the only extracted one. A caption block that an image before it has shown is left out.
+    """
     order = Window.partitionBy("chapter_id").orderBy("order_index", "block_id")
+    figure = F.lit(None).cast("string")
+    if assets is not None:
+        blocks = _with_assets(blocks, assets)
+        before = order.rowsBetween(Window.unboundedPreceding, -1)
+        pictured = F.when((F.col("kind") == "image") & (F.coalesce(F.col("__asset.caption"), F.lit("")) != ""), F.col("__asset.block_anchor_id"))
+        blocks = blocks.withColumn("__shown", F.collect_set(pictured).over(before))
+        blocks = blocks.where(~((F.col("kind") == "caption") & F.array_contains("__shown", F.col("block_id")))).drop("__shown")
+        figure = figure_html(F.col("kind"), F.coalesce("text", F.lit("")), F.col("__asset"))
+    blocks = blocks.withColumn("__figure", figure)
     starts = F.when(F.lag("kind").over(order).eqNullSafe(F.col("kind")) & F.col("kind").isin("ordered_item", "unordered_item"), 0).otherwise(1)
     runs = blocks.withColumn("starts", starts).withColumn("run_no", F.sum("starts").over(order)).withColumn("place", F.row_number().over(order))
     item = F.when(strip("text") != "", F.concat(F.lit("<li>"), inline_html("text"), F.lit("</li>")))
@@ -376,6 +460,7 @@ def chapters_html(blocks: DataFrame) -> DataFrame:
         F.min_by("source_anchor", "place").alias("anchor"),
         joined("place", item, "").alias("items"),
         F.min_by("text", "place").alias("text"),
+        F.min_by("__figure", "place").alias("figure"),
     )
     start = E.ordered_start(F.col("anchor"))
     attribute = F.coalesce(F.concat(F.lit(' start="'), start.cast("string"), F.lit('"')), F.lit(""))
@@ -383,7 +468,7 @@ def chapters_html(blocks: DataFrame) -> DataFrame:
         F.when(F.col("kind").isin("ordered_item", "unordered_item") & (F.col("items") == ""), F.lit(""))
         .when(F.col("kind") == "ordered_item", F.concat(F.lit('<ol class="ordered-list"'), attribute, F.lit(">"), F.col("items"), F.lit("</ol>")))
         .when(F.col("kind") == "unordered_item", F.concat(F.lit('<ul class="unordered-list">'), F.col("items"), F.lit("</ul>")))
-        .otherwise(block_html(F.col("kind"), F.coalesce("text", F.lit(""))))
+        .otherwise(F.coalesce("figure", block_html(F.col("kind"), F.coalesce("text", F.lit("")))))
     )
     return grouped.withColumn("element", F.nullif(element, F.lit(""))).groupBy("chapter_id").agg(
         joined("run_no", F.col("element"), "\n").alias("html")

@@ -196,6 +196,10 @@ def drop_leading_title(body: Column, title: Column) -> Column:
     return F.when(first == F.lower(strip(title)), strip(rest)).otherwise(body)
 
 
+#: Pages of a stretch.
+STRETCH = 64
+
+
 def split_by_pages(pages: DataFrame, toc: DataFrame) -> DataFrame:
     """Chapters by page: from an entry's page up to the next entry's, at least one page.
 
@@ -217,7 +221,11 @@ def split_by_pages(pages: DataFrame, toc: DataFrame) -> DataFrame:
         .withColumn("high", F.greatest(F.col("next"), F.col("low") + 1))
     )
     filled = pages.select("book_id", "page_index", strip("text").alias("text")).where("text <> ''")
-    inside = spans.join(filled, "book_id", "left").where("page_index IS NULL OR (page_index >= low AND page_index < high)")
+    # Pages meet spans by stretches of pages, so that a large book is neither one key nor joined with all its spans.
+    stretch = F.floor(F.col("page_index") / STRETCH)
+    stretches = F.explode(F.sequence(F.floor(F.col("low") / STRETCH), F.floor((F.col("high") - 1) / STRETCH))).alias("__stretch")
+    wide = spans.select("book_id", "chapter_index", "low", "high", stretches)
+    inside = wide.join(filled.withColumn("__stretch", stretch), ["book_id", "__stretch"]).where("page_index >= low AND page_index < high")
     return (
         spans.join(
             inside.groupBy("book_id", "chapter_index").agg(

@@ -51,7 +51,14 @@ def title_chapters(spark: SparkSession, data_dir: str) -> DataFrame:
 def page_chapters(spark: SparkSession, data_dir: str) -> DataFrame:
     """Chapters by page: chunks as pages, the contents naming the first chunk of each chapter."""
     chunks = read_table(spark, data_dir, "chunks").where("chunk_id IS NOT NULL").distinct()
-    order = F.row_number().over(Window.partitionBy("book_id").orderBy("chapter_index", "chunk_index", "chunk_id")) - 1
+    # Pages are numbered within chapters and moved by the pages of the chapters before: a book's pages are never one window.
+    sizes = chunks.groupBy("book_id", "chapter_index").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("book_id").orderBy("chapter_index").rowsBetween(Window.unboundedPreceding, -1)
+    moved = sizes.select("book_id", F.col("chapter_index").alias("at"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("moved"))
+    in_chapter = Window.partitionBy("book_id", "chapter_index").orderBy("chunk_index", "chunk_id")
+    same = chunks["book_id"].eqNullSafe(moved["book_id"]) & chunks["chapter_index"].eqNullSafe(moved["at"])
+    chunks = chunks.join(moved, same).drop(moved["book_id"])
+    order = (F.col("moved") + F.row_number().over(in_chapter) - 1).cast("int")
     pages = chunks.select(
         "book_id", order.alias("page_index"), F.coalesce("source_text", F.lit("")).alias("text"), "chapter_id", "chapter_index", "chapter_title"
     )

@@ -19,3 +19,12 @@ def test_archives_can_be_read_again(spark):
     assert book["title"] == "A & B" and book["toc"] == ["One <1>", "Two"] and book["pages"][0].endswith("One\nfirst")
     with zipfile.ZipFile(io.BytesIO(got["c"])) as archive:
         assert missing_entries(archive) == [] and archive.namelist()[0] == "mimetype"
+
+
+def test_images_go_into_the_archive(spark):
+    pages = spark.createDataFrame([("b", "Book", 0, "One", "<html/>")], "book_id string, book_title string, chapter_index int, title string, page string")
+    images = spark.createDataFrame([("b", "images/c-a.png", bytearray(b"png")), ("z", "x.png", bytearray(b"x"))], "book_id string, file_name string, content binary")
+    content = bytes(epub_archives(pages, images=images).first()["content"])
+    with zipfile.ZipFile(io.BytesIO(content)) as archive:
+        assert archive.read("EPUB/images/c-a.png") == b"png" and 'href="images/c-a.png" media-type="image/png"' in archive.read("EPUB/content.opf").decode()
+        assert "One" in archive.read("EPUB/toc.ncx").decode()

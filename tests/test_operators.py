@@ -7,7 +7,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from quireloom.operators import assembly, audit, deep_review, editorial, layout, review, segmentation, summary, translate
+from quireloom.operators import assembly, audit, deep_review, editorial, layout, review, segmentation, stages, summary, translate
 from quireloom.sources import books, jsonl
 from quireloom.streaming import progress
 
@@ -339,7 +339,7 @@ def test_the_arbiter_settles_disputes(spark):
     assert fixed == {"a", "b", "d"}
 
 
-def test_stages_are_kept_in_the_shared_folder_and_cleared(spark, monkeypatch):
+def test_stages_are_kept_in_the_shared_folder_and_cleared(spark):
     from quireloom.plans import staging
 
     folder = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
@@ -347,15 +347,111 @@ def test_stages_are_kept_in_the_shared_folder_and_cleared(spark, monkeypatch):
     assert kept.count() == 3 and all(f.startswith(f"file://{folder}") for f in kept.inputFiles())
     staging.clear_stages(spark)
     assert not os.path.exists(f"{folder}/quireloom/{spark.sparkContext.applicationId}")
-    monkeypatch.setattr(spark.sparkContext, "master", "spark://somewhere:7077")
-    value = spark.conf.get("spark.checkpoint.dir")
-    spark.conf.unset("spark.checkpoint.dir")
-    try:
-        if spark.conf.get("spark.checkpoint.dir", None) is None and not spark.sparkContext.getCheckpointDir():
-            with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
-                staging.stage(spark.range(3), "numbers")
-    finally:
-        spark.conf.set("spark.checkpoint.dir", value)
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from quireloom.plans import staging
+
+    def session(master, named=None):
+        context = SimpleNamespace(master=master, getCheckpointDir=lambda: None)
+        return SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda key, default: named))
+
+    for master in ("spark://somewhere:7077", "yarn", "local-cluster[3,2,1024]"):
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            staging._shared_folder(session(master))
+        assert staging._shared_folder(session(master, "hdfs://shared/")) == "hdfs://shared"
+    assert staging._shared_folder(session("local[4]")).startswith("file://")
+
+
+def test_questions_become_blocks(spark):
+    schema = "chapter_id string, block_no int, kind string, text string"
+    blocks = [("c", 0, "paragraph", "Intro."), ("c", 1, "paragraph", "问：为什么 study？ 答：因为 it helps a lot."), ("c", 2, "paragraph", "it helps a lot."),
+              ("c", 3, "paragraph", "Rest."), ("d", 5, "paragraph", "Is it so? Yes, it is."), ("d", 7, "paragraph", "Other."), ("e", 0, "paragraph", "no pair here")]
+    notes = [("c", 1, "问：为什么 study？\n答：因为 it helps a lot.", True, True), ("d", 1, "Is it so? Yes, it is.", False, False), ("e", 1, "no pair here", None, None), ("x", 1, "Q: a\nA: b", True, True)]
+    table = spark.createDataFrame(blocks, schema).withColumn("extra", F.lit(1))
+    questions = spark.createDataFrame(notes, "chapter_id string, ord int, anchor string, has_question_marker boolean, has_answer_marker boolean")
+    got = rows(layout.apply_questions(table, questions), "chapter_id", "block_no", "kind", "text", "extra")
+    assert got == [
+        ("c", 0, "paragraph", "Intro.", 1), ("c", 1, "qa_question", "问：为什么 study？", 1), ("c", 2, "qa_answer", "答：因为 it helps a lot.", 1), ("c", 3, "paragraph", "Rest.", 1),
+        ("d", 0, "qa_question", "Is it so?", 1), ("d", 1, "qa_answer", "Yes, it is.", 1), ("d", 2, "paragraph", "Other.", 1), ("e", 0, "paragraph", "no pair here", 1),
+    ]
+    assert layout.apply_questions(table.where("false"), questions).count() == 0
+    assert layout.apply_questions(table, questions.where("false")).count() == len(blocks)
+
+
+def test_titles_are_put_anew(spark):
+    chapters_ = spark.createDataFrame([("a", "Part One", "第一部分"), ("b", "Two", None), ("c", None, None)], "chapter_id string, title string, title_zh string")
+    new = spark.createDataFrame([("b", "第二章"), ("a", ""), ("z", "x")], "chapter_id string, title_zh string")
+    got = {r["chapter_id"]: r for r in layout.retitle(chapters_, new).collect()}
+    assert (got["a"]["title_zh"], got["a"]["title_kind"]) == ("第一部分", "part")
+    assert (got["b"]["title_zh"], got["b"]["header_title"]) == ("第二章", "第二章") and "Two" in got["b"]["toc_label_html"]
+    assert got["c"]["title_kind"] == "fallback" and got["c"]["header_title"] == "未命名章节"
+
+
+def test_images_in_blocks_and_pages(spark):
+    schema = "chapter_id string, block_id string, order_index int, kind string, text string, source_anchor string"
+    blocks = spark.createDataFrame(
+        [("c", "b1", 1, "image", "", None), ("c", "b2", 2, "caption", "Figure <1>", None), ("c", "b3", 3, "image", "", None), ("c", "b4", 4, "paragraph", "Text", None), ("c", "b5", 5, "image", "lost", None)], schema)
+    assets = spark.createDataFrame(
+        [("c", "a1", 1, "b1", "extracted", None, "images/c-a1.png"), ("c", "a2", 2, "b2", "extracted", "Figure <1>", "images/c-a2.png"), ("c", "a3", 3, "b3", "caption-only", "Map of the bay", None),
+         ("c", "a4", 4, None, "caption-only", "Loose caption", None), ("c", "a5", 5, None, "caption-only", "figure 1", None)],
+        "chapter_id string, source_asset_id string, ord int, block_anchor_id string, status string, caption string, file_name string")
+    printed = rows(layout.structured_to_printable(blocks, assets), "order_index", "kind", "text")
+    assert printed == [(2, "caption", "Figure <1>"), (3, "caption", "Map of the bay"), (4, "paragraph", "Text"), (5, "paragraph", "lost"), (6, "caption", "Loose caption")]
+    html = layout.chapters_html(blocks, assets.where("file_name IS NOT NULL")).first()["html"]
+    assert html.split("\n") == [
+        '<figure class="image"><img src="images/c-a1.png" alt="" /></figure>',
+        '<figure class="image"><img src="images/c-a2.png" alt="Figure &lt;1&gt;" /><figcaption>Figure &lt;1&gt;</figcaption></figure>',
+        "<p>Text</p>", '<figure class="image-placeholder"><figcaption>lost</figcaption></figure>',
+    ]
+    # By the asset's name in the anchor, by a caption's words, and the only extracted asset for any image.
+    blocks = spark.createDataFrame([("d", "b1", 1, "image", "", "a9"), ("d", "b2", 2, "caption", "The BAY", None), ("d", "b3", 3, "caption", "Other", None), ("e", "b1", 1, "image", "x", None)], schema)
+    assets = spark.createDataFrame(
+        [("d", "a9", 1, None, "extracted", None, "images/9.png"), ("d", "a8", 2, None, "extracted", "the bay", "images/8.png"), ("e", "a7", 1, None, "extracted", "One", "images/7.png")], assets.schema)
+    html = {r["chapter_id"]: r["html"].split("\n") for r in layout.chapters_html(blocks, assets).collect()}
+    assert html["d"][0] == '<figure class="image"><img src="images/9.png" alt="" /></figure>' and 'src="images/8.png" alt="The BAY"' in html["d"][1] and "placeholder" in html["d"][2]
+    assert html["e"] == ['<figure class="image"><img src="images/7.png" alt="x" /><figcaption>One</figcaption></figure>']
+
+
+def test_stages_that_run_again(spark):
+    names = ["draft", "lexicon", "revision", "proofread"]
+    wanted = spark.createDataFrame([(b, s, n, f"{b}{s}") for b in "ab" for n, s in enumerate(names)], "book_id string, stage string, stage_no int, fingerprint string")
+    recorded = spark.createDataFrame([("a", "draft", "complete", "adraft"), ("a", "lexicon", "complete", "old"), ("a", "revision", "complete", "arevision")], "book_id string, stage string, status string, fingerprint string")
+    got = {(r["book_id"], r["stage"]): (r["stale"], r["runs"]) for r in stages.stale_stages(wanted, recorded).collect()}
+    assert [got["a", s] for s in names] == [(False, False), (True, True), (False, True), (True, True)] and all(got["b", s] == (True, True) for s in names)
+    parts = spark.createDataFrame([("a", 2, "y"), ("a", 1, "x"), ("b", 1, "x"), ("b", 2, None)], "book_id string, n int, text string")
+    prints = dict(rows(stages.input_fingerprints(parts, ["book_id"], "n", "text"), "book_id", "fingerprint"))
+    assert prints["a"] != prints["b"] and prints == dict(rows(stages.input_fingerprints(parts.repartition(3), ["book_id"], "n", "text"), "book_id", "fingerprint"))
+    run = spark.createDataFrame([("a", "s", "p", "m", "c"), ("b", "s", "p", "m", "c"), ("z", "s", "p", "m", "c")], "book_id string, source_fingerprint string, provider string, model string, config_fingerprint string")
+    manifest = run.where("book_id <> 'z'").withColumn("model", F.when(F.col("book_id") == "b", "other").otherwise(F.col("model")))
+    assert rows(stages.resume_compatible(run, manifest), "book_id", "compatible", "differs") == [("a", True, []), ("b", False, ["model"]), ("z", False, None)]
+
+
+def test_json_documents(spark, tmp_path):
+    path = str(tmp_path / "errors")
+    table = spark.createDataFrame([("k", 1), ("l", None)], "chunk_id string, attempts int")
+    jsonl.write_json_array(table, path)
+    assert rows(jsonl.read_json_array(spark, path, "chunk_id string, attempts int"), "chunk_id", "attempts") == [("k", 1), ("l", None)]
+    jsonl.write_json_object(table.limit(1), path)
+    assert rows(jsonl.read_json_object(spark, path, "chunk_id string, attempts int"), "chunk_id") == [("k",)]
+    assert rows(jsonl.read_json_map(spark, path), "key", "value") == [("attempts", "1"), ("chunk_id", "k")]
+    with pytest.raises(Exception, match="no JSON array"):
+        jsonl.read_json_array(spark, path, "chunk_id string").collect()
+    with pytest.raises(Exception, match="one row"):
+        jsonl.write_json_object(table, path + "2")
+    (tmp_path / "list.json").write_text("[1]")
+    with pytest.raises(Exception, match="JSON object"):
+        jsonl.read_json_map(spark, str(tmp_path / "list.json")).collect()
+    assert jsonl.read_json_map(spark, str(tmp_path / "none")).count() == 0 and jsonl.read_json_array(spark, str(tmp_path / "none"), "chunks").count() == 0
+
+
+def test_unknown_suffixes_fail(spark):
+    files = spark.createDataFrame([("/a/x.PDF",), ("/a/y.epub",)], "path string")
+    assert rows(books.check_suffixes(files), "kind") == [("epub",), ("pdf",)]
+    with pytest.raises(Exception, match="Unsupported input file type"):
+        books.check_suffixes(spark.createDataFrame([("/a/x.txt",)], "path string")).collect()
 
 
 def test_asset_counts(spark):
