@@ -3,7 +3,7 @@
 The largest mix that keeps both the shares and the caps on repeats is fixed by the source that runs out first. Each
 source gives whole copies of itself as often as its budget holds and, for the rest, the records whose hash lies below a
 threshold. The threshold comes from nested histograms of tokens by source and hash bucket: the bucket in which the
-budget ends is cut into finer buckets, and only its rows are read again. Nothing is sorted. A record that would overshoot
+budget ends is cut into finer buckets, to which only its own rows go. Nothing is sorted; the sizes are read once a level. A record that would overshoot
 the budget by far is passed over for smaller ones behind it.
 """
 
