@@ -23,9 +23,14 @@ from quireloom.functions.text import (
 # What makes a numbered line a reference.
 REFERENCE_SIGNS = r"(?i)https?://|www\.|[\"“”]|\b(?:podcast|summit|conference|speech|interview|blog|transcript|episode|plan)\b"
 # Marks of questions and answers, and words that announce an emphasis.
-QUESTION_MARK, ANSWER_MARK = "(?:q|question|问)", "(?:a|answer|答)"
+QUESTION_WORDS, ANSWER_WORDS = "q|question|问", "a|answer|答"
+QUESTION_MARK, ANSWER_MARK = f"(?:{QUESTION_WORDS})", f"(?:{ANSWER_WORDS})"
 EMPHASIS = r"(?i)\b(remember|note|important|key point|takeaway)\b|记住|注意|重点|要点"
 # Starts of lines that repeat the instructions given to a translator.
+PROMPT_MARKS = ("本书：", "章节：", "分块索引：")
+PROMPT_BOOK, PROMPT_INDEX = r"\A(?:本书|这本书|书名)", "原文片段索引："
+# A heading at which a part or chapter begins.
+BOUNDARY_HEADING = f"(?i)^(?:part|chapter){S}+[ivxlcdm0-9]+$"
 PROMPT_STARTS = ("本书：", "这本书：", "书名：", "章节：", "分块索引：", "原文片段索引：", "翻译如下")
 
 
@@ -57,11 +62,11 @@ def is_reference(text: Column | str) -> Column:
 
 
 def is_boundary_heading(text: Column | str) -> Column:
-    return _like(squeeze(text), f"(?i)^(?:part|chapter){S}+[ivxlcdm0-9]+$")
+    return _like(squeeze(text), BOUNDARY_HEADING)
 
 
 def is_structured_line(line: Column | str) -> Column:
-    mark = f"(?:[0-9]{{1,3}}[.)]|[-*]|•|(?:{QUESTION_MARK[3:-1]}|{ANSWER_MARK[3:-1]}){S}*[:：])"
+    mark = f"(?:[0-9]{{1,3}}[.)]|[-*]|•|(?:{QUESTION_WORDS}|{ANSWER_WORDS}){S}*[:：])"
     return _like(line, f"(?i)^{S}*{mark}{S}+{NS}")
 
 
@@ -158,8 +163,8 @@ def is_preface(text: Column | str) -> Column:
 
 def is_prompt_echo(text: Column | str) -> Column:
     starts = reduce(lambda a, b: a | b, (F.startswith(text, F.lit(p)) for p in PROMPT_STARTS))
-    marks = reduce(lambda a, b: a & b, (F.contains(text, F.lit(m)) for m in ("本书：", "章节：", "分块索引：")))
-    return starts | marks | (_like(text, r"\A(?:本书|这本书|书名)") & F.contains(text, F.lit("原文片段索引：")))
+    marks = reduce(lambda a, b: a & b, (F.contains(text, F.lit(m)) for m in PROMPT_MARKS))
+    return starts | marks | (_like(text, PROMPT_BOOK) & F.contains(text, F.lit(PROMPT_INDEX)))
 
 
 def is_rule(text: Column | str) -> Column:

@@ -155,13 +155,46 @@ def shared_numeric_anchors(left: Column | str, right: Column | str) -> Column:
     return F.size(F.array_intersect(numeric_anchors(left), numeric_anchors(right)))
 
 
+# Steps of editorial, publishing and print spacing, each a pattern and what takes its place, in their order.
+EDITORIAL_STEPS = (
+    (r"[ \t]{2,}", " "),
+    (rf"(?<={CJK})[ \t]+(?={CJK})", ""),
+    (r"[ \t]+([,.;:!?，。；：！？、）\]}>])", "$1"),
+    (r"([（\[{<])[ \t]+", "$1"),
+    (r"[ \t]+\n", "\n"),
+    (r"\n{3,}", "\n\n"),
+)
+PUBLISHING_STEPS = (
+    (rf"(?<={CJK})[ \t]+(?={CJK})", ""),
+    (rf"(?<={CJK})[ \t]*(?=[A-Za-z0-9])", " "),
+    (rf"(?<=[A-Za-z0-9])[ \t]*(?={CJK})", " "),
+    ("[ \\t]+([，。！？；：,.!?;:])", "$1"),
+    ("([，。！？；：])[ \\t]+", "$1"),
+    (r"\n{3,}", "\n\n"),
+)
+PRINT_STEPS = (
+    (rf"(?<={CJK}){S}+(?=[A-Za-z0-9@#&])", ""),
+    (rf"(?<=[A-Za-z0-9@#&]){S}+(?={CJK})", ""),
+    (rf"(?<={CJK}){S}+(?=[（(])", ""),
+    (rf"(?<=[）)]){S}+(?={CJK})", ""),
+    (rf"(?<=[A-Za-z]){S}+(?=[0-9])", " "),
+    (rf"(?<=[0-9]){S}+(?=[A-Za-z])", " "),
+)
+
+
+def _in_steps(text: Column | str, steps: tuple[tuple[str, str], ...]) -> Column:
+    for pattern, new in steps:
+        text = _re(text, pattern, new)
+    return text
+
+
+def _unix_lines(text: Column | str) -> Column:
+    return F.replace(text, F.lit("\r\n"), F.lit("\n"))
+
+
 def tidy_spacing(text: Column | str) -> Column:
     """Editorial spacing: no gaps between ideographs, before closing or behind opening signs, at line ends."""
-    t = _re(F.replace(text, F.lit("\r\n"), F.lit("\n")), r"[ \t]{2,}", " ")
-    t = _re(t, rf"(?<={CJK})[ \t]+(?={CJK})", "")
-    t = _re(t, r"[ \t]+([,.;:!?，。；：！？、）\]}>])", "$1")
-    t = _re(t, r"([（\[{<])[ \t]+", "$1")
-    return strip(_re(_re(t, r"[ \t]+\n", "\n"), r"\n{3,}", "\n\n"))
+    return strip(_in_steps(_unix_lines(text), EDITORIAL_STEPS))
 
 
 def drop_preface(text: Column | str) -> Column:
@@ -190,25 +223,13 @@ def restore_numbered_lines(text: Column | str) -> Column:
 
 def proofread(text: Column | str) -> Column:
     """Publishing form: preface dropped, inline lists restored, one space between ideographs and ASCII letters."""
-    t = _re(F.replace(text, F.lit("\r\n"), F.lit("\n")), r"[ \t]{2,}", " ")
-    t = restore_numbered_lines(drop_preface(t))
-    t = _re(t, rf"(?<={CJK})[ \t]+(?={CJK})", "")
-    t = _re(t, rf"(?<={CJK})[ \t]*(?=[A-Za-z0-9])", " ")
-    t = _re(t, rf"(?<=[A-Za-z0-9])[ \t]*(?={CJK})", " ")
-    t = _re(t, "[ \\t]+([，。！？；：,.!?;:])", "$1")
-    t = _re(t, "([，。！？；：])[ \\t]+", "$1")
-    return strip(_re(t, r"\n{3,}", "\n\n"))
+    single = _re(_unix_lines(text), r"[ \t]{2,}", " ")
+    return strip(_in_steps(restore_numbered_lines(drop_preface(single)), PUBLISHING_STEPS))
 
 
 def tighten_mixed(text: Column | str) -> Column:
     """Print form: no gap between ideographs and ASCII letters, digits or brackets, one space between letters and digits."""
-    ascii_signs = "[A-Za-z0-9@#&]"
-    t = _re(text, rf"(?<={CJK}){S}+(?={ascii_signs})", "")
-    t = _re(t, rf"(?<={ascii_signs}){S}+(?={CJK})", "")
-    t = _re(t, rf"(?<={CJK}){S}+(?=[（(])", "")
-    t = _re(t, rf"(?<=[）)]){S}+(?={CJK})", "")
-    t = _re(t, rf"(?<=[A-Za-z]){S}+(?=[0-9])", " ")
-    return _re(t, rf"(?<=[0-9]){S}+(?=[A-Za-z])", " ")
+    return _in_steps(text, PRINT_STEPS)
 
 
 def drop_markup(text: Column | str) -> Column:

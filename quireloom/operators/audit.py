@@ -26,6 +26,7 @@ FINDINGS = {
         "Question/answer markers in source are not fully preserved in target; verify Q&A block structure.",
     ),
 }
+# Words that announce an emphasis.
 CUES = r"(?i)\b(remember|note|important|key point|takeaway)\b"
 
 
@@ -60,7 +61,10 @@ def mostly_present(units: Column, target: Column) -> Column:
 
 
 def relaxes_omission(crossed: Column, n_source: Column, n_target: Column, s_source: Column, s_target: Column, anchors: Column) -> Column:
-    """Whether thresholds of units, sentences and shared numbers excuse fewer units in the target."""
+    """Whether thresholds of units, sentences and shared numbers excuse fewer units in the target.
+
+    The numbers are fixed values.
+    """
 
     def part(n: Column, share: float, least: int) -> Column:
         return F.greatest(F.lit(least), F.floor(n * F.lit(share)))

@@ -83,9 +83,13 @@ def layout_annotations(findings: DataFrame, chapters: DataFrame) -> DataFrame:
     )
 
 
+# Markup of a raised citation number.
+RAISED, LOWERED = "<font color='#2F5BD2' size='6.8'><super>", "</super></font>"
+
+
 def citation_markup(numbers: Column) -> Column:
     return F.array_join(
-        F.transform(numbers, lambda n: F.concat(F.lit("<font color='#2F5BD2' size='6.8'><super>"), n, F.lit("</super></font>"))), ""
+        F.transform(numbers, lambda n: F.concat(F.lit(RAISED), n, F.lit(LOWERED))), ""
     )
 
 
@@ -97,7 +101,7 @@ def mark_citations(text: Column | str) -> Column:
     follows = rf"(?=$|{S}|(?![年月日号]){CJK})"
     # Private-use characters mark the places until the rest of the text is escaped.
     marked = F.regexp_replace(text, F.lit(rf"([。！？!?；;:：”’」】）)]){S}*([0-9]{{2,4}}){follows}"), F.lit("$1\ue000$2\ue001"))
-    raised = F.lit("<font color='#2F5BD2' size='6.8'><super>$1</super></font>")
+    raised = F.lit(f"{RAISED}$1{LOWERED}")
     return F.regexp_replace(escape_xml(marked), F.lit("\ue000([0-9]{2,4})\ue001"), raised)
 
 

@@ -144,3 +144,12 @@ def test_pairs(spark):
     pair = one(spark, E.split_compact_pair("x", F.lit(True)), x="First sentence. Second one")
     assert (pair["question"], pair["answer"]) == ("First sentence.", "Second one")
     assert one(spark, E.split_compact_pair("x", F.lit(False)), x="First. Second") is None
+
+
+def test_lone_numbers_cut_lines_by_sense(spark):
+    cases = {
+        "text|1|2|3": [["text", "1"], ["2"], ["3"]], "text|1|more|2|3 x": [["text", "1"], ["more", "2"], ["3 x"]],
+        "text|1|2|tail|3": [["text", "1"], ["2", "tail"], ["3"]], "1|a|2|b": [["1", "a", "2", "b"]], "1. a|2. b": [["1. a"], ["2. b"]], "": [],
+    }
+    table = spark.createDataFrame([(k,) for k in cases], "t string").select("t", E.semantic_blocks(F.filter(F.split("t", "[|]"), lambda x: x != "")).alias("b"))
+    assert {r["t"]: r["b"] for r in table.collect()} == cases
