@@ -219,20 +219,15 @@ def align_lengths(source: np.ndarray, target: np.ndarray, ratio: float) -> list[
     return found
 
 
-def align_scores(score: np.ndarray) -> list[tuple[int, int]]:
-    """Pairs of the best monotone path through a matrix of scores, and clear pairs out of order.
+#: Steps of a path through scores, in the order in which the first of equal ones is taken.
+STEPS = ((1, 0), (0, 1), (1, 1), *((x, y) for k in range(2, MOST_JOINED + 1) for x, y in ((1, k), (k, 1))))
+#: Cells for each sentence of both sides from which on anti-diagonals are faster than cells; the paths are the same.
+AT_ONCE = 30
 
-    The score at which two sentences belong together follows what is usual in the document, the median of the best scores
-    of its source sentences; it depends on how well the words are known. A path takes a sentence of either side with up to
-    MOST_JOINED of the other, or leaves it out at no cost.
-    """
+
+def _path_by_cells(score: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs on the best monotone path, cell by cell."""
     n, m = score.shape
-    given = score.tolist()
-    usual = float(np.median(score.max(1)))
-    score = score - max(LEAST, SHARE * usual)
-    # A pair must be the best or nearly so for one of its sides; else a moved sentence joins whatever its place holds.
-    best_of = np.minimum(score.max(1, keepdims=True), score.max(0, keepdims=True))
-    score = np.where(score >= best_of - NEARLY, score, -1.0)
     rows = np.concatenate((np.zeros((n, 1)), np.cumsum(score, 1)), 1).tolist()
     cols = np.concatenate((np.zeros((1, m)), np.cumsum(score, 0)), 0).tolist()
     cell = score.tolist()
@@ -265,6 +260,70 @@ def align_scores(score: np.ndarray) -> list[tuple[int, int]]:
         if di and dj:
             found += [(x, y) for x in range(i - di, i) for y in range(j - dj, j)]
         i, j = i - di, j - dj
+    return found
+
+
+def _path_at_once(score: np.ndarray) -> list[tuple[int, int]]:
+    """The same path, all cells of an anti-diagonal at once."""
+    n, m = score.shape
+    rows = np.concatenate((np.zeros((n, 1)), np.cumsum(score, 1)), 1)
+    cols = np.concatenate((np.zeros((1, m)), np.cumsum(score, 0)), 0)
+    # Runs of positive scores that end in a cell, along its row and its column.
+    across, down = np.zeros((2, n + 1, m + 1), np.int32)
+    for j in range(1, m + 1):
+        across[1:, j] = np.where(score[:, j - 1] > 0, across[1:, j - 1] + 1, 0)
+    for i in range(1, n + 1):
+        down[i, 1:] = np.where(score[i - 1] > 0, down[i - 1, 1:] + 1, 0)
+    best, back = np.zeros((n + 1, m + 1)), np.zeros((n + 1, m + 1), np.int8)
+    for d in range(1, n + m + 1):
+        i = np.arange(max(0, d - m), min(n, d) + 1)
+        j = d - i
+        top, move = np.where(i > 0, best[i - 1, j], -1.0), np.where(i > 0, 0, 1)
+        for number, (di, dj) in enumerate(STEPS[1:], 1):
+            ok = (i >= di) & (j >= dj)
+            if di > 1:
+                ok &= down[i, j] >= di
+            elif dj > 1:
+                ok &= across[i, j] >= dj
+            if not ok.any():
+                continue
+            x, y = i[ok], j[ok]
+            value = best[x - di, y - dj]
+            if dj > 1:
+                value = value + rows[x - 1, y] - rows[x - 1, y - dj]
+            elif di > 1:
+                value = value + cols[x, y - 1] - cols[x - di, y - 1]
+            elif di:
+                value = value + score[x - 1, y - 1]
+            better = np.flatnonzero(ok)[value > top[ok]]
+            top[better] = value[value > top[ok]]
+            move[better] = number
+        best[i, j], back[i, j] = top, move
+    found, i, j = [], n, m
+    while i or j:
+        di, dj = STEPS[back[i, j]]
+        if di and dj:
+            found += [(x, y) for x in range(i - di, i) for y in range(j - dj, j)]
+        i, j = i - di, j - dj
+    return found
+
+
+def align_scores(score: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs of the best monotone path through a matrix of scores, and clear pairs out of order.
+
+    The score at which two sentences belong together follows what is usual in the document, the median of the best scores
+    of its source sentences; it depends on how well the words are known. A path takes a sentence of either side with up to
+    MOST_JOINED of the other, or leaves it out at no cost.
+    """
+    n, m = score.shape
+    given = score.tolist()
+    usual = float(np.median(score.max(1)))
+    score = score - max(LEAST, SHARE * usual)
+    # A pair must be the best or nearly so for one of its sides; else a moved sentence joins whatever its place holds.
+    best_of = np.minimum(score.max(1, keepdims=True), score.max(0, keepdims=True))
+    score = np.where(score >= best_of - NEARLY, score, -1.0)
+    found = _path_at_once(score) if n * m > AT_ONCE * (n + m) else _path_by_cells(score)
+    cell = score.tolist()
     taken_i, taken_j = {i for i, _ in found}, {j for _, j in found}
     rest = sorted(
         ((cell[i][j], i, j) for i in range(n) for j in range(m) if i not in taken_i and j not in taken_j and cell[i][j] > MOVED),

@@ -463,6 +463,14 @@ def test_lengths_are_aligned_as_cell_by_cell():
         assert [x[:2] for x in beads] == [x[:2] for x in alone] and np.allclose([x[2] for x in beads], [x[2] for x in alone])
 
 
+def test_paths_by_cells_and_at_once_are_the_same():
+    rng = np.random.default_rng(8)
+    for n, m in [(1, 1), (1, 6), (6, 1), (5, 9), (30, 24), (60, 80)]:
+        for _ in range(6):
+            score = np.round(rng.normal(-0.4, 0.7, (n, m)), int(rng.integers(1, 6)))  # few digits give ties
+            assert alignment._path_at_once(score) == alignment._path_by_cells(score)
+
+
 def test_long_documents_are_aligned_in_windows(spark):
     """A document of 3,000 sentences with omissions and swaps, beside short ones, from which the words are learnt."""
     rng = random.Random(18)
