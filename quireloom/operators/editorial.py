@@ -175,8 +175,19 @@ def asset_manifest(assets: DataFrame) -> DataFrame:
     )
 
 
+def asset_list(assets: DataFrame) -> DataFrame:
+    """The manifest of each chapter: asset_count, counts by status, and its assets (chapter_id, ord, ...) in order."""
+    fields = [c for c in assets.columns if c not in ("chapter_id", "ord")]
+    held = F.sort_array(F.collect_list(F.struct("ord", F.struct(*fields).alias("asset"))))
+    listed = assets.groupBy("chapter_id").agg(F.count("*").alias("asset_count"), F.transform(held, lambda x: x["asset"]).alias("assets"))
+    return asset_manifest(assets).join(listed, "chapter_id").select(
+        "chapter_id", "asset_count", F.col("n_extracted").alias("extracted_count"), F.col("n_caption_only").alias("caption_only_count"),
+        F.col("n_missing").alias("missing_count"), "assets",
+    )
+
+
 __all__ = [
-    "asset_manifest", "attach_captions", "blocks_to_text", "clean_lexicon", "entry_array", "final_log", "merge_lexicons",
+    "asset_list", "asset_manifest", "attach_captions", "blocks_to_text", "clean_lexicon", "entry_array", "final_log", "merge_lexicons",
     "proofread_texts", "rebuild_inline_list", "repair_blocks", "repair_text", "replace_in_order", "restore_numbered_lines",
     "revise", "text_to_blocks",
 ]

@@ -55,6 +55,17 @@ class StubProvider:
         return Reply(self.mark + source_text, 10, 12, 0.001)
 
 
+#: Makers of providers by name; plug-ins add theirs.
+PROVIDERS: dict[str, Callable[..., Provider]] = {"stub": StubProvider}
+
+
+def build_provider(name: str, **settings) -> Provider:
+    """A new provider of a registered name."""
+    if name not in PROVIDERS:
+        raise ValueError(f"Unsupported provider: {name}")
+    return PROVIDERS[name](**settings)
+
+
 def is_retryable(error: Exception) -> bool:
     status = getattr(error, "status_code", None)
     return isinstance(error, (RetryableError, TimeoutError, ConnectionError)) or (

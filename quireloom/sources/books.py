@@ -21,6 +21,8 @@ BOOK = (
     "images array<struct<id:string,href:string,caption:string,size:int>>, "
     "captions array<struct<href:string,caption:string>>, missing array<string>, error string"
 )
+#: Folders whose outputs are validated in one go.
+MAX_FOLDERS = 1_000
 _CONTAINER = "META-INF/container.xml"
 
 
@@ -150,6 +152,42 @@ def missing_entries(archive: zipfile.ZipFile) -> list[str]:
     return [] if nav in names else [nav]
 
 
+def validate_outputs(spark: SparkSession, outputs: DataFrame) -> DataFrame:
+    """``path``, ``kind``, ``passed``, ``reason``, ``missing`` and ``size_bytes`` of written outputs (path, kind).
+
+    A PDF passes when it is there and not empty, an EPUB when no entry that a reader needs is missing. Files are looked at
+    where they are, by the workers; another kind fails.
+    """
+    known = F.when(F.col("kind").isin("pdf", "epub"), F.col("kind")).otherwise(
+        F.raise_error(F.concat(F.lit("Unsupported output kind: "), "kind")).cast("string")
+    )
+    folders = [r[0] for r in outputs.select(F.regexp_replace("path", "/[^/]*$", "")).distinct().limit(MAX_FOLDERS + 1).collect()]
+    if len(folders) > MAX_FOLDERS:
+        raise ValueError(f"outputs in more than {MAX_FOLDERS} folders")
+    found = spark.read.format("binaryFile").load(folders) if folders else spark.createDataFrame([], "path string, length bigint, content binary")
+
+    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            gaps = []
+            for kind, content in zip(batch["kind"], batch["content"], strict=True):
+                try:
+                    gaps.append(missing_entries(zipfile.ZipFile(io.BytesIO(content))) if kind == "epub" and content is not None else [])
+                except zipfile.BadZipFile:
+                    gaps.append(["mimetype"])
+            yield pd.DataFrame({"path": batch["path"], "kind": batch["kind"], "size_bytes": batch["length"], "missing": gaps})
+
+    bare = F.regexp_replace("path", "^file:/*", "/")
+    held = outputs.select(bare.alias("path"), known.alias("kind")).join(found.select(bare.alias("path"), "length", "content"), "path", "left")
+    looked = held.mapInPandas(look, "path string, kind string, size_bytes bigint, missing array<string>")
+    there = F.col("size_bytes").isNotNull()
+    reason = (
+        F.when((F.col("kind") == "pdf") & (F.coalesce("size_bytes", F.lit(0)) == 0), "missing_or_empty_file")
+        .when(~there, "missing_file")
+        .when(F.size("missing") > 0, "missing_entries")
+    )
+    return looked.select("path", "kind", reason.isNull().alias("passed"), reason.alias("reason"), "missing", F.coalesce("size_bytes", F.lit(0)).alias("size_bytes"))
+
+
 def _contents(archive: zipfile.ZipFile, package: ElementTree.Element, folder: str, items: dict) -> list[str]:
     """Titles of the contents, depth first, of the navigation page or else of the older table."""
     names = set(archive.namelist())

@@ -23,9 +23,22 @@ SCHEMAS = {
     ),
     "artifacts": "book_id string, stage string, chapter_id string, chapter_index int, title string, text string",
     "blocks": "chapter_id string, block_id string, kind string, text string, order_index int, source_anchor string",
+    "structured_chapters": (
+        "book_id string, chapter_id string, chapter_index int, source_title string, translated_title string, "
+        "blocks array<struct<block_id: string, kind: string, text: string, order_index: int, source_anchor: string>>, "
+        "assets array<struct<source_asset_id: string, source_location_hint: string, extracted_path: string, caption: string, "
+        "block_anchor_id: string, status: string>>"
+    ),
 }
 
 
+def chapter_parts(chapters: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Blocks and assets, in their order, of structured chapters that hold both as arrays."""
+    blocks = chapters.select("chapter_id", F.inline("blocks"))
+    numbered = F.posexplode("assets").alias("ord", "asset")
+    return blocks, chapters.select("chapter_id", numbered).select("chapter_id", "ord", "asset.*")
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Rows of JSON lines; blank lines are no rows, lines that are no JSON fail. A missing path gives an empty table."""
     if not _found(spark, path):

@@ -447,6 +447,38 @@ def test_json_documents(spark, tmp_path):
     assert jsonl.read_json_map(spark, str(tmp_path / "none")).count() == 0 and jsonl.read_json_array(spark, str(tmp_path / "none"), "chunks").count() == 0
 
 
+def test_outputs_are_validated(spark, tmp_path):
+    (tmp_path / "a.pdf").write_bytes(b"%PDF")
+    (tmp_path / "b.pdf").write_bytes(b"")
+    with zipfile.ZipFile(tmp_path / "c.epub", "w") as archive:
+        archive.writestr("mimetype", "application/epub+zip")
+    (tmp_path / "d.epub").write_bytes(b"no archive")
+    names = [("a.pdf", "pdf"), ("b.pdf", "pdf"), ("c.epub", "epub"), ("d.epub", "epub"), ("e.epub", "epub"), ("f.pdf", "pdf")]
+    table = spark.createDataFrame([(str(tmp_path / n), k) for n, k in names], "path string, kind string")
+    got = [(os.path.basename(p), *rest) for p, *rest in rows(books.validate_outputs(spark, table), "path", "passed", "reason")]
+    assert got == [("a.pdf", True, None), ("b.pdf", False, "missing_or_empty_file"), ("c.epub", False, "missing_entries"), ("d.epub", False, "missing_required_entries"),
+                   ("e.epub", False, "missing_file"), ("f.pdf", False, "missing_or_empty_file")]
+    with pytest.raises(Exception, match="Unsupported output kind"):
+        books.validate_outputs(spark, table.withColumn("kind", F.lit("txt"))).collect()
+
+
+def test_structured_chapters_and_manifests(spark, tmp_path):
+    (tmp_path / "s.jsonl").write_text('{"chapter_id": "c", "chapter_index": 1, "translated_title": "t", "blocks": [{"block_id": "b1", "kind": "image", "text": "", "order_index": 1}],'
+                                      ' "assets": [{"source_asset_id": "a", "status": "extracted", "block_anchor_id": "b1"}, {"source_asset_id": "z", "status": "missing"}]}\n')
+    chapters_ = jsonl.read_jsonl(spark, str(tmp_path / "s.jsonl"), "structured_chapters")
+    blocks, assets = jsonl.chapter_parts(chapters_)
+    assert rows(blocks, "chapter_id", "block_id", "kind") == [("c", "b1", "image")]
+    manifest = editorial.asset_list(assets).first().asDict(recursive=True)
+    assert (manifest["asset_count"], manifest["extracted_count"], manifest["caption_only_count"], manifest["missing_count"]) == (2, 1, 0, 1)
+    assert [a["source_asset_id"] for a in manifest["assets"]] == ["a", "z"]
+
+
+def test_providers_by_name():
+    assert translate.build_provider("stub", mark="x").translate("p", "s").text == "xs"
+    with pytest.raises(ValueError, match="Unsupported provider"):
+        translate.build_provider("other")
+
+
 def test_unknown_suffixes_fail(spark):
     files = spark.createDataFrame([("/a/x.PDF",), ("/a/y.epub",)], "path string")
     assert rows(books.check_suffixes(files), "kind") == [("epub",), ("pdf",)]
