@@ -456,7 +456,7 @@ def test_outputs_are_validated(spark, tmp_path):
     names = [("a.pdf", "pdf"), ("b.pdf", "pdf"), ("c.epub", "epub"), ("d.epub", "epub"), ("e.epub", "epub"), ("f.pdf", "pdf")]
     table = spark.createDataFrame([(str(tmp_path / n), k) for n, k in names], "path string, kind string")
     got = [(os.path.basename(p), *rest) for p, *rest in rows(books.validate_outputs(spark, table), "path", "passed", "reason")]
-    assert got == [("a.pdf", True, None), ("b.pdf", False, "missing_or_empty_file"), ("c.epub", False, "missing_entries"), ("d.epub", False, "missing_required_entries"),
+    assert got == [("a.pdf", True, None), ("b.pdf", False, "missing_or_empty_file"), ("c.epub", False, "missing_entries"), ("d.epub", False, "missing_entries"),
                    ("e.epub", False, "missing_file"), ("f.pdf", False, "missing_or_empty_file")]
     with pytest.raises(Exception, match="Unsupported output kind"):
         books.validate_outputs(spark, table.withColumn("kind", F.lit("txt"))).collect()
